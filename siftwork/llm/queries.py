@@ -13,6 +13,12 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.tokencount import length_histogram, token_counts
+
+    return length_histogram(token_counts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
