@@ -23,7 +23,7 @@ DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct units that one Python worker remembers.
 REMEMBER = 300_000
 #: White space beyond the ASCII kind, which units don't look for (UTF-8).
-WIDE_SPACE = "[\u0085   -     　]"
+WIDE_SPACE = "[" + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 
 
 def vocabulary(spark: SparkSession, path: str = DEFAULT) -> bytes:
