@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from siftwork.session import ship, table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.neardup import near_duplicates
 
