@@ -6,10 +6,13 @@
 2. Every member of a band's bucket is paired with the bucket's smallest id
    only, so a bucket of n costs n pairs. Pairs are confirmed on full sets.
 3. Alternating large-star and small-star gives the components so far. Within
-   a bucket, pairs inside one component can't change the result any more; the
-   pairs across components are searched in blocks of bounded size, confirmed
-   on full sets, and added. So no link between different texts is lost, but
-   for pairs that share no band: below 1e-8 at a similarity of 0.85.
+   a bucket, pairs inside one component can't change the result any more. The
+   members outside a bucket's main component are compared with all others in
+   cells of bounded size: a first pass on minima finds the members that need
+   it, a second one intersects their full sets. Only links leave a cell, never
+   pairs. A pair that shares several buckets is looked at in the first one. So
+   no link between different texts is lost, but for pairs that share no band:
+   below 1e-8 at a similarity of 0.85.
 
 Null or blank texts have an empty set and are linked with nothing. Repeated
 rows are copies of each other. An empty table gives an empty result. Other
@@ -32,7 +35,7 @@ from siftwork.session import forget, ship, stored
 ROWS, BANDS = 3, 20
 HASHES = ROWS * BANDS
 #: Members of a bucket that one task compares with one another.
-CELL = 2000
+CELL = 1000
 #: Least share of equal minima for a pair across components to be confirmed
 #: on full sets; 0.85 lies over five standard deviations above it.
 PLAUSIBLE = 0.6
@@ -75,8 +78,8 @@ def _features(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                 for i in range(j * ROWS, (j + 1) * ROWS):
                     key = mix(key * np.uint64(0x100000001B3) + minima[:, i])
                 bands[:, j] = key
-            sig = minima.astype(np.uint16).tobytes()
-            w = HASHES * 2
+            sig = minima.tobytes()
+            w = HASHES * 4
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -99,13 +102,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), sets], ["doc_id", "set"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those that hold 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # One row an id, though rows may repeat: equal ids of classes are equal sets or either one.
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(lambda it: _full_sets(it, k), f"doc_id {dict(docs.dtypes)['doc_id']}, set array<bigint>")
-    sets = stored(sets)
     a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -116,9 +114,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
         .where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both")))
         .select("a", "b")
     )
-    out = stored(linked)
-    forget(sets)
-    return out
+    return stored(linked)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -148,21 +144,40 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(now.select("v", "v").distinct())
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block of a bucket whose components differ and minima agree."""
-    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), HASHES)
-    ids, label = pdf["rep"].to_numpy(), pdf["label"].to_numpy()
-    # A rare member is compared with all; members of the bucket's main component only with rare ones.
-    mine = np.flatnonzero(pdf["asks"].to_numpy())
-    there = np.flatnonzero(pdf["asked"].to_numpy())
-    a, b = [], []
+def _needed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The members of one cell that have a partner in another component whose
+    minima agree, and share no earlier band with it."""
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), HASHES)
+    label, band = pdf["label"].to_numpy(), int(pdf["band"].iloc[0])
+    mine, there = np.flatnonzero(pdf["asks"].to_numpy()), np.flatnonzero(pdf["asked"].to_numpy())
+    need = np.zeros(len(pdf), bool)
     for i in mine:
-        like = (sig[there] == sig[i]).sum(axis=1) >= PLAUSIBLE * HASHES
-        hits = there[like & (label[there] != label[i])]
+        same = sig[there] == sig[i]
+        fits = (same.sum(axis=1) >= PLAUSIBLE * HASHES) & (label[there] != label[i])
+        if band and fits.any():
+            fits &= ~same[:, : band * ROWS].reshape(len(there), band, ROWS).all(axis=2).any(axis=1)
+        if fits.any():
+            need[i] = True
+            need[there[fits]] = True
+    return pdf.loc[need, ["key", "cell", "rare_cell", "rep", "label", "asks", "asked"]]
+
+
+def _linked(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links across components among the members of one cell, on full sets."""
+    ids, label = pdf["rep"].to_numpy(), pdf["label"].to_numpy()
+    size = pdf["set"].map(len).to_numpy()
+    codes, distinct = pd.factorize(np.concatenate(pdf["set"].to_numpy()))
+    off = np.concatenate([[0], np.cumsum(size)])
+    there = pdf["asked"].to_numpy()
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(pdf["asks"].to_numpy()):
+        mark = np.zeros(len(distinct), np.int32)
+        mark[codes[off[i] : off[i + 1]]] = 1
+        both = np.add.reduceat(mark[codes], off[:-1])  # sets of representatives are never empty
+        hits = np.flatnonzero(there & (label != label[i]) & (100 * both >= percent * (size + size[i] - both)))
         a.append(np.minimum(ids[i], ids[hits]))
         b.append(np.maximum(ids[i], ids[hits]))
-    none = np.zeros(0, np.int64)
-    return pd.DataFrame({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:
@@ -186,17 +201,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = full.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "rep")
 
     reps = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    banded = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
+    banded = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     shared = stored(banded.join(hubs, "key"))
     stars = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    links = _confirmed(stars, docs, k, percent)
+    ids = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    # One row an id, though rows may repeat.
+    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = stored(texts.mapInArrow(lambda it: _full_sets(it, k), "doc_id bigint, set array<bigint>"))
+    links = _confirmed(stars, sets, percent)
     roots = stored(components(links))
 
     labelled = (
         shared.where("n > 2")
         .join(roots, shared.rep == roots.node, "left")
-        .select("key", "rep", F.coalesce("root", "rep").alias("label"))
+        .select("key", "band", "rep", F.coalesce("root", "rep").alias("label"))
     )
     labelled = stored(labelled)
     split = (
@@ -214,31 +233,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("h", F.abs(F.xxhash64("rep")))
         .select(
             "key",
+            "band",
             "rep",
             "label",
-            F.col("rare"),
+            "rare",
             (F.col("h") % cells).cast("int").alias("cell"),
             (F.col("h") % rare_cells).cast("int").alias("rare_cell"),
             cells.alias("cells"),
             rare_cells.alias("rare_cells"),
         )
     )
-    asked = sides.select("key", "rep", "label", "cell", F.explode(F.sequence(F.lit(0), F.col("rare_cells") - 1)).alias("rare_cell"), F.lit(False).alias("asks"), F.lit(True).alias("asked"))
-    asks = sides.where("rare").select("key", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rare_cell", F.lit(True).alias("asks"), F.lit(False).alias("asked"))
+    asked = sides.select("key", "band", "rep", "label", "cell", F.explode(F.sequence(F.lit(0), F.col("rare_cells") - 1)).alias("rare_cell"), F.lit(False).alias("asks"), F.lit(True).alias("asked"))
+    asks = sides.where("rare").select("key", "band", "rep", "label", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), "rare_cell", F.lit(True).alias("asks"), F.lit(False).alias("asked"))
     sigs = feats.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
-    more = (
+    cell = ["key", "cell", "rare_cell"]
+    needed = (
         asked.unionByName(asks)
         .join(sigs, "rep")
-        .groupBy("key", "cell", "rare_cell")
-        .applyInPandas(_across, "a bigint, b bigint")
+        .groupBy(*cell)
+        .applyInPandas(_needed, "key bigint, cell int, rare_cell int, rep bigint, label bigint, asks boolean, asked boolean")
+    )
+    more = stored(
+        stored(needed)
+        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        .groupBy(*cell)
+        .applyInPandas(lambda pdf: _linked(pdf, percent), "a bigint, b bigint")
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    more = stored(more)
     if not more.isEmpty():
-        extra = _confirmed(more, docs, k, percent)
-        if not extra.isEmpty():
-            roots = stored(components(links.union(extra)))
+        roots = stored(components(links.union(more)))
     whole = (
         member.join(roots, member.rep == roots.node, "left")
         .select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
