@@ -1,13 +1,15 @@
 """Scoring texts with a causal self-attention model over subword ids.
 
 What the corpus gives, over all its training texts: counts of every word,
-counts of every subword and the byte profile of the texts it stands in, and
-training windows (one per text, and one more per WINDOW_EVERY subwords).
+counts of every subword and the byte profile of the texts it stands in, counts
+of which class follows which subword, and training windows (one per text, and
+one more per WINDOW_EVERY subwords).
 
 The model: a subword's class is predicted from the last ones by one causal
-self-attention layer (numpy; trained on the windows by local Adam steps in
-every partition, whose parameters are averaged each round), and the subword
-within its class by its smoothed frequency. Frequent subwords are classes of
+self-attention layer on top of the log frequency of the class after the last
+subword (numpy; trained on the windows by local Adam steps in every partition,
+whose parameters are averaged each round), and the subword within its class by
+its frequency after the last subword, smoothed by its own frequency. Frequent subwords are classes of
 their own; the others are clustered by byte profile, which separates languages
 and scripts. Both factors sum to one, so a score is a probability of the
 text's subword sequence and its end.
@@ -76,8 +78,17 @@ def _spread(codes: np.ndarray, flat: np.ndarray, size: np.ndarray, first: np.nda
     return out, upto[first] + 2 * np.arange(n_docs + 1)
 
 
+def _rows(kind: int, key, n, v=None) -> pa.RecordBatch:
+    key = np.asarray(key)
+    if v is None:
+        values = pa.nulls(len(key), pa.list_(pa.float32()))
+    else:
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.astype(np.float32).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(np.asarray(n, np.int64)), values], ["kind", "key", "n", "v"])
+
+
 def _gather(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n, v): 0 words, 1 subwords with profile sums, 2 windows."""
+    """Rows (kind, key, n, v): 0 words, 1 subwords with profile sums."""
     ranks = sent.value
     end = encoding(ranks).n_vocab
     many = np.zeros(end + 1, np.int64)
@@ -85,11 +96,6 @@ def _gather(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     words: list[pd.Series] = []
     pending = 0
 
-    def rows(kind: int, key, n, v=None) -> pa.RecordBatch:
-        key = np.asarray(key)
-        values = pa.nulls(len(key), pa.list_(pa.float32())) if v is None else pa.FixedSizeListArray.from_arrays(pa.array(v.astype(np.float32).ravel()), v.shape[1]).cast(pa.list_(pa.float32()))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(np.asarray(n, np.int64)), values], ["kind", "key", "n", "v"])
-
     def sums() -> pd.Series:
         x = pd.concat(words)
         words.clear()
@@ -115,6 +121,39 @@ def _gather(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
             many[end] -= n_docs  # of two end marks, the first only starts the text
             for k in range(PROFILE):
                 profile[:, k] += np.bincount(seq, weights=p[doc, k], minlength=end + 1)
+            if pending > 500_000:
+                x = sums()
+                yield _rows(0, x.index, x)
+                pending = 0
+    if words:
+        x = sums()
+        yield _rows(0, x.index, x)
+    at = np.flatnonzero(many)
+    if len(at):
+        yield _rows(1, at, many[at], profile[at])
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], sent, sent_model) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, key, n, v): 0 counts of a class after an input, 1 windows,
+    2 counts of a frequent subword after a frequent one."""
+    ranks, model = sent.value, sent_model.value
+    after = np.zeros((INPUTS + CLASSES) * CLASSES, np.int64)
+    next_ = np.zeros(INPUTS * INPUTS, np.int64)
+    for batch in batches:
+        for part in blocks(batch, "text", 4 << 20):
+            part = part.filter(pa.array(~held_out(part.column("doc_id").to_pylist())))
+            if not part.num_rows:
+                continue
+            b, codes, _, flat, size = _encoded(part, ranks)
+            seq, off = _spread(codes, flat, size, b.first, model.end)
+            n_docs = part.num_rows
+            pair = model.inputs[seq[:-1]].astype(np.int64) * CLASSES + model.cls[seq[1:]]
+            inside = np.ones(len(pair), bool)
+            inside[off[1:-1] - 1] = False
+            after += np.bincount(pair[inside], minlength=len(after))
+            a, y = model.inputs[seq[:-1]], model.inputs[seq[1:]]
+            inside &= (a < INPUTS) & (y < INPUTS)
+            next_ += np.bincount(a[inside].astype(np.int64) * INPUTS + y[inside], minlength=len(next_))
             # Windows start where a hash of text and number says; short texts give themselves, filled up with -1.
             length = np.diff(off)
             wins = 1 + length // WINDOW_EVERY
@@ -125,17 +164,13 @@ def _gather(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
             start = (h % room.astype(np.uint64)).astype(np.int64)
             at = start[:, None] + np.arange(SPAN + 1)
             win = np.where(at < length[of][:, None], seq[np.minimum(off[of][:, None] + at, len(seq) - 1)], -1)
-            yield rows(2, np.arange(len(of)), np.ones(len(of)), win)
-            if pending > 500_000:
-                x = sums()
-                yield rows(0, x.index, x)
-                pending = 0
-    if words:
-        x = sums()
-        yield rows(0, x.index, x)
-    at = np.flatnonzero(many)
+            yield _rows(1, np.arange(len(of)), np.ones(len(of)), win)
+    at = np.flatnonzero(after)
+    if len(at):
+        yield _rows(0, at, after[at])
+    at = np.flatnonzero(next_)
     if len(at):
-        yield rows(1, at, many[at], profile[at])
+        yield _rows(2, at, next_[at])
 
 
 class Model:
@@ -172,9 +207,27 @@ class Model:
         small = lambda *s: (rng.normal(size=s) * 0.2).astype(np.float32)
         self.p = {
             "E": small(rows, DIM), "Q": small(DIM, DIM), "K": small(DIM, DIM), "V": small(DIM, DIM),
-            "O": small(DIM, CLASSES), "b": np.log(np.maximum(mass, 1) / max(mass.sum(), 1)).astype(np.float32),
-            "r": np.zeros(SPAN, np.float32),
+            "O": small(DIM, CLASSES) * 0.1, "b": np.zeros(CLASSES, np.float32), "r": np.zeros(SPAN, np.float32),
         }
+        self.share = np.maximum(mass, 1e-9) / mass.sum()  # a cluster may be empty
+        self.follow(np.zeros((INPUTS + CLASSES, CLASSES)), np.zeros((INPUTS, INPUTS)))
+
+    def follow(self, after: np.ndarray, next_: np.ndarray) -> None:
+        """Log frequency of each class after each input, smoothed by the class's own,
+        and of each subword within its class after a frequent subword."""
+        p = (after + 4 * self.share) / (after.sum(1, keepdims=True) + 4)
+        self.after = np.log(np.vstack([p, self.share])).astype(np.float32)
+        ids = np.zeros(INPUTS, np.int64)
+        frequent = np.flatnonzero(self.inputs < INPUTS)
+        ids[self.inputs[frequent]] = frequent
+        cls = self.cls[ids]
+        of_class = np.zeros((INPUTS, CLASSES))
+        for c in range(CLASSES):
+            of_class[:, c] = next_[:, cls == c].sum(1)
+        #: What all subwords of a class get, and what a frequent one gets beyond it: logs.
+        self.left = np.log(2 / (of_class + 2)).astype(np.float32)
+        own = 2 * np.exp(self.within[ids].astype(np.float64))
+        self.gain = np.log((next_ + own) / own).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p.values()])
@@ -214,7 +267,7 @@ class Model:
             a = np.exp(s) * self._near() * (ids < INPUTS + CLASSES)[:, None, :]
             a /= a.sum(2, keepdims=True) + 1e-9
             h = xq + a @ val
-            z = h @ p["O"] + p["b"]
+            z = h @ p["O"] + p["b"] + self.after[ids[:, SPAN - STEP :]]
             z -= z.max(2, keepdims=True)
             e = np.exp(z)
             e /= e.sum(2, keepdims=True)
@@ -243,20 +296,19 @@ class Model:
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.98**t)) + 1e-7)).astype(np.float32)
 
     def tables(self) -> None:
-        """Queries, keys and values of every input, scaled so that no exp can overflow."""
+        """Queries, keys and values of every input."""
         p = self.p
         gap = INPUTS + CLASSES
-        e = p["E"].copy()
-        q, k = e @ p["Q"] / np.sqrt(DIM), e @ p["K"]
-        most = float(np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max())
-        q *= min(1, 30 / max(most, 1e-9))
-        self.tq, self.tk, self.tv = q.astype(np.float32), k.astype(np.float32), (e @ p["V"]).astype(np.float32)
+        e = p["E"]
+        self.tq, self.tk, self.tv = e @ p["Q"] / np.float32(np.sqrt(DIM)), e @ p["K"], e @ p["V"]
         self.tk[gap] = 0
         self.tv[gap] = 0
-        self.te, self.near = e.astype(np.float32), self._near()
-        wide = float((np.linalg.norm(self.te, axis=1).max() + np.linalg.norm(self.tv, axis=1).max()) * np.linalg.norm(p["O"], axis=0).max() + np.abs(p["b"]).max())
-        self.scale = np.float32(min(1, 80 / max(wide, 1e-9)))
-        self.out, self.bias = p["O"] * self.scale, p["b"] * self.scale
+        self.near = self._near()
+        self.last = self.after + p["b"] + e @ p["O"]  # what the last subword alone says
+        size = lambda x, axis: float(np.linalg.norm(x, axis=axis).max())
+        # Where these bounds hold, no exp can overflow, and none needs its row's maximum.
+        self.tame_scores = size(self.tq, 1) * size(self.tk, 1) <= 30
+        self.tame = size(self.tv, 1) * size(p["O"], 0) + float(self.last.max()) <= 60
 
     def score(self, seq: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Natural log probability of each text: seq holds its ids between two end marks."""
@@ -276,20 +328,29 @@ class Model:
             ids = np.where(inside, given[np.clip(at, 0, len(seq) - 1)], gap)
             iq = ids[:, SPAN - STEP :]
             a = np.matmul(self.tq[iq], self.tk[ids].transpose(0, 2, 1))
+            if not self.tame_scores:
+                np.clip(a, -30, 30, out=a)
             np.exp(a, out=a)
             a *= self.near
             a *= inside[:, None, :].astype(np.float32)
             z = a.sum(2, keepdims=True) + np.float32(1e-9)
             h = np.matmul(a, self.tv[ids])
             h /= z
-            h += self.te[iq]
-            logits = h.reshape(-1, DIM) @ self.out
-            logits += self.bias
+            logits = h.reshape(-1, DIM) @ self.p["O"]
+            logits += self.last[iq.ravel()]
+            if not self.tame:
+                logits -= logits.max(1, keepdims=True)
             ok = inside[:, SPAN - STEP :].ravel()
             goal = seq[np.minimum(at[:, SPAN - STEP :].ravel() + 1, len(seq) - 1)]
             own = logits[np.arange(len(goal)), self.cls[goal]]
             np.exp(logits, out=logits)
             got = own - np.log(logits.sum(1)) + self.within[goal]
+            last = iq.ravel()
+            tracked = np.flatnonzero(last < INPUTS)
+            a, y = last[tracked], self.inputs[goal[tracked]]
+            more = self.left[a, self.cls[goal[tracked]]]
+            more += np.where(y < INPUTS, self.gain[a, np.minimum(y, INPUTS - 1)], 0)
+            got[tracked] += more
             total += np.bincount(np.repeat(d, STEP)[ok], got[ok], n_docs)
         return total
 
@@ -370,12 +431,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent_ranks = sc.broadcast(ranks)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     raw = rows.mapInArrow(lambda it: _gather(it, sent_ranks), "kind tinyint, key bigint, n bigint, v array<float>")
-    # Words and subwords are summed by key; windows pass as they are, each under a key of its own.
-    own = F.when(F.col("kind") == 2, F.monotonically_increasing_id()).otherwise(F.col("key"))
     cols = [F.sum(F.col("v")[k].cast("double")).alias(f"v{k}") for k in range(PROFILE)]
-    raw = raw.withColumn("key", own)
-    window = F.first(F.when(F.col("kind") == 2, F.col("v").cast("array<int>"))).alias("window")
-    facts = stored(raw.groupBy("kind", "key").agg(F.sum("n").alias("n"), window, *cols))
+    facts = stored(raw.groupBy("kind", "key").agg(F.sum("n").alias("n"), *cols))
     sub = facts.where("kind = 1").select("key", "n", *[f"v{k}" for k in range(PROFILE)]).toArrow()  # a row a subword at most
     many, profile = np.zeros(end + 1, np.int64), np.zeros((end + 1, PROFILE))
     at = sub.column("key").to_numpy()
@@ -389,7 +446,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     divisor = float(tokens + vocab + 1)
 
     model = Model(many, profile)
-    windows = facts.where("kind = 2").select(F.col("window").alias("v"))
+    sent_model = sc.broadcast(model)
+    raw = stored(rows.mapInArrow(lambda it: _sequences(it, sent_ranks, sent_model), "kind tinyint, key bigint, n bigint, v array<float>"))
+    pairs = raw.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # a row an input and class at most
+    after = np.zeros((INPUTS + CLASSES) * CLASSES)
+    after[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
+    pairs = raw.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # a row a pair of frequent subwords at most
+    next_ = np.zeros(INPUTS * INPUTS)
+    next_[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
+    model.follow(after.reshape(-1, CLASSES), next_.reshape(INPUTS, INPUTS))
+    windows = raw.where("kind = 1").select("v")
     windows = stored(windows.repartition(2 + windows.count() // WINDOWS_A_TASK))
     for r in range(ROUNDS):
         sent = sc.broadcast(model)

@@ -44,6 +44,7 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     many = rng.integers(0, 50, 3001)
     m = Model(many, rng.normal(size=(3001, lm.PROFILE)) * many[:, None])
+    m.follow(rng.integers(0, 9, (lm.INPUTS + lm.CLASSES, lm.CLASSES)).astype(float), rng.integers(0, 9, (lm.INPUTS, lm.INPUTS)).astype(float))
     m.train(np.where(rng.random((50, lm.SPAN + 1)) < 0.1, -1, rng.integers(0, 3000, (50, lm.SPAN + 1))), 20, 0)
     m.tables()
     past = [m.end, *rng.integers(0, 3000, 40)]
