@@ -363,7 +363,7 @@ def _train(batches: Iterator[pa.RecordBatch], sent, round_: int) -> Iterator[pa.
     w = np.concatenate(windows)
     model = sent.value
     before = model.flat()
-    model.train(w, int(np.clip(len(w) / BATCH, 60, 400)), 1000 * round_ + TaskContext.get().partitionId())
+    model.train(w, int(np.clip(len(w) / BATCH, 200, 400)), 1000 * round_ + TaskContext.get().partitionId())
     flat = model.flat()
     model.load(before)
     rows = np.append(flat.astype(np.float64), 1.0) * len(w)
