@@ -13,6 +13,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.neardup import near_duplicates
 
