@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = stored(banded.join(hubs, "key"))
     stars = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     ids = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # One row an id, though rows may repeat.
-    texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # One row an id, though rows may repeat. Ids grow with the input: the same join at every size.
+    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stored(texts.mapInArrow(lambda it: _full_sets(it, k), "doc_id bigint, set array<bigint>"))
     links = _confirmed(stars, sets, percent)
     roots = stored(components(links))
