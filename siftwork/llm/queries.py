@@ -31,6 +31,12 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.tokencount import length_histogram, token_counts
 

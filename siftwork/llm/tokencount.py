@@ -22,7 +22,7 @@ from siftwork.llm.textbatch import Block, blocks
 from siftwork.session import ship
 
 #: Neighbouring lengths whose sums one task makes.
-SPAN = 4096
+SPAN = 256
 
 
 def _counted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
