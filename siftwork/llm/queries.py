@@ -43,6 +43,12 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.media import text_media
+
+    return text_media(table(spark, sf_dir, "documents")).drop("error")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.pii import find_pii
 
