@@ -49,6 +49,12 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents")).drop("error")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwork.llm.suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.pii import find_pii
 
