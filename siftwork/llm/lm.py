@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,7 +60,7 @@ def _encoded(part: pa.RecordBatch, ranks: bytes):
     h = b.hashes(b.starts, b.ends)
     codes, ids = word_memo(ranks)(b, h, b.starts, b.ends)
     size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
     distinct = np.zeros(len(ids), np.uint64)
     distinct[codes] = h
     return b, codes, distinct, flat, size
@@ -303,56 +304,67 @@ class Model:
         self.tq, self.tk, self.tv = e @ p["Q"] / np.float32(np.sqrt(DIM)), e @ p["K"], e @ p["V"]
         self.tk[gap] = 0
         self.tv[gap] = 0
+        # A last column of ones, 0 for the gap: sums of weights come with the values, and gaps weigh nothing.
+        ones = np.ones((len(self.tv), 1), np.float32)
+        ones[gap] = 0
+        self.tv = np.hstack([self.tv, ones])
         self.near = self._near()
         self.last = self.after + p["b"] + e @ p["O"]  # what the last subword alone says
         size = lambda x, axis: float(np.linalg.norm(x, axis=axis).max())
         # Where these bounds hold, no exp can overflow, and none needs its row's maximum.
         self.tame_scores = size(self.tq, 1) * size(self.tk, 1) <= 30
-        self.tame = size(self.tv, 1) * size(p["O"], 0) + float(self.last.max()) <= 60
+        self.tame = size(self.tv[:, :DIM], 1) * size(p["O"], 0) + float(self.last.max()) <= 60
 
     def score(self, seq: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Natural log probability of each text: seq holds its ids between two end marks."""
-        n_docs = len(off) - 1
+        n_docs, lead = len(off) - 1, SPAN - STEP
         asked = np.diff(off) - 1  # the last mark is a goal only
+        # Every text stands behind lead gaps, so that no window looks into another text.
+        doc = np.repeat(np.arange(n_docs), np.diff(off))
+        place = np.arange(len(seq)) + lead * (doc + 1)
+        given = np.full(len(seq) + lead * n_docs + 2 * SPAN, INPUTS + CLASSES, np.intp)
+        goal = np.zeros(len(given), np.intp)
+        given[place] = self.inputs[seq]
+        goal[place - 1] = self.cls[seq]
         wins = -(-asked // STEP)
         of = np.repeat(np.arange(n_docs), wins)
-        number = np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins)
-        start = off[:-1][of] + number * STEP
-        given = self.inputs[seq]
+        first = STEP * (np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins))
+        start = place[off[:-1][of]] + first - lead
+        left = asked[of] - first  # goals from here to the text's end
         total = np.zeros(n_docs)
-        gap = INPUTS + CLASSES
+        keys, ones = np.arange(SPAN), np.ones(CLASSES, np.float32)
+        rows = np.arange(512 * STEP) * CLASSES
         for i in range(0, len(of), 512):
-            s, d = start[i : i + 512], of[i : i + 512]
-            at = s[:, None] + np.arange(STEP - SPAN, STEP)
-            inside = (at >= off[:-1][d][:, None]) & (at < (off[1:][d] - 1)[:, None])
-            ids = np.where(inside, given[np.clip(at, 0, len(seq) - 1)], gap)
-            iq = ids[:, SPAN - STEP :]
-            a = np.matmul(self.tq[iq], self.tk[ids].transpose(0, 2, 1))
+            at = start[i : i + 512, None] + keys
+            ids = given.take(at)
+            last = ids[:, lead:]
+            a = np.matmul(self.tq.take(last, 0), self.tk.take(ids, 0).transpose(0, 2, 1))
             if not self.tame_scores:
                 np.clip(a, -30, 30, out=a)
             np.exp(a, out=a)
             a *= self.near
-            a *= inside[:, None, :].astype(np.float32)
-            z = a.sum(2, keepdims=True) + np.float32(1e-9)
-            h = np.matmul(a, self.tv[ids])
-            h /= z
-            logits = h.reshape(-1, DIM) @ self.p["O"]
-            logits += self.last[iq.ravel()]
+            h = np.matmul(a, self.tv.take(ids, 0))
+            h = (h[..., :DIM] / (h[..., DIM:] + np.float32(1e-9))).reshape(-1, DIM)
+            logits = self.last.take(last.ravel(), 0)
+            logits += h @ self.p["O"]
             if not self.tame:
                 logits -= logits.max(1, keepdims=True)
-            ok = inside[:, SPAN - STEP :].ravel()
-            goal = seq[np.minimum(at[:, SPAN - STEP :].ravel() + 1, len(seq) - 1)]
-            own = logits[np.arange(len(goal)), self.cls[goal]]
+            own = logits.ravel().take(rows[: len(logits)] + goal.take(at[:, lead:]).ravel())
             np.exp(logits, out=logits)
-            got = own - np.log(logits.sum(1)) + self.within[goal]
-            last = iq.ravel()
-            tracked = np.flatnonzero(last < INPUTS)
-            a, y = last[tracked], self.inputs[goal[tracked]]
-            more = self.left[a, self.cls[goal[tracked]]]
-            more += np.where(y < INPUTS, self.gain[a, np.minimum(y, INPUTS - 1)], 0)
-            got[tracked] += more
-            total += np.bincount(np.repeat(d, STEP)[ok], got[ok], n_docs)
-        return total
+            got = (own - np.log(logits @ ones)).reshape(-1, STEP)
+            got *= np.arange(STEP) < left[i : i + 512, None]
+            total += np.bincount(of[i : i + 512], got.sum(1), n_docs)
+        # Each subword within its class, after the last one.
+        a, y = self.inputs[seq[:-1]], seq[1:]
+        more = self.within[y]
+        tracked = a < INPUTS
+        more += np.where(tracked, self.left[np.minimum(a, INPUTS - 1), self.cls[y]], 0)
+        z = self.inputs[y]
+        both = np.flatnonzero(tracked & (z < INPUTS))
+        more[both] += self.gain[a[both], z[both]]
+        inside = np.ones(len(more), bool)
+        inside[off[1:-1] - 1] = False
+        return total + np.bincount(doc[1:][inside], more[inside], n_docs)
 
 
 def _train(batches: Iterator[pa.RecordBatch], sent, round_: int) -> Iterator[pa.RecordBatch]:
