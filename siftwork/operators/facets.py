@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def facet(df: DataFrame, values: Column, limit: int | None = 12, descending_value: bool = False) -> DataFrame:
     """(value, n): rows per value, each row once per distinct value of its array,
     blanks left out; most frequent first, then by value."""
-    one = df.select(F.explode(F.array_distinct(F.transform(values, F.trim))).alias("value")).where("value <> ''")
+    one = df.select(F.explode(F.array_distinct(F.transform(values, lambda v: F.trim(v)))).alias("value")).where("value <> ''")
     counts = one.groupBy("value").agg(F.count("*").alias("n"))
     order = [F.desc("value")] if descending_value else [F.desc("n"), F.asc("value")]
     return counts.orderBy(*order).limit(limit) if limit else counts
@@ -17,9 +17,11 @@ def facet(df: DataFrame, values: Column, limit: int | None = 12, descending_valu
 
 def facet_set(df: DataFrame, facets: dict[str, Column]) -> DataFrame:
     """(facet, value, n) of several facets in one pass and one shuffle."""
-    entries = F.flatten(
-        F.array(*[F.transform(F.array_distinct(v), lambda x, k=k: F.struct(F.lit(k).alias("facet"), x.alias("value"))) for k, v in facets.items()])
-    )
+
+    def tagged(name: str, values: Column) -> Column:
+        return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("value")))
+
+    entries = F.flatten(F.array(*[tagged(k, v) for k, v in facets.items()]))
     return df.select(F.explode(entries).alias("e")).where("e.value is not null and e.value <> ''").groupBy("e.facet", "e.value").agg(F.count("*").alias("n"))
 
 

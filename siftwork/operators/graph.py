@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def noisy_or(confidence: Column, cap: float = 0.95, most: float = 0.99) -> Column:
     """Aggregate: 1 - product of (1 - c), every c cut at cap, the whole at most, two decimals."""
     left = F.exp(F.sum(F.log1p(-F.least(confidence, F.lit(cap)))))
-    return F.floor(F.least(F.lit(most), 1 - left) * 100 + 0.5) / 100
+    return F.floor(F.round(F.least(F.lit(most), 1 - left) * 100, 6) + 0.5) / 100
 
 
 def edges(facts: DataFrame) -> DataFrame:

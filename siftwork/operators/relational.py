@@ -30,7 +30,7 @@ def first_wins_union(parts: list[DataFrame], key: str) -> DataFrame:
 
 def distinct_spellings(values: Column, placeholders: tuple[str, ...] = ("unknown", "n/a", "none", "-")) -> Column:
     """Trimmed values without placeholders; of spellings that differ by case, the first."""
-    clean = F.filter(F.transform(values, F.trim), lambda v: (v != "") & ~F.lower(v).isin(*placeholders))
+    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: (v != "") & ~F.lower(v).isin(*placeholders))
     low = F.transform(clean, F.lower)
     return F.transform(F.array_distinct(low), lambda v: F.element_at(clean, F.array_position(low, v).cast("int")))
 
