@@ -11,6 +11,7 @@ import calendar
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -260,8 +261,6 @@ def chunks(text: str, size: int = 1200, overlap: int = 200) -> list[tuple[int, i
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1200, overlap: int = 200) -> DataFrame:
     """(key, start, end, passage): offsets in code points, exact slices."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<start:int,end:int,passage:string>>")
     def cut(col: pd.Series) -> pd.Series:
         return col.map(lambda t: [{"start": a, "end": b, "passage": t[a:b]} for a, b in chunks(t or "", size, overlap)])

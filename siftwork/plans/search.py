@@ -1 +1,80 @@
-"""Queries."""
+"""Search over documents: title is the first line, body the rest, source the publisher."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwork.functions import text as tx
+from siftwork.operators import facets as fc
+from siftwork.operators import search as sr
+from siftwork.plans.catalog import query
+from siftwork.session import table as t
+
+WANTED = ["thble", "anthe", "eaux", "schung", "tionen"]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").withColumn("title", F.split("text", "\n")[0])
+
+
+_BM = """x AS (SELECT doc_id, 'title' AS field, 3.0 AS w, 0.5 AS b, regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+') AS terms FROM documents
+UNION ALL SELECT doc_id, 'body', 1.0, 0.75, regexp_extract_all(lower(text), '[a-z0-9]+') FROM documents),
+avgs AS (SELECT field, greatest(avg(len(terms)), 1) AS a FROM x GROUP BY 1), q AS (SELECT unnest(['thble', 'anthe', 'eaux', 'schung', 'tionen']) AS term),
+tf AS (SELECT doc_id, term, sum(w * tf / (1 - b + b * n / a)) AS tfw FROM (SELECT x.doc_id, x.field, x.w, x.b, len(x.terms) AS n, q.term, len(list_filter(x.terms, lambda v: v = q.term)) AS tf FROM x, q) JOIN avgs USING (field) WHERE tf > 0 GROUP BY 1, 2),
+df AS (SELECT term, greatest(0.2, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM tf GROUP BY 1),
+s AS (SELECT doc_id, sum(idf * tfw / (1.4 + tfw)) * (0.5 + 0.5 * count(*) / 5) AS score, count(*) AS n_hits FROM tf JOIN df USING (term) GROUP BY 1)"""
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = _docs(spark, d)
+    terms, lengths = sr.postings(docs, {"title": F.col("title"), "body": F.col("text")}, split=tx.plain_runs)
+    fields = {k: sr.FIELDS[k] for k in ("title", "body")}
+    return sr.bm25f(terms, lengths, WANTED, weights=fields)
+
+
+@query(f"WITH {_BM} SELECT s.doc_id, round(score, 6) AS score, n_hits FROM s JOIN documents USING (doc_id) WHERE lang <> 'es' ORDER BY score DESC, doc_id LIMIT 20")
+def search_bm25_top20(spark: SparkSession, d: str) -> DataFrame:
+    out = _scored(spark, d).join(t(spark, d, "documents").where("lang <> 'es'").select("doc_id"), "doc_id")
+    return out.select("doc_id", F.round("score", 6).alias("score"), "n_hits").orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""WITH {_BM}, r AS (SELECT s.doc_id, source, score, row_number() OVER (PARTITION BY source ORDER BY round(score, 6) DESC, s.doc_id) AS k FROM s JOIN documents USING (doc_id))
+SELECT doc_id, source, round(round(score, 6) * pow(0.85, k - 1), 6) AS adjusted FROM r ORDER BY adjusted DESC, doc_id LIMIT 30""")
+def search_publisher_diversity(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d).withColumn("score", F.round("score", 6)).join(t(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    out = sr.diversify(s, "source", "score", "doc_id").select("doc_id", "source", F.round("adjusted", 6).alias("adjusted"))
+    return out.orderBy(F.desc("adjusted"), "doc_id").limit(30)
+
+
+@query(f"""WITH {_BM}, r AS (SELECT s.doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY md5(text) ORDER BY round(score, 6) DESC, s.doc_id) AS k, count(*) OVER (PARTITION BY md5(text)) AS copies FROM s JOIN documents USING (doc_id))
+SELECT doc_id, score, copies FROM r WHERE k = 1""")
+def search_collapse_copies(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d).withColumn("score", F.round("score", 6)).join(t(spark, d, "documents").select("doc_id", F.md5("text").alias("same")), "doc_id")
+    return sr.collapse(s, "doc_id", "score", "same").select("doc_id", "score", "copies")
+
+
+@query(f"WITH {_BM} SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM s JOIN documents USING (doc_id) GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM s JOIN documents USING (doc_id) GROUP BY 2")
+def search_facets(spark: SparkSession, d: str) -> DataFrame:
+    s = _scored(spark, d).select("doc_id").join(t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    return fc.facet_set(s, {"lang": F.array("lang"), "source": F.array("source")})
+
+
+@query("""SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source <> 'src3' AND contains(regexp_replace(lower(text), '\\s+', ' ', 'g'), 'of the') AND NOT regexp_matches(regexp_replace(lower(text), '\\s+', ' ', 'g'), '(^|[^a-z0-9])shthe([^a-z0-9]|$)')""")
+def search_filters(spark: SparkSession, d: str) -> DataFrame:
+    q = sr.interpret('lang:en,fr -source:src3 "of the" -shthe')
+    docs = t(spark, d, "documents")
+    return docs.where(sr.passes(q, {"lang": F.array("lang"), "source": F.array("source")}, tx.flatten_text(F.col("text")))).select("doc_id")
+
+
+@query("""WITH l AS (SELECT d.doc_id, (0.85 + 0.15 * 0.6) * CASE n_chars % 4 WHEN 1 THEN 1.06 WHEN 2 THEN 1.04 WHEN 3 THEN 1.0 ELSE 1 END * (0.9 + 0.1 * coalesce(quality, 0.5)) AS m FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) SELECT doc_id, round(m, 9) AS m FROM l""")
+def search_priors(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")
+    m = sr.priors(F.lit(None).cast("double"), (F.col("n_chars") % 4).cast("int"), F.col("quality").cast("double"), F.lit(None).cast("date"), "2024-01-01")
+    return docs.select("doc_id", F.round(m, 9).alias("m"))
+
+
+@query(None)
+def search_passages(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: where passages end is decided text by text. Tested for exact offsets."""
+    return sr.select_passages(sr.passages(t(spark, d, "documents").select("doc_id", "text")), WANTED)

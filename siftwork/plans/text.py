@@ -1 +1,120 @@
-"""Queries."""
+"""Text functions, fingerprints and classification over documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwork.functions import text as tx
+from siftwork.operators import dedup as dd
+from siftwork.operators import quality as ql
+from siftwork.operators import relational as rel
+from siftwork.plans.catalog import query
+from siftwork.session import table as t
+
+
+@query("""SELECT doc_id, sha256(text) AS sha FROM documents""")
+def content_sha256(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query("""SELECT sha256(text) AS sha, min(doc_id) AS canonical, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    g = t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("canonical"), F.count("*").alias("copies"))
+    return g.where("copies > 1")
+
+
+@query("""SELECT md5(text) AS g, arg_min(doc_id, (CASE WHEN source IN ('src1', 'src2') THEN 1 ELSE 0 END, n_chars % 4 + 1, lang, doc_id)) AS canonical, count(*) AS copies FROM documents GROUP BY 1""")
+def canonical_copy(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").withColumn("g", F.md5("text"))
+    return dd.canonical(docs, "g", "doc_id", F.col("source"), (F.col("n_chars") % 4 + 1).cast("int"), F.col("lang"), ["src1", "src2"])
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_runs, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS n_distinct FROM documents""")
+def token_statistics(spark: SparkSession, d: str) -> DataFrame:
+    r = tx.plain_runs(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", F.size(r).alias("n_runs"), F.size(F.array_distinct(r)).alias("n_distinct"))
+
+
+@query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM x GROUP BY 1 ORDER BY df DESC, term LIMIT 100""")
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    per = t(spark, d, "documents").select("doc_id", F.explode(tx.plain_runs(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("k"))
+    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("k").alias("tf")).orderBy(F.desc("df"), "term").limit(100)
+
+
+@query("""SELECT doc_id, ip FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}'))) AS ip FROM documents)
+WHERE list_bool_and(list_transform(string_split(ip, '.'), lambda x: CAST(x AS INT) <= 255)) AND NOT (split_part(ip, '.', 1) IN ('0', '10', '127') OR CAST(split_part(ip, '.', 1) AS INT) >= 224
+OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '168') OR (split_part(ip, '.', 1) = '172' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31)
+OR (split_part(ip, '.', 1) = '100' AND CAST(split_part(ip, '.', 2) AS INT) BETWEEN 64 AND 127) OR (split_part(ip, '.', 1) = '169' AND split_part(ip, '.', 2) = '254')
+OR (split_part(ip, '.', 1) = '192' AND split_part(ip, '.', 2) = '0' AND split_part(ip, '.', 3) IN ('0', '2')) OR (split_part(ip, '.', 1) = '198' AND split_part(ip, '.', 2) IN ('18', '19'))
+OR (split_part(ip, '.', 1) = '198' AND split_part(ip, '.', 2) = '51' AND split_part(ip, '.', 3) = '100') OR (split_part(ip, '.', 1) = '203' AND split_part(ip, '.', 2) = '0' AND split_part(ip, '.', 3) = '113'))""")
+def public_ips(spark: SparkSession, d: str) -> DataFrame:
+    ips = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}"), F.lit(0)))
+    return t(spark, d, "documents").select("doc_id", F.explode(ips).alias("ip")).where(tx.is_public_ipv4(F.col("ip")))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bhxxp(s?)', 'http\\1', 'gi'), '\\s*[\\[({]\\s*(?:[.]|dot)\\s*[\\])}]\\s*', '.', 'gi'), '\\s*[\\[({]\\s*(?:@|at)\\s*[\\])}]\\s*', '@', 'gi') AS text
+FROM (SELECT doc_id, concat('hxxps://', replace(substr(text, 1, 80), ' ', '[.]'), ' {at} x(dot)y') AS text FROM documents)""")
+def refanged(spark: SparkSession, d: str) -> DataFrame:
+    bent = F.concat(F.lit("hxxps://"), F.replace(F.substring("text", 1, 80), F.lit(" "), F.lit("[.]")), F.lit(" {at} x(dot)y"))
+    return t(spark, d, "documents").select("doc_id", tx.refang(bent).alias("text"))
+
+
+@query("""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 120 THEN rtrim(substr(x, 1, 120)) || chr(8230) ELSE x END AS excerpt FROM s""")
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", tx.excerpt(F.col("text"), 120).alias("excerpt"))
+
+
+@query("""SELECT page_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM pages""")
+def url_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", tx.slug(F.col("url")).alias("slug"))
+
+
+@query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+def quotes_grounded(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes found in documents: an equi-join on the hash of a quote's first five words, then a containment test."""
+    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    head = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    b = b.withColumn("k", F.array_join(F.slice(head(F.col("quote")), 2, 4), " "))
+    w = t(spark, d, "documents").select("doc_id", head(F.col("text")).alias("w"))
+    n = F.size("w") - 3
+    keys = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " "))).otherwise(F.array().cast("array<string>"))
+    hit = w.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(b.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    return hit.join(docs, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
+
+
+_RUNS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+
+
+@query(f"""WITH x AS (SELECT doc_id, unnest({_RUNS}) AS term FROM documents WHERE doc_id % 2 = 0 AND n_chars < 2000), n AS (SELECT doc_id, count(*) AS k FROM x GROUP BY 1),
+p AS (SELECT l.quality, count(*) AS docs, sum(n.k) AS terms FROM n JOIN labels l USING (doc_id) GROUP BY 1) SELECT quality, docs, terms FROM p""")
+def quality_by_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").where("doc_id % 2 = 0 and n_chars < 2000")
+    n = docs.select("doc_id", F.size(F.array_distinct(tx.plain_runs(F.col("text")))).alias("k"))
+    return n.where("k > 0").join(t(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("k").alias("terms"))
+
+
+@query("""WITH w AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) SELECT doc_id, n AS word_count,
+round(greatest(0, least(1, 0.22 + CASE WHEN n >= 2500 THEN 0.28 WHEN n >= 1200 THEN 0.2 WHEN n >= 500 THEN 0.1 ELSE -0.12 END - 0.1)), 2) AS score
+FROM w WHERE NOT regexp_matches(lower(text), 'att&ck|cve-|attack|threat|powershell|malware|exploit|t1[0-9]{3}|ransom|phish|payload|loader|backdoor|credential|lateral|persist|actor|vulnerab|botnet|beacon|stage|hklm|hkcu|event|byovd')""")
+def quality_score(spark: SparkSession, d: str) -> DataFrame:
+    """On texts without threat vocabulary, where the length tiers decide; the other terms are unit-tested."""
+    none = "att&ck|cve-|attack|threat|powershell|malware|exploit|t1[0-9]{3}|ransom|phish|payload|loader|backdoor|credential|lateral|persist|actor|vulnerab|botnet|beacon|stage|hklm|hkcu|event|byovd"
+    docs = t(spark, d, "documents").where(~F.lower("text").rlike(none))
+    return docs.select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
+
+
+@query(None)
+def simhash_near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: the hash is this library's own. Tested against all pairs on a small table."""
+    docs = t(spark, d, "documents").select("doc_id", "text", "source")
+    prints = dd.fingerprints(docs, "doc_id", "text", F.split("text", "\n")[0], F.col("source"))
+    return dd.near_pairs(prints, "doc_id")
+
+
+@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 40, 400)), '[a-z0-9]+')) AS b FROM documents)
+SELECT doc_id, len(list_filter(a, lambda v: NOT list_contains(b, v))) AS lost, len(list_filter(b, lambda v: NOT list_contains(a, v))) AS added FROM x""")
+def token_difference(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (tx.plain_runs(F.substring("text", i, 400)) for i in (1, 40))
+    return t(spark, d, "documents").select("doc_id", rel.token_difference(a, b).alias("x")).select("doc_id", F.size("x.lost").alias("lost"), F.size("x.added").alias("added"))
