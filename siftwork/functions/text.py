@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ EXACT_ID = f"^(?:{CVE}|{TECHNIQUE}|{DIGEST}|{IPV4})$"
 RUN = r"[a-z0-9]+(?:[-._][a-z0-9]+)*"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; a lambda inside body that named the
+    expression itself would compute it again for every element."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def round_half_up(x: Column, digits: int) -> Column:
     """Halves go up, for negative numbers too (unlike round())."""
     return F.floor(x * 10**digits + 0.5) / 10**digits
@@ -168,5 +176,10 @@ def word_shingles(text: Column, k: int = 5, words: int | None = None) -> Column:
     w = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9 ]+", " "), r"\s+"), lambda x: x != "")
     if words:
         w = F.slice(w, 1, words)
-    n = F.size(w) - k + 1
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(w, i, k), " "))))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+
+    def runs(v: Column) -> Column:
+        n = F.size(v) - k + 1
+        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(v, i, k), " "))))).otherwise(none)
+
+    return let(w, runs)

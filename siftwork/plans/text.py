@@ -77,8 +77,11 @@ def quotes_grounded(spark: SparkSession, d: str) -> DataFrame:
     head = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     b = b.withColumn("k", F.array_join(F.slice(head(F.col("quote")), 2, 4), " "))
     w = t(spark, d, "documents").select("doc_id", head(F.col("text")).alias("w"))
-    n = F.size("w") - 3
-    keys = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(F.col("w"), i, 4), " "))).otherwise(F.array().cast("array<string>"))
+
+    def starts(v):
+        return F.when(F.size(v) > 3, F.transform(F.sequence(F.lit(1), F.size(v) - 3), lambda i: F.array_join(F.slice(v, i, 4), " "))).otherwise(F.array().cast("array<string>"))
+
+    keys = tx.let(F.col("w"), starts)
     hit = w.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(b.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
     docs = t(spark, d, "documents").select("doc_id", "text")
     return hit.join(docs, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
