@@ -15,9 +15,9 @@ in two, is repeated; each byte that a repeated string covers is removed.
    queues hold beyond QUEUE_BYTES lies in a scratch file. Neighbours in the
    order that share LENGTH bytes are repeats; the sort need only be right to
    that depth.
-3. Anchors with over HOT places are too many for one task: their strings are
-   counted by 64-bit hash as rows, which combines equal ones before the
-   shuffle and so splits any group.
+3. Anchors with over HOT places are too many for one task: of their equal
+   passages one is cut into strings, which are counted by 64-bit hash as rows;
+   equal ones combine before the shuffle, so any group is split.
 """
 
 from __future__ import annotations
@@ -314,7 +314,7 @@ def _sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all strings of hot anchors' passages."""
+    """Hashes of all strings of passages, and whether they are known to repeat."""
     for batch in batches:
         for part in blocks(batch, "passage"):
             b = Block(part.column("passage"), lower=False)
@@ -322,7 +322,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.arange(int(n.sum())) + np.repeat(b.off[:-1] - (np.cumsum(n) - n), n)
             h = b.hashes(starts, starts + LENGTH)
             place = starts - np.repeat(b.off[:-1], n) + np.repeat(part.column("start").to_numpy().astype(np.int64), n)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(part.column("row").to_numpy(), n)), pa.array(place)], ["h", "row", "a"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(part.column("row").to_numpy(), n)), pa.array(place), pa.array(np.repeat(part.column("known").to_numpy(zero_copy_only=False), n))], ["h", "row", "a", "known"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,9 +378,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = passages.where("copies > 1").select("row", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).cast("bigint").alias("b"))
     sharded = passages.where(F.col("places") <= HOT).select("anchor", "row", "start", "n", "passage")
     sorted_ = sharded.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_sorted, "row bigint, a bigint, b bigint")
-    strings = passages.where(F.col("places") > HOT).select("row", "start", "n", "passage").mapInArrow(_strings, "h bigint, row bigint, a bigint")
+    # Hot anchors: of equal passages one is cut into strings; all strings of the others are repeated.
+    crowd = passages.where(F.col("places") > HOT).select("anchor", F.md5("passage").alias("like"), "row", "start", "n", "passage")
+    kinds = crowd.groupBy("anchor", "like").agg(F.count("*").alias("c"), F.min(F.struct("row", "start")).alias("first"))
+    crowd = crowd.join(kinds.hint("merge"), ["anchor", "like"])
+    equal = crowd.where("c > 1").select("row", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).cast("bigint").alias("b"))
+    one = crowd.where((F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))).select("row", "start", "n", "passage", (F.col("c") > 1).alias("known"))
+    strings = one.mapInArrow(_strings, "h bigint, row bigint, a bigint, known boolean")
     again = strings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    hot = strings.join(again, "h").select("row", "a", (F.col("a") + LENGTH).alias("b"))
+    hot = equal.union(strings.where("not known").join(again, "h").select("row", "a", (F.col("a") + LENGTH).alias("b")))
     runs = copies.union(sorted_).union(hot).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     runs = stored(runs)
     whole = rows.join(runs.hint("merge"), "row", "left").select("doc_id", "text", "runs")
