@@ -9,6 +9,7 @@ from siftwork.functions import text as tx
 from siftwork.operators import dedup as dd
 from siftwork.operators import quality as ql
 from siftwork.operators import relational as rel
+from siftwork.operators import rules as ru
 from siftwork.plans.catalog import query
 from siftwork.session import table as t
 
@@ -121,3 +122,36 @@ SELECT doc_id, len(list_filter(a, lambda v: NOT list_contains(b, v))) AS lost, l
 def token_difference(spark: SparkSession, d: str) -> DataFrame:
     a, b = (tx.plain_runs(F.substring("text", i, 400)) for i in (1, 40))
     return t(spark, d, "documents").select("doc_id", rel.token_difference(a, b).alias("x")).select("doc_id", F.size("x.lost").alias("lost"), F.size("x.added").alias("added"))
+
+
+_W = "regexp_extract_all(lower(text), '\\p{L}+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_W} AS w FROM documents), h AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the','of','and','to','in','is','that','for','it','with','as','was','on','are','by','this'))) AS en,
+len(list_filter(w, lambda x: x IN ('der','die','das','und','ist','nicht','ein','eine','mit','von','zu','auf','für','den','dem'))) AS de,
+len(list_filter(w, lambda x: x IN ('le','la','les','des','et','est','une','dans','pour','que','qui','sur','pas','avec','du'))) AS fr FROM w) SELECT doc_id, en, de, fr FROM h""")
+def language_markers(spark: SparkSession, d: str) -> DataFrame:
+    def hits(lang: str):
+        return tx.let(ru.words_of(F.col("text")), lambda w: ru.marker_hits(w, lang))
+
+    return t(spark, d, "documents").select("doc_id", *[hits(k).alias(k) for k in ("en", "de", "fr")])
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(p, '/(?:tags?|categor(?:y|ies)|authors?|archives?|page)(?:/|$)') THEN 'index' WHEN p IN ('', '/') THEN 'shallow' END AS reason
+FROM (SELECT page_id, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]*', '')) AS p FROM pages)""")
+def candidate_urls(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", ru.candidate_url(F.col("url"), F.lit(False)).alias("reason"))
+
+
+@query("""SELECT doc_id, category, score, row_number() OVER (PARTITION BY doc_id ORDER BY r DESC, category) AS rank FROM (SELECT *, max(r) OVER (PARTITION BY doc_id) AS best FROM (
+SELECT doc_id, category, sum(weight * least(len(regexp_extract_all(lower(text), pattern)), cap)) + 0.0 AS score, sum(weight * least(len(regexp_extract_all(lower(text), pattern)), cap)) / max(threshold) AS r
+FROM documents, (VALUES ('a', 'tion', 1.0, 20, 5.0), ('a', 'ing', 0.5, 10, 5.0), ('b', 'eau', 1.0, 20, 5.0), ('c', 'sch', 1.0, 20, 5.0)) s(category, pattern, weight, cap, threshold) GROUP BY 1, 2 HAVING sum(weight * least(len(regexp_extract_all(lower(text), pattern)), cap)) >= max(threshold)))
+WHERE r >= 0.3 * best QUALIFY rank <= 4""")
+def taxonomy_labels(spark: SparkSession, d: str) -> DataFrame:
+    signals = spark.createDataFrame([("a", "tion", 1.0, 20, 5.0), ("a", "ing", 0.5, 10, 5.0), ("b", "eau", 1.0, 20, 5.0), ("c", "sch", 1.0, 20, 5.0)], "category string, pattern string, weight double, cap int, threshold double")
+    return ru.taxonomy(t(spark, d, "documents").withColumn("title", F.lit("")), signals)
+
+
+@query("""SELECT conv_id, turn, length(trim(text)) <= 4 OR regexp_matches(lower(trim(text)), '^(?:hi|hello|hey|thanks?|thank you|ok(?:ay)?|bye|good (?:morning|evening)|merci|danke|gracias)\\b[\\s!.,]*$') AS small_talk FROM conversations""")
+def conversational_turns(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "conversations").select("conv_id", "turn", ru.conversational(F.col("text")).alias("small_talk"))

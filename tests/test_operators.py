@@ -174,3 +174,30 @@ def test_structured_sources(spark, tmp_path):
     (tmp_path / "reports.jsonl").write_text('{"_id": {"$oid": "5f"}, "docType": "report"}\n{"_id": "x", "docType": "odd"}\n')
     b = structured.route(structured.read_backup(spark, str(tmp_path / "reports.jsonl")), {"report": "reports"})
     assert {(r.collection, r.id, r.route) for r in b.collect()} == {("reports", "5f", "reports"), ("reports", "x", "unclassified_documents")}
+
+
+def test_rules(spark):
+    from siftwork.operators import rules as ru
+
+    row = spark.range(1).select(
+        ru.detect_language(F.lit("the cat of the house is in that " * 10), F.lit(None).cast("string")).alias("en"),
+        ru.detect_language(F.lit("der hund und das haus ist nicht mit " * 10), F.lit("en-US")).alias("de"),
+        ru.detect_language(F.lit("zz"), F.lit("fr-FR")).alias("fr"),
+        ru.in_scope(F.lit("https://a.b.example.com/x/y"), F.lit("other.net; *.example.com/x*")).alias("s1"),
+        ru.in_scope(F.lit("https://a.example.com/z"), F.lit("example.com/x")).alias("s2"),
+        ru.domain_trust(F.lit("www.agency.gov")).alias("t"),
+        ru.technical_depth(F.lit(9), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(True)).alias("d"),
+        ru.protected_tokens(F.lit("CVE-2024-1111 at evil[.]example[.]com, T1059.001")).alias("p"),
+        ru.citations(F.lit("As said [S1, S9] and [S2]."), F.lit(3)).alias("c"),
+        ru.redact_config(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("name"), F.lit("y"))).alias("m"),
+        ru.next_window(F.lit(None).cast("date"), "2024-03-01").alias("w"),
+        ru.gaps(F.lit(0), F.lit(3), F.lit(0), F.lit(10)).alias("g"),
+        ru.relevance(F.lit("CVE-2024-1111 exploited"), F.lit("join our webinar"), F.lit("http://x/research/1"), ["exploit"], ["webinar"], F.lit(8), F.lit(10), F.lit(1), F.lit(False)).alias("r"),
+    ).first()
+    assert (row.en, row.de, row.fr, row.s1, row.s2, row.t, row.d) == ("en", "de", "fr", True, False, 0.98, 47)
+    assert row.p == ["cve-2024-1111", "evil[.]example[.]com", "t1059.001"] and (row.c.known, row.c.unknown) == ([1, 2], [9])
+    assert row.m == {"api_key": "***", "name": "y"} and str(row.w.since) == "2024-01-01" and row.g == ["no observed behaviour", "no detections"]
+    assert 0.7 < row.r < 0.9
+    steps = spark.createDataFrame([("T1", "missed", 2, 2), ("T2", "logged", 0, 1), ("T3", "detected", 2, 2)], "technique_id string, outcome string, priority int, risk int")
+    before = steps.withColumn("outcome", F.lit("detected"))
+    assert {(r.technique_id, r.severity, r.trend) for r in ru.findings(steps, before).collect()} == {("T1", "critical", "regressed"), ("T2", "low", "regressed")}
