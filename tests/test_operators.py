@@ -201,3 +201,24 @@ def test_rules(spark):
     steps = spark.createDataFrame([("T1", "missed", 2, 2), ("T2", "logged", 0, 1), ("T3", "detected", 2, 2)], "technique_id string, outcome string, priority int, risk int")
     before = steps.withColumn("outcome", F.lit("detected"))
     assert {(r.technique_id, r.severity, r.trend) for r in ru.findings(steps, before).collect()} == {("T1", "critical", "regressed"), ("T2", "low", "regressed")}
+
+
+def test_results_indexes_flows(spark):
+    import json
+
+    from siftwork.sources import plans
+
+    a = json.dumps({"results": [{"url": "http://x.example.com", "title": "T", "content": "c"}, {"url": "ftp://no"}]})
+    b = json.dumps({"web": {"results": [{"url": "https://y.example.com", "title": "U", "description": "d"}]}})
+    df = spark.createDataFrame([("a", a), ("b", b), ("c", "broken")], "k string, body string")
+    got = {r.k: [tuple(x) for x in r.r] for r in df.select("k", plans.json_results(F.col("body")).alias("r")).collect()}
+    assert got == {"a": [("http://x.example.com", "T", "c")], "b": [("https://y.example.com", "U", "d")], "c": []}
+    html = '<a rel="x" class="result__a" href="//d/?uddg=https%3A%2F%2Fz.example.com%2Fp&r=1">A <b>bold</b> one</a>'
+    one = spark.createDataFrame([(html,)], "h string").select(plans.html_results(F.col("h")).alias("r")).first().r
+    assert [(x.url, x.title) for x in one] == [("https://z.example.com/p", "A bold one")]
+    md = "| Name | Kind |\n|-|-|\n| [One](./one/) | full |\n| [Two](https://e.example.com) | x |\n| [One](one) | full |"
+    rows = plans.readme_index(spark.createDataFrame([("r", md)], "k string, t string"), "k", "t").collect()
+    assert [(r.name, r.folder, r.summary) for r in rows] == [("One", "one", "full")]
+    flow = {"objects": [{"id": "action", "instance": "n1", "anchors": {"0": "a1"}}, {"id": "action2", "instance": "n2", "anchors": {"0": "a2"}}, {"instance": "a1", "latches": ["l1"]}, {"instance": "a2", "latches": ["l2"]}, {"template": "dynamic_line", "source": "l1", "target": "l2"}]}
+    e = plans.flow_edges(spark.createDataFrame([("f", json.dumps(flow))], "k string, b string"), "k", "b").collect()
+    assert [(r.source, r.target) for r in e] == [("action", "action2")]
