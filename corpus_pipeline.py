@@ -28,7 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the least id; documents with an
-    empty set of shingles are in no group. Of rows that share an id, one stays."""
+    empty set of shingles are in no group. Of rows that share an id, one stays;
+    rows without an id can't be told apart and go."""
     kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
 
