@@ -361,11 +361,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    # Equal texts are one row from here on, so that a group of copies is cut once.
+    rows = rows.withColumn("row", F.xxhash64("text"))
     anchors = stored(rows.select("row", "text").mapInArrow(_anchors, "anchor bigint, row bigint, start int, n int"))
     twice = anchors.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1")
     met = anchors.join(twice.hint("merge"), "anchor").groupBy("row", "start", "n", "anchor").agg(F.max("places").alias("places"), F.count("*").alias("copies"))
-    # Rows that repeat bring their places once here; their copies say so.
+    # Texts that repeat bring their places once here; their copies say so.
     by_row = met.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "places", "copies")).alias("met"))  # bounded by a text's length
     once = rows.dropDuplicates(["row"]).select("row", "text")
     passages = (
@@ -374,7 +375,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("row", "m.anchor", "m.start", "m.n", "m.places", "m.copies", F.expr("substring(text, m.start + 1, m.n + {0})".format(LENGTH - 1)).alias("passage"))
     )
     passages = stored(passages)
-    # A row that repeats: all its strings start elsewhere.
+    # A text that repeats: all its strings start elsewhere.
     copies = passages.where("copies > 1").select("row", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).cast("bigint").alias("b"))
     sharded = passages.where(F.col("places") <= HOT).select("anchor", "row", "start", "n", "passage")
     sorted_ = sharded.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_sorted, "row bigint, a bigint, b bigint")
