@@ -23,7 +23,8 @@ from siftwork.session import ship
 WEIGHTS, GRAMS, MOST_LABELLED = 1 << 14, (3, 4, 5), 20_000
 #: (verdict, host and path) of the registered query; fixed values.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Labelled examples: 1 is to be blocked. Invented here, to be replaced by a team's own.
+#: Labelled examples: 1 is to be blocked. Written by hand after looking at the hosts of the
+#: page fixtures, some of which they name or resemble; to be replaced by a team's own.
 _BLOCK = ["www.cheap-pills", "cheap-meds", "spam-farm", "www.spam-links", "free-casino", "casino-bonus", "win-money-fast", "hot-singles", "loan-quick", "replica-watches", "adult-chat", "www.adult-films", "ads-network", "click-track", "track-my-ads", "sport-bets"]
 _ALLOW = ["www.library", "blog.garden", "news.city", "docs.kernel", "m.weather", "science.school", "recipes", "www.museum", "history.archive", "math.notes", "blog.thering", "www.theren", "m.thishouse", "news.thenorth", "blog.ontheroad", "m.earth", "www.addresses", "track-and-field"]
 _PATHS = ["en/1", "fr/205.html", "es/77?page=2", "de/88/"]
