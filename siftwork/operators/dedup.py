@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the hash's four bands: two hashes within 3 bits share one band whole.
 BANDS, NEAR, LEAST_TOKENS = 4, 3, 80
+#: Rows over which a class is dealt when its members look for their representative.
+SALTS = 32
 
 
 def normalized(text: Column) -> Column:
@@ -99,6 +101,23 @@ def near_pairs(prints: DataFrame, key: str, near: int = NEAR) -> DataFrame:
     return a.join(b, ["band", "v"]).where((F.col("a") < F.col("b")) & (d <= near)).select("a", "b", d.alias("distance")).distinct()
 
 
+def equal_members(prints: DataFrame, key: str) -> DataFrame:
+    """(a, b, distance 0): a is the least key of a hash, b each other key of it. A
+    row a member, not a pair of members; a large class is dealt over SALTS."""
+    full = prints.where(F.col("tokens") >= LEAST_TOKENS).select(F.col(key).alias("b"), "simhash")
+    one = full.groupBy("simhash").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1")
+    one = one.select("simhash", "a", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = full.withColumn("salt", F.pmod(F.hash("b"), F.lit(SALTS)))
+    return dealt.join(one, ["simhash", "salt"]).where(F.col("a") < F.col("b")).select("a", "b", F.lit(0).alias("distance")).distinct()
+
+
+def near_links(prints: DataFrame, key: str, near: int = NEAR) -> DataFrame:
+    """(a, b, distance), a < b: near_pairs() between representatives, and each other
+    document's link to the representative of its hash at distance 0. Two documents
+    are within near bits exactly if their representatives are one or linked."""
+    return near_pairs(prints, key, near).unionByName(equal_members(prints, key))
+
+
 def match_new(new: DataFrame, index: DataFrame, key: str) -> DataFrame:
     """For each new print the stored one it copies: (key, match, how), by content,
     then normalized text, then confirmed title, then nearest simhash. Never itself."""

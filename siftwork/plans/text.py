@@ -11,6 +11,7 @@ from siftwork.operators import quality as ql
 from siftwork.operators import relational as rel
 from siftwork.operators import rules as ru
 from siftwork.plans.catalog import query
+from siftwork.session import stored
 from siftwork.session import table as t
 
 
@@ -111,10 +112,11 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def simhash_near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: the hash is this library's own. Tested against all pairs on a small table."""
+    """Pairs of representatives, and every other document of a hash with its representative
+    at distance 0. No SQL: the hash is this library's own. Tested against all pairs on a small table."""
     docs = t(spark, d, "documents").select("doc_id", "text", "source")
     prints = dd.fingerprints(docs, "doc_id", "text", F.split("text", "\n")[0], F.col("source"))
-    return dd.near_pairs(prints, "doc_id")
+    return dd.near_links(stored(prints.select("doc_id", "simhash", "tokens")), "doc_id")
 
 
 @query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 40, 400)), '[a-z0-9]+')) AS b FROM documents)

@@ -58,6 +58,22 @@ def test_simhash_pairs_and_cascade(spark):
     assert got[3] == (0, "content") and got[1][1] in ("title", "simhash")
 
 
+def test_simhash_links_reach_every_copy(spark):
+    # 0, 7 and 9 are equal, 3 differs in one bit and has a copy 4, 5 is far, 6 is too short to tell.
+    rows = [(7, 0b1111, 100), (0, 0b1111, 100), (9, 0b1111, 90), (3, 0b0111, 100), (4, 0b0111, 100), (5, -1, 100), (6, 0b1111, 10), (9, 0b1111, 90)]
+    prints = spark.createDataFrame(rows, "doc_id long, simhash long, tokens int")
+    got = [tuple(r) for r in dedup.near_links(prints, "doc_id").collect()]
+    assert sorted(got) == [(0, 3, 1), (0, 7, 0), (0, 9, 0), (3, 4, 0)]
+    root = {b: a for a, b, d in got if d == 0}
+    linked = {(a, b) for a, b, d in got if d}
+    full = {k: h for k, h, n in rows if n >= 80}
+    for a in full:
+        for b in full:
+            if a != b:
+                ra, rb = sorted((root.get(a, a), root.get(b, b)))
+                assert (bin((full[a] ^ full[b]) & (2**64 - 1)).count("1") <= 3) == (ra == rb or (ra, rb) in linked)
+
+
 def test_paths_and_views(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "d")], "source string, target string")
     e = e.select("source", F.lit("p").alias("predicate"), "target", F.lit(0.5).alias("confidence"), F.lit(2).alias("weight"), F.lit(0).alias("stated"), F.lit(None).cast("date").alias("last_seen"))
