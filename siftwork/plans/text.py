@@ -62,6 +62,14 @@ def refanged(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", tx.refang(bent).alias("text"))
 
 
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bhxxp(s?)', 'http\\1', 'gi'), '\\s*[\\[({]\\s*(?:[.]|dot)\\s*[\\])}]\\s*', '.', 'gi'), '\\s*[\\[({]\\s*(?:@|at)\\s*[\\])}]\\s*', '@', 'gi') AS text
+FROM (SELECT doc_id, concat('hxxps://', replace(text, ' ', '[.]'), ' {at} x(dot)y') AS text FROM documents)""")
+def refanged_whole(spark: SparkSession, d: str) -> DataFrame:
+    """refanged over whole texts."""
+    bent = F.concat(F.lit("hxxps://"), F.replace("text", F.lit(" "), F.lit("[.]")), F.lit(" {at} x(dot)y"))
+    return t(spark, d, "documents").select("doc_id", tx.refang(bent).alias("text"))
+
+
 @query("""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents) SELECT doc_id, CASE WHEN length(x) > 120 THEN rtrim(substr(x, 1, 120)) || chr(8230) ELSE x END AS excerpt FROM s""")
 def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", tx.excerpt(F.col("text"), 120).alias("excerpt"))
@@ -100,6 +108,14 @@ def quality_by_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return n.where("k > 0").join(t(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("k").alias("terms"))
 
 
+@query(f"""WITH n AS (SELECT doc_id, len({_RUNS}) AS k FROM documents)
+SELECT l.quality, count(*) AS docs, sum(n.k) AS terms FROM n JOIN labels l USING (doc_id) WHERE n.k > 0 GROUP BY 1""")
+def quality_by_vocabulary_whole(spark: SparkSession, d: str) -> DataFrame:
+    """quality_by_vocabulary over every document, long or short."""
+    n = t(spark, d, "documents").select("doc_id", F.size(F.array_distinct(tx.plain_runs(F.col("text")))).alias("k"))
+    return n.where("k > 0").join(t(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("k").alias("terms"))
+
+
 @query("""WITH w AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) SELECT doc_id, n AS word_count,
 round(greatest(0, least(1, 0.22 + CASE WHEN n >= 2500 THEN 0.28 WHEN n >= 1200 THEN 0.2 WHEN n >= 500 THEN 0.1 ELSE -0.12 END - 0.1)), 2) AS score
 FROM w WHERE NOT regexp_matches(lower(text), 'att&ck|cve-|attack|threat|powershell|malware|exploit|t1[0-9]{3}|ransom|phish|payload|loader|backdoor|credential|lateral|persist|actor|vulnerab|botnet|beacon|stage|hklm|hkcu|event|byovd')""")
@@ -110,6 +126,12 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
 
 
+@query(None)
+def quality_score_whole(spark: SparkSession, d: str) -> DataFrame:
+    """quality_score over every document, with all terms of the score. No SQL: tested against brute force."""
+    return t(spark, d, "documents").select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
+
+
 @query(None)
 def simhash_near_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of representatives, and every other document of a hash with its representative
@@ -126,6 +148,15 @@ def token_difference(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", rel.token_difference(a, b).alias("x")).select("doc_id", F.size("x.lost").alias("lost"), F.size("x.added").alias("added"))
 
 
+@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, greatest(length(text) - 39, 0))), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 40)), '[a-z0-9]+')) AS b FROM documents)
+SELECT doc_id, len(a) - len(list_intersect(a, b)) AS lost, len(b) - len(list_intersect(a, b)) AS added FROM x""")
+def token_difference_whole(spark: SparkSession, d: str) -> DataFrame:
+    """token_difference of whole texts: without their last 39 characters, and without their first."""
+    a = tx.plain_runs(F.substr("text", F.lit(1), F.greatest(F.length("text") - 39, F.lit(0))))
+    b = tx.plain_runs(F.substr("text", F.lit(40)))
+    return t(spark, d, "documents").select("doc_id", rel.token_difference(a, b).alias("x")).select("doc_id", F.size("x.lost").alias("lost"), F.size("x.added").alias("added"))
+
+
 _W = "regexp_extract_all(lower(text), '\\p{L}+')"
 
 

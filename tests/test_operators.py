@@ -74,6 +74,38 @@ def test_simhash_links_reach_every_copy(spark):
                 assert (bin((full[a] ^ full[b]) & (2**64 - 1)).count("1") <= 3) == (ra == rb or (ra, rb) in linked)
 
 
+def test_whole_texts_and_every_document(spark, tmp_path):
+    import re
+
+    from siftwork.plans import catalog
+
+    tail = " malware threat payload beacon then powershell -enc AAAABBBB CVE-2024-1111 T1059 kill chain"
+    texts = ["plain " * 1300 + tail, "short text", "Event ID 4688 and HKLM\\Software\\Run was set, stage 2", "attack " + "word " * 600 + "phishing", "", "long " * 500 + "hxxp://a[.]b (at) end"]
+    rows = [(i, x, len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, "good") for i in range(6)], "doc_id long, quality string").write.parquet(f"{tmp_path}/labels.parquet")
+    run = lambda name: {r[0]: r for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+
+    def score(text):
+        low, n = text.lower(), len(text.split())
+        has = lambda p, where=text, flags=re.I: re.search(p, where, flags) is not None
+        commands, registry, cve = has(r"(?:powershell|reg)\b[^\r\n]{5,100}"), has(r"\bHKLM\\[a-z0-9_\\]{4,80}\b"), has(r"CVE-\d{4}-\d+")
+        hits = sum(w in low for w in quality.SIGNAL_WORDS)
+        out = 0.22 + (0.28 if n >= 2500 else 0.2 if n >= 1200 else 0.1 if n >= 500 else 0.16 if commands or registry or cve else -0.12)
+        out += 0.28 if hits >= 8 else 0.18 if hits >= 4 else 0.08 if hits >= 2 else -0.1
+        out += 0.22 * commands + 0.12 * registry + 0.12 * has(r"\bEvent\s*ID\s*4688\b") + 0.18 * has(r"\bstage\s*[123]|kill chain", low) + 0.12 * has(r"\bT1\d{3}\b", text, 0) + 0.1 * cve
+        return round(max(0.0, min(1.0, out)), 2)
+
+    got = run("quality_score_whole")
+    assert {i: (r.word_count, r.score) for i, r in got.items()} == {i: (len(x.split()), score(x)) for i, x in enumerate(texts)}
+    assert len({r.score for r in got.values()}) > 3
+    words = [set(re.findall("[a-z0-9]+", x.lower())) for x in texts]
+    assert run("quality_by_vocabulary_whole")["good"][1:] == (sum(bool(w) for w in words), sum(map(len, words)))
+    cut = [(set(re.findall("[a-z0-9]+", x[: max(len(x) - 39, 0)].lower())), set(re.findall("[a-z0-9]+", x[39:].lower()))) for x in texts]
+    assert {i: r[1:] for i, r in run("token_difference_whole").items()} == {i: (len(a - b), len(b - a)) for i, (a, b) in enumerate(cut)}
+    assert run("refanged_whole")[5].text.endswith("http://a.b.@.end@x.y")  # blanks were bent to [.]
+
+
 def test_paths_and_views(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "d")], "source string, target string")
     e = e.select("source", F.lit("p").alias("predicate"), "target", F.lit(0.5).alias("confidence"), F.lit(2).alias("weight"), F.lit(0).alias("stated"), F.lit(None).cast("date").alias("last_seen"))
