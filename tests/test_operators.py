@@ -106,6 +106,17 @@ def test_whole_texts_and_every_document(spark, tmp_path):
     assert run("refanged_whole")[5].text.endswith("http://a.b.@.end@x.y")  # blanks were bent to [.]
 
 
+def test_short_quotes_are_grounded(spark, tmp_path):
+    from siftwork.plans import catalog
+
+    texts = ["one two three four five, then six", "so one two\nthree four", "xone twoy", "", "one two three four five six seven eight"]
+    quotes = ["one two three four five", "one two three four", "two three four", "one two", "one", "two three four five six seven", "absent", "one two\nthree four"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["quotes_grounded"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, j) for i, q in enumerate(quotes) for j, x in enumerate(texts) if q in x)
+
+
 def test_paths_and_views(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "d")], "source string, target string")
     e = e.select("source", F.lit("p").alias("predicate"), "target", F.lit(0.5).alias("confidence"), F.lit(2).alias("weight"), F.lit(0).alias("stated"), F.lit(None).cast("date").alias("last_seen"))
