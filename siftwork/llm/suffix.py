@@ -1,29 +1,30 @@
-"""Removing repeated byte strings with suffix arrays sorted by induction.
+"""Removing repeated byte strings with externally sorted suffixes.
 
 Every string of LENGTH bytes that starts at two places or more, in one text or
 in two, is repeated; each byte that a repeated string covers is removed.
 
-1. Each LENGTH-byte string picks an anchor: its GRAM bytes of least hash. Equal
-   strings pick equal anchors, so only strings whose anchor occurs twice in
-   the corpus can be repeated, and all the places of a string meet in the
-   shard of its anchor. What goes there is a passage: the bytes of all strings
-   in a row that picked the same anchor, 2 * LENGTH at most.
-2. A shard takes whole anchors until it holds SHARD_BYTES. Its suffixes are
-   sorted by induction: suffixes that are less than both neighbours are named
-   and sorted recursively, then all others are induced from them, smaller first
-   letters before larger, by queues of suffixes per first letter. What the
-   queues hold beyond QUEUE_BYTES lies in a scratch file. Neighbours in the
-   order that share LENGTH bytes are repeats; the sort need only be right to
-   that depth.
-3. Anchors with over HOT places are too many for one task: of their equal
-   passages one is cut into strings, which are counted by 64-bit hash as rows;
-   equal ones combine before the shuffle, so any group is split.
+1. Each LENGTH-byte string picks an anchor: its leftmost GRAM bytes of least
+   hash. Equal strings pick equal anchors, so a string can only be repeated if
+   its anchor occurs twice. Strings in a row that picked the same place are one
+   piece. Equal pieces of one anchor are repeats as they are; equal pieces that
+   follow each other in a text, as in periodic text, are one row from the start.
+2. One piece of each kind, where an anchor has several kinds, is cut by the
+   anchor's distance into PARTS smaller pieces. All strings of such a piece
+   share most of their bytes, and pieces are grouped by these (a hash of 96
+   bits). So a phrase that is common in the corpus doesn't make a large group,
+   unless whole strings are common, and then its pieces are equal again.
+3. What is left are groups of different pieces. Whole groups fill a shard, in
+   which the shared bytes of a group count as one letter, and extsort sorts its
+   suffixes by external induction. Neighbours in the order whose common prefix
+   is a whole string are repeats.
+
+Keys are counted by aggregates that combine before the shuffle, and met again by
+sort-merge joins over stored tables, which the adaptive skew join splits.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.textbatch import BYTE, Block, blocks, mix, powers
-from siftwork.session import ship, stored
+from siftwork.llm.extsort import mapped, suffix_order
+from siftwork.llm.textbatch import Block, blocks, mix, powers
+from siftwork.session import forget, ship, stored
 
 LENGTH, GRAM = 200, 32
-SHARD_BYTES, QUEUE_BYTES = 4 << 20, 64 << 20
-HOT = 5000
+#: Distances between a string's start and its anchor's, and how many of them a smaller piece spans.
+DISTANCES = LENGTH - GRAM + 1
+SPAN = 43
+#: Letters of a shard; a group that is larger is a shard of its own, and sorted from disk all the same.
+SHARD_LETTERS = 2 << 20
+_KEY = ["key", "key2"]
+_KIND = ["like", "like2"]
+_rng = np.random.Generator(np.random.PCG64(811))
+_SECOND = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -62,203 +71,135 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+class _Hashes:
+    """Two hashes of any byte string of a block: 64 bits, and 32 of another sum."""
+
+    def __init__(self, block: Block):
+        n = len(block.buf)
+        up, self.down = powers(n)
+        self.first = block.sums()
+        self.second = np.zeros(n + 1, np.uint64)
+        np.cumsum(_SECOND[block.buf] * up[:n], out=self.second[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        down = self.down[start]
+        a = mix((self.first[end] - self.first[start]) * down)
+        b = mix((self.second[end] - self.second[start]) * down)
+        return a, (b >> np.uint64(32)).astype(np.uint32)
+
+
+def _first_of_each(*keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+_PIECES = "key bigint, key2 int, like bigint, like2 int, id bigint, h bigint, start int, n int, total int"
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, row, start, n): n strings from byte start on picked the anchor."""
-    width = LENGTH - GRAM + 1
+    """Pieces: n strings from byte start on picked the anchor; total: strings of
+    this piece and its equals right behind it."""
     for batch in batches:
         for part in blocks(batch, "text"):
             b = Block(part.column("text"), lower=False)
-            rows = part.column("row").to_numpy()
             size = np.diff(b.off)
             if len(b.buf) < LENGTH:
                 continue
+            sums = _Hashes(b)
             at = np.arange(len(b.buf) - GRAM + 1)
-            h = b.hashes(at, at + GRAM)
+            h = mix((sums.first[at + GRAM] - sums.first[at]) * sums.down[at])
             doc = np.repeat(np.arange(len(size)), size)
-            last = (b.off[1:] - LENGTH)[doc]  # where a text's last string starts
-            best = _least(h, width)
-            start = np.arange(len(best))
-            ok = start <= last[: len(best)]
-            start, best = start[ok], best[ok]
+            best = _least(h, DISTANCES)
+            start = np.flatnonzero(np.arange(len(best)) <= (b.off[1:] - LENGTH)[doc[: len(best)]])
             if not len(start):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (np.diff(start) != 1) | (doc[start[1:]] != doc[start[:-1]])]))
+            first = _first_of_each(best[start], doc[start])
             n = np.diff(np.append(first, len(start)))
-            d = doc[start[first]]
+            start, anchor, d = start[first], h[best[start[first]]], doc[start[first]]
+            like, like2 = sums.of(start, start + n + LENGTH - 1)
+            again = _first_of_each(anchor, like, like2, d)
+            total = np.add.reduceat(n, again)
+            start, d = start[again], d[again]
+            own = part.take(pa.array(d)).select(["id", "h"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[best[first]].view(np.int64)), pa.array(rows[d]), pa.array((start[first] - b.off[d]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["anchor", "row", "start", "n"],
-            )
-
-
-class Queues:
-    """First in, first out queues of numbers, one per letter; all together hold
-    QUEUE_BYTES in memory at most, and the rest in one scratch file."""
-
-    def __init__(self):
-        self.chunks: dict[int, list] = {}
-        self.held, self.file = 0, None
-
-    def put(self, letter: int, values: np.ndarray) -> None:
-        if self.held + values.nbytes > QUEUE_BYTES:
-            self.file = self.file or tempfile.TemporaryFile()
-            at = self.file.seek(0, 2)
-            self.file.write(values.tobytes())
-            self.chunks.setdefault(letter, []).append((at, len(values), values.dtype))
-        else:
-            self.held += values.nbytes
-            self.chunks.setdefault(letter, []).append(values)
-
-    def spread(self, values: np.ndarray, letters: np.ndarray) -> None:
-        """Each value behind its letter's queue, in the order given."""
-        if len(values):
-            order = np.argsort(letters, kind="stable")
-            values, letters = values[order], letters[order]
-            cuts = np.flatnonzero(np.diff(letters)) + 1
-            for part, letter in zip(np.split(values, cuts), letters[np.concatenate([[0], cuts])].tolist(), strict=True):
-                self.put(letter, part)
-
-    def take(self, letter: int) -> np.ndarray:
-        out = [np.zeros(0, np.int32)]
-        for x in self.chunks.pop(letter, []):
-            if isinstance(x, tuple):
-                self.file.seek(x[0])
-                x = np.frombuffer(self.file.read(x[1] * x[2].itemsize), x[2])
-            else:
-                self.held -= x.nbytes
-            out.append(x)
-        return np.concatenate(out)
-
-    def close(self) -> None:
-        if self.file:
-            self.file.close()
-
-
-def _rising(t: np.ndarray) -> np.ndarray:
-    """Whether each suffix is less than the next (type S); the last one is."""
-    n = len(t)
-    change = np.flatnonzero(t[1:] != t[:-1])
-    out = np.zeros(n, bool)
-    if len(change):
-        up = t[change] < t[change + 1]
-        out[: change[-1] + 1] = np.repeat(up, np.diff(np.concatenate([[-1], change])))
-    out[-1] = True
-    return out
+                [
+                    pa.array(anchor[again].view(np.int64)), pa.array(np.zeros(len(again), np.int32)), pa.array(like[again].view(np.int64)), pa.array(like2[again].view(np.int32)),
+                    *own.columns, pa.array((start - b.off[d]).astype(np.int32)), pa.array(n[again].astype(np.int32)), pa.array(total.astype(np.int32)),
+                ],
+                ["key", "key2", "like", "like2", "id", "h", "start", "n", "total"],
+            )
 
 
-def _induced(t: np.ndarray, rising: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
-    """All suffixes in order, induced from the order of the seeds (the rising
-    suffixes after a falling one)."""
-    queues, falls, rises, own = Queues(), {}, {}, Queues()
-    own.spread(seeds, t[seeds])
-    for c in range(letters):
-        batch, done = queues.take(c), []
-        while len(batch):  # then those whose next suffix starts alike, and so on
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[~rising[before]]
-            x = t[before]
-            batch = before[x == c]
-            queues.spread(before[x > c], x[x > c])
-        falls[c] = np.concatenate([np.zeros(0, np.int32), *done])
-        seed = own.take(c)
-        before = seed[seed > 0] - 1
-        queues.spread(before, t[before])
-    for c in range(letters - 1, -1, -1):
-        batch, done = queues.take(c), []
-        if c == 0:
-            batch = np.array([len(t) - 1], np.int32)
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[rising[before]]
-            x = t[before]
-            batch = before[x == c]
-            queues.spread(before[x < c], x[x < c])
-        rises[c] = np.concatenate([np.zeros(0, np.int32), *done])[::-1]
-        down = falls[c][::-1]
-        before = down[down > 0] - 1
-        before = before[rising[before]]
-        queues.spread(before, t[before])
-    queues.close()
-    own.close()
-    return np.concatenate([x for c in range(letters) for x in (falls[c], rises[c])])
-
-
-def suffix_order(t: np.ndarray, letters: int, depth: int) -> np.ndarray:
-    """Suffixes of t in order of their first depth letters at least. t ends with
-    its only 0; its letters are below letters."""
-    if letters > 512:  # names: so many that doubling sorts them faster than queues
-        return _doubled(t, depth)
-    t = t.astype(np.uint16)
-    rising = _rising(t)
-    seeds = (np.flatnonzero(rising[1:] & ~rising[:-1]) + 1).astype(np.int32)
-    if len(seeds) > 1:
-        order = _induced(t, rising, seeds, letters)
-        is_seed = np.zeros(len(t), bool)
-        is_seed[seeds] = True
-        pieces = order[is_seed[order]]
-        # Names of the pieces from seed to seed: equal ones by length and hash.
-        nth = np.zeros(len(t), np.int64)
-        nth[seeds] = np.arange(len(seeds))
-        end = np.minimum(np.append(seeds[1:], len(t) - 1) + 1, len(t))
-        up, down = powers(len(t))
-        sums = np.zeros(len(t) + 1, np.uint64)
-        np.cumsum(mix(t.astype(np.uint64) + np.uint64(1)) * up[: len(t)], out=sums[1:])
-        h = mix((sums[end] - sums[seeds]) * down[seeds])[nth[pieces]]
-        size = (end - seeds)[nth[pieces]]
-        names = np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]) | (size[1:] != size[:-1])]))
-        reduced = np.zeros(len(seeds), np.int64)
-        reduced[nth[pieces]] = names
-        if names[-1] + 1 < len(seeds):
-            seeds = seeds[suffix_order(reduced, int(names[-1]) + 1, depth)]
-        else:
-            seeds = pieces
-    return _induced(t, rising, seeds, letters)
-
-
-def _doubled(t: np.ndarray, depth: int) -> np.ndarray:
-    n, k = len(t), 1
-    rank = t.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    while k < depth:
-        after = np.zeros(n, np.int64)
-        after[:-k] = rank[k:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        k *= 2
-        key = key[order]
-        new = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or k >= n:
-            break
-    return order
-
-
-def repeated_starts(passages: list[bytes], strings: np.ndarray) -> list[np.ndarray]:
-    """Of each passage, which of its first strings[i] strings of LENGTH bytes
-    also start elsewhere among the passages."""
-    size = np.array([len(p) for p in passages])
-    t = np.ones(int(size.sum()) + len(passages) + 1, np.uint16)  # 1 after each passage, 0 at the end
-    off = np.cumsum(size + 1) - size - 1
-    raw = np.frombuffer(b"".join(passages), np.uint8)
-    at = np.arange(len(raw)) + np.repeat(np.arange(len(passages)), size)
-    t[at] = raw.astype(np.uint16) + 2
-    t[-1] = 0
-    wanted = np.zeros(len(t), bool)
-    starts = np.arange(int(strings.sum())) + np.repeat(off - (np.cumsum(strings) - strings), strings)
-    wanted[starts] = True
-    order = suffix_order(t, 258, LENGTH)
-    order = order[wanted[order]]
-    up, down = powers(len(t))
-    sums = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(BYTE[np.maximum(t, 2) - 2] * up[: len(t)], out=sums[1:])
-    h = mix((sums[order + LENGTH] - sums[order]) * down[order])
-    same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-    repeated = np.zeros(len(t), bool)
-    repeated[order] = same[1:] | same[:-1]
-    return [repeated[o : o + n] for o, n in zip(off.tolist(), strings.tolist(), strict=True)]
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smaller pieces of some of a text's pieces, with what surrounds the bytes
+    that all strings of their group share. width: letters of a string, shared bytes as one."""
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            b = Block(part.column("text"), lower=False)
+            sums = _Hashes(b)
+            met = part.column("met")
+            off = met.offsets.to_numpy()
+            flat = met.values
+            f = {k: flat.field(k).to_numpy(zero_copy_only=False)[off[0] : off[-1]].astype(np.int64) for k in ("start", "n", "known")}
+            doc = np.repeat(np.arange(part.num_rows), np.diff(off))
+            begin = f["start"] + b.off[doc]
+            # The anchor of a piece: the leftmost least gram of its first string.
+            gram = begin[:, None] + np.arange(DISTANCES)
+            h = mix((sums.first[gram + GRAM] - sums.first[gram]) * sums.down[gram])
+            bits = np.uint64((2 * DISTANCES).bit_length())
+            far = (h >> bits).argmin(axis=1)
+            many = far // SPAN - (far - f["n"] + 1) // SPAN + 1
+            which = np.repeat(np.arange(len(begin)), many)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            k = (far // SPAN)[which] - nth  # from the greatest distance down: starts rise
+            lo, hi = k * SPAN, np.minimum((k + 1) * SPAN, DISTANCES)
+            most = np.minimum(far[which], hi - 1)
+            least = np.maximum((far - f["n"] + 1)[which], lo)
+            place = (begin + far)[which]
+            start, n = place - most, most - least + 1
+            shared, shared_end = place - lo, place - hi + 1 + LENGTH
+            key, key2 = sums.of(shared, shared_end)
+            end = start + n + LENGTH - 1
+            like, like2 = sums.of(start, end)
+            raw = b.buf.tobytes()
+            left = [raw[i:j] for i, j in zip(start.tolist(), shared.tolist(), strict=True)]
+            right = [raw[i:j] for i, j in zip(shared_end.tolist(), end.tolist(), strict=True)]
+            d = doc[which]
+            own = part.take(pa.array(d)).select(["id", "h"])
+            n32 = pa.array(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(mix(key + k.astype(np.uint64)).view(np.int64)), pa.array(key2.view(np.int32)), pa.array(like.view(np.int64)), pa.array(like2.view(np.int32)),
+                    *own.columns, pa.array((start - b.off[d]).astype(np.int32)), n32, n32,
+                    pa.array(f["known"][which] > 0), pa.array((hi - lo).astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary()),
+                ],
+                ["key", "key2", "like", "like2", "id", "h", "start", "n", "total", "known", "width", "left", "right"],
+            )
+
+
+def repeated_starts(group: np.ndarray, left: list[bytes], right: list[bytes], n: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
+    """Of each piece, which of its n strings also start elsewhere among the pieces
+    of its group. A string has width letters: bytes, and one for the shared bytes."""
+    a, b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (left, right))
+    size = a + b + 2  # the shared letter, and a mark at the end
+    off = np.cumsum(size) - size
+    t = mapped(int(size.sum()) + 1, np.uint32)
+    t[off + a] = 258 + group
+    t[off + size - 1] = 1
+    for x, many, begin in ((left, a, off), (right, b, off + a + 1)):
+        at = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        t[at] = np.frombuffer(b"".join(x), np.uint8).astype(np.uint32) + 2
+    need = mapped(len(t), np.int32)
+    need[np.repeat(off - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] = np.repeat(width, n)
+    repeated = mapped(len(t), bool)
+    last = 0
+    for at, same in suffix_order(t, 259 + int(group.max())):
+        hit = (need[at] > 0) & (same >= need[at])
+        repeated[at[hit]] = True
+        repeated[np.append(last, at[:-1])[hit]] = True
+        last = int(at[-1])
+    return [np.asarray(repeated[o : o + m]) for o, m in zip(off.tolist(), n.tolist(), strict=True)]
 
 
 def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,63 +209,40 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    """(row, a, b): covered runs of a shard's passages, whole anchors."""
-    # Equal passages of one anchor are sorted once; if there are two, all their strings are repeated.
-    code, _ = pd.factorize(pd.util.hash_array(rows["passage"].to_numpy(object)) ^ mix(rows["anchor"].to_numpy().view(np.uint64)))
-    many = np.bincount(code)
-    first = np.unique(code, return_index=True)[1]
-    anchor = rows["anchor"].to_numpy()
-    others = pd.Series(anchor[first]).duplicated(keep=False).to_numpy()  # anchors with several passages
-    flags: list[np.ndarray] = [np.full(n, m > 1) for n, m in zip(rows["n"].to_numpy()[first], many, strict=True)]
-    todo = np.flatnonzero(others)
-    if len(todo):
-        got = repeated_starts([rows["passage"].iloc[first[i]] for i in todo], rows["n"].to_numpy()[first[todo]])
-        for i, g in zip(todo, got, strict=True):
-            flags[i] = flags[i] | g
+    """(id, h, a, b): covered runs of a shard's pieces, whole groups."""
+    group = rows.groupby(_KEY, sort=False).ngroup().to_numpy()
+    found = repeated_starts(group, rows["left"].tolist(), rows["right"].tolist(), rows["n"].to_numpy(np.int64), rows["width"].to_numpy(np.int64))
     out = []
-    for c, row, start in zip(code, rows["row"].to_numpy(), rows["start"].to_numpy(), strict=True):
-        hit = np.flatnonzero(flags[c])
-        if len(hit):
-            a, b = _runs(hit + start)
-            out.append((np.full(len(a), row), a, b))
-    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-    return pd.DataFrame({"row": cols[0], "a": cols[1], "b": cols[2]})
+    for hits, once, i, h, start in zip(found, rows["once"], rows["id"], rows["h"], rows["start"], strict=True):
+        if once and hits.any():
+            a, b = _runs(np.flatnonzero(hits) + start)
+            out.append((np.full(len(a), i), np.full(len(a), h), a, b))
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+    return pd.DataFrame(dict(zip(("id", "h", "a", "b"), cols, strict=True)))
 
 
 def _sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Shards of whole anchors from a partition that is sorted by anchor."""
+    """Shards of whole groups from a partition that is sorted by key."""
     held: list[pd.DataFrame] = []
     size = 0
     for batch in batches:
         held.append(batch)
-        size += int(batch["n"].sum()) + LENGTH * len(batch)
-        if size >= SHARD_BYTES:
+        size += int(batch["n"].sum() + batch["width"].sum()) + len(batch)
+        if size >= SHARD_LETTERS:
             rows = pd.concat(held, ignore_index=True)
-            whole = int((rows["anchor"] != rows["anchor"].iloc[-1]).sum())  # the last anchor may go on
+            last = rows.iloc[-1]
+            whole = int(((rows["key"] != last["key"]) | (rows["key2"] != last["key2"])).sum())  # the last group may go on
             if whole:
-                yield _sorted_shard(rows.iloc[:whole].reset_index(drop=True))
-                held = [rows.iloc[whole:].reset_index(drop=True)]
-                size = int(held[0]["n"].sum()) + LENGTH * len(held[0])
-            else:
-                held = [rows]
+                yield _sorted_shard(rows.iloc[:whole])
+                rows = rows.iloc[whole:].reset_index(drop=True)
+            held = [rows]
+            size = int(rows["n"].sum() + rows["width"].sum()) + len(rows)
     if held:
         rows = pd.concat(held, ignore_index=True)
         if len(rows):
             yield _sorted_shard(rows)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all strings of passages, and whether they are known to repeat."""
-    for batch in batches:
-        for part in blocks(batch, "passage"):
-            b = Block(part.column("passage"), lower=False)
-            n = part.column("n").to_numpy().astype(np.int64)
-            starts = np.arange(int(n.sum())) + np.repeat(b.off[:-1] - (np.cumsum(n) - n), n)
-            h = b.hashes(starts, starts + LENGTH)
-            place = starts - np.repeat(b.off[:-1], n) + np.repeat(part.column("start").to_numpy().astype(np.int64), n)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(part.column("row").to_numpy(), n)), pa.array(place), pa.array(np.repeat(part.column("known").to_numpy(zero_copy_only=False), n))], ["h", "row", "a", "known"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, kept = [], []
@@ -350,44 +268,54 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _met(pieces: DataFrame, told: list) -> tuple[DataFrame, DataFrame]:
+    """Of pieces: those with equals elsewhere, and one of each kind (count: places)
+    where a key has several kinds. told collects what is stored on the way."""
+    places = F.sum((F.col("total") / F.col("n")).cast("bigint"))
+    kinds = [F.min(c) != F.max(c) for c in _KIND]
+    keys = stored(pieces.groupBy(*_KEY).agg(places.alias("places"), (kinds[0] | kinds[1]).alias("mixed")).where("places > 1").drop("places"))
+    met = stored(pieces.join(keys.hint("merge"), _KEY))
+    mixed = met.where("mixed")
+    rest = [F.first(c).alias(c) for c in ("known", "width", "left", "right") if c in pieces.columns]
+    one = F.min(F.struct("id", "h", "start", "n")).alias("one")
+    by_kind = stored(mixed.groupBy(*_KEY, *_KIND).agg(places.alias("places"), one, *rest))
+    again = mixed.join(by_kind.where("places > 1").select(*_KEY, *_KIND).hint("merge"), [*_KEY, *_KIND])
+    told += [keys, met, by_kind]
+    a, b = F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("total") - 1 + LENGTH).cast("bigint").alias("b")
+    return met.where("not mixed").select("id", "h", a, b).union(again.select("id", "h", a, b)), by_kind
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256
     and kept (the remaining bytes; a cut may fall inside a character).
 
-    Null texts count as empty; texts under LENGTH bytes stay whole. A row that
-    repeats, id and all, is elsewhere too: both lose what they share.
+    Ids are integers. Null texts count as empty; texts under LENGTH bytes stay
+    whole. Rows with a null id are treated as all others. A row that repeats, id
+    and all, is elsewhere too: both lose what they share. Other columns of docs
+    are not read, whatever their names; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
+    told: list[DataFrame] = []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.cast("binary").alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    anchors = stored(rows.select("row", "text").mapInArrow(_anchors, "anchor bigint, row bigint, start int, n int"))
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1")
-    met = anchors.join(twice.hint("merge"), "anchor").groupBy("row", "start", "n", "anchor").agg(F.max("places").alias("places"), F.count("*").alias("copies"))
-    # Rows that repeat bring their places once here; their copies say so.
-    by_row = met.groupBy("row").agg(F.collect_list(F.struct("start", "n", "anchor", "places", "copies")).alias("met"))  # bounded by a text's length
-    once = rows.dropDuplicates(["row"]).select("row", "text")
-    passages = (
-        once.join(by_row.hint("merge"), "row")
-        .select("row", "text", F.explode("met").alias("m"))
-        .select("row", "m.anchor", "m.start", "m.n", "m.places", "m.copies", F.expr("substring(text, m.start + 1, m.n + {0})".format(LENGTH - 1)).alias("passage"))
+    # A row is known by its id and a hash of id and text: hashes need to differ within an id only.
+    rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("h"))
+    pieces = stored(rows.select("id", "h", "text").mapInArrow(_anchors, _PIECES))
+    told.append(pieces)
+    covered, kinds = _met(pieces, told)
+    # One text of each kind brings the bytes; bounded by a text's length.
+    wanted = kinds.groupBy("one.id", "one.h").agg(F.collect_list(F.struct("one.start", "one.n", (F.col("places") > 1).alias("known"))).alias("met"))
+    small = stored(
+        rows.select("id", "h", "text").join(wanted.hint("merge"), ["id", "h"]).mapInArrow(_parted, _PIECES + ", known boolean, width int, left binary, right binary")
     )
-    passages = stored(passages)
-    # A row that repeats: all its strings start elsewhere.
-    copies = passages.where("copies > 1").select("row", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).cast("bigint").alias("b"))
-    sharded = passages.where(F.col("places") <= HOT).select("anchor", "row", "start", "n", "passage")
-    sorted_ = sharded.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_sorted, "row bigint, a bigint, b bigint")
-    # Hot anchors: of equal passages one is cut into strings; all strings of the others are repeated.
-    crowd = passages.where(F.col("places") > HOT).select("anchor", F.md5("passage").alias("like"), "row", "start", "n", "passage")
-    kinds = crowd.groupBy("anchor", "like").agg(F.count("*").alias("c"), F.min(F.struct("row", "start")).alias("first"))
-    crowd = crowd.join(kinds.hint("merge"), ["anchor", "like"])
-    equal = crowd.where("c > 1").select("row", F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("n") - 1 + LENGTH).cast("bigint").alias("b"))
-    one = crowd.where((F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))).select("row", "start", "n", "passage", (F.col("c") > 1).alias("known"))
-    strings = one.mapInArrow(_strings, "h bigint, row bigint, a bigint, known boolean")
-    again = strings.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    hot = equal.union(strings.where("not known").join(again, "h").select("row", "a", (F.col("a") + LENGTH).alias("b")))
-    runs = copies.union(sorted_).union(hot).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    runs = stored(runs)
-    whole = rows.join(runs.hint("merge"), "row", "left").select("doc_id", "text", "runs")
+    told.append(small)
+    # A row that repeats brings its pieces again; their kinds are known to occur twice already.
+    more, kinds = _met(small, told)
+    shards = kinds.select(*_KEY, "one.id", "one.h", "one.start", "one.n", (~F.col("known") & (F.col("places") == 1)).alias("once"), "width", "left", "right")
+    sorted_ = shards.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(_sorted, "id bigint, h bigint, a bigint, b bigint")
+    runs = stored(covered.union(more).union(sorted_).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
+    for t in told:
+        forget(t)
+    whole = rows.join(runs.hint("merge"), ["id", "h"], "left").select("doc_id", "text", "runs")
     return whole.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
