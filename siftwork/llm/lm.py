@@ -2,13 +2,14 @@
 
 What the corpus gives, over all its training texts: counts of every word,
 counts of every subword and the byte profile of the texts it stands in, counts
-of which class follows which subword, and training windows (one per text, and
-one more per WINDOW_EVERY subwords).
+of which class follows which subword, and training windows: every text is cut
+through, so that each of its subwords is a goal of one window.
 
 The model: a subword's class is predicted from the last ones by one causal
 self-attention layer on top of the log frequency of the class after the last
-subword (numpy; trained on the windows by local Adam steps in every partition,
-whose parameters are averaged each round), and the subword within its class by
+subword (numpy; trained by local Adam steps in every partition, whose parameters
+are averaged each round; a round takes every ROUNDS-th window, so each is used),
+and the subword within its class by
 its frequency after the last subword, smoothed by its own frequency. Frequent subwords are classes of
 their own; the others are clustered by byte profile, which separates languages
 and scripts. Both factors sum to one, so a score is a probability of the
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.subwords import DEFAULT, encoding, vocabulary, word_memo
-from siftwork.llm.textbatch import Block, blocks, mix
+from siftwork.llm.textbatch import Block, blocks
 from siftwork.session import ship, stored
 
 SPAN, STEP, DIM = 32, 16, 16
 CLASSES, OWN, INPUTS = 128, 104, 1024
-ROUNDS, BATCH, RATE = 4, 32, 0.02
-WINDOW_EVERY = 2048
-WINDOWS_A_TASK = 16_384
+ROUNDS, BATCH, RATE = 4, 128, 0.02
+#: Windows that one task trains on, about, and the steps it takes at least (with few windows it takes them again).
+WINDOWS_A_TASK, LEAST_STEPS = 65_536, 100
+#: Bytes of text encoded at once.
+BLOCK = 1 << 20
 PROFILE = 8
 #: At most so many words are held as a table by every task: those that make
 #: up at least one in HEAD of all tokens can't be more. Rarer ones are joined.
@@ -59,8 +61,8 @@ def _encoded(part: pa.RecordBatch, ranks: bytes):
     b.words()
     h = b.hashes(b.starts, b.ends)
     codes, ids = word_memo(ranks)(b, h, b.starts, b.ends)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32)
     distinct = np.zeros(len(ids), np.uint64)
     distinct[codes] = h
     return b, codes, distinct, flat, size
@@ -103,7 +105,7 @@ def _gather(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
         return x.groupby(level=0).sum()
 
     for batch in batches:
-        for part in blocks(batch, "text", 4 << 20):
+        for part in blocks(batch, "text", BLOCK):
             ids = part.column("doc_id").to_pylist()
             part = part.filter(pa.array(~held_out(ids)))
             if not part.num_rows:
@@ -141,7 +143,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], sent, sent_model) -> Iterator[
     after = np.zeros((INPUTS + CLASSES) * CLASSES, np.int64)
     next_ = np.zeros(INPUTS * INPUTS, np.int64)
     for batch in batches:
-        for part in blocks(batch, "text", 4 << 20):
+        for part in blocks(batch, "text", BLOCK):
             part = part.filter(pa.array(~held_out(part.column("doc_id").to_pylist())))
             if not part.num_rows:
                 continue
@@ -155,23 +157,20 @@ def _sequences(batches: Iterator[pa.RecordBatch], sent, sent_model) -> Iterator[
             a, y = model.inputs[seq[:-1]], model.inputs[seq[1:]]
             inside &= (a < INPUTS) & (y < INPUTS)
             next_ += np.bincount(a[inside].astype(np.int64) * INPUTS + y[inside], minlength=len(next_))
-            # Windows start where a hash of text and number says; short texts give themselves, filled up with -1.
+            # Windows lie end to end; the last one of a text is filled up with -1.
             length = np.diff(off)
-            wins = 1 + length // WINDOW_EVERY
+            wins = -(-(length - 1) // SPAN)
             of = np.repeat(np.arange(n_docs), wins)
-            number = np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins)
-            room = np.maximum(length[of] - SPAN, 1)
-            h = mix((length[of] * 1_000_003 + number).astype(np.uint64) + seq[off[of] + length[of] // 2].astype(np.uint64) * np.uint64(7919))
-            start = (h % room.astype(np.uint64)).astype(np.int64)
+            start = SPAN * (np.arange(len(of)) - np.repeat(np.cumsum(wins) - wins, wins))
             at = start[:, None] + np.arange(SPAN + 1)
             win = np.where(at < length[of][:, None], seq[np.minimum(off[of][:, None] + at, len(seq) - 1)], -1)
-            yield _rows(1, np.arange(len(of)), np.ones(len(of)), win)
-    at = np.flatnonzero(after)
-    if len(at):
-        yield _rows(0, at, after[at])
-    at = np.flatnonzero(next_)
-    if len(at):
-        yield _rows(2, at, next_[at])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(win) + 1, dtype=np.int32) * (SPAN + 1)), pa.array(win.astype(np.int32).ravel()))
+            none = np.zeros(len(win), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(win), 1, np.int8)), pa.array(none), pa.array(none), lists], ["kind", "key", "n", "w"])
+    for kind, n in ((0, after), (2, next_)):
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int8)), pa.array(at), pa.array(n[at]), pa.nulls(len(at), pa.list_(pa.int32()))], ["kind", "key", "n", "w"])
 
 
 class Model:
@@ -246,12 +245,13 @@ class Model:
         return np.where(back >= 0, np.exp(np.clip(self.p["r"], -20, 20))[np.maximum(back, 0)], 0).astype(np.float32)
 
     def train(self, windows: np.ndarray, steps: int, seed: int) -> None:
-        """Adam over windows of SPAN + 1 ids (-1: none)."""
+        """Adam over windows of SPAN + 1 ids (-1: none), one order of all after the other."""
         p, rng = self.p, np.random.Generator(np.random.PCG64(seed))
         m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         back = (np.arange(STEP) + SPAN - STEP)[:, None] - np.arange(SPAN)
+        order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * BATCH // len(windows)))])
         for t in range(1, steps + 1):
-            w = windows[rng.integers(0, len(windows), BATCH)]
+            w = windows[order[(t - 1) * BATCH : t * BATCH]]
             given = np.where(w >= 0, self.inputs[np.maximum(w, 0)], INPUTS + CLASSES)
             # Both halves are queries; the first half sees an empty past.
             empty = np.full((len(w), SPAN - STEP), INPUTS + CLASSES)
@@ -289,7 +289,10 @@ class Model:
             dx = dk @ p["K"].T + dv @ p["V"].T
             dx[:, SPAN - STEP :] += dh + dq @ p["Q"].T
             g["E"] = np.zeros_like(p["E"])
-            np.add.at(g["E"], ids.ravel(), dx.reshape(-1, DIM))
+            by_id = np.argsort(ids.ravel(), kind="stable")
+            own = ids.ravel()[by_id]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            g["E"][own[first]] = np.add.reduceat(dx.reshape(-1, DIM)[by_id], first)
             rate = RATE * min(1, t / 10) * (1 - 0.9 * t / steps)
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -369,13 +372,17 @@ class Model:
 
 def _train(batches: Iterator[pa.RecordBatch], sent, round_: int) -> Iterator[pa.RecordBatch]:
     """One task's parameters after its steps, times its number of windows."""
-    windows = [b.column("v").flatten().to_numpy().astype(np.int64).reshape(-1, SPAN + 1) for b in batches if b.num_rows]
-    if not windows:
+    windows, seen = [], 0
+    for b in batches:
+        if b.num_rows:
+            windows.append(b.column("w").flatten().to_numpy().reshape(-1, SPAN + 1)[(round_ - seen) % ROUNDS :: ROUNDS].copy())
+            seen += b.num_rows
+    w = np.concatenate(windows) if windows else np.zeros((0, SPAN + 1), np.int32)
+    if not len(w):
         return
-    w = np.concatenate(windows)
     model = sent.value
     before = model.flat()
-    model.train(w, int(np.clip(len(w) / BATCH, 200, 400)), 1000 * round_ + TaskContext.get().partitionId())
+    model.train(w, max(-(-len(w) // BATCH), LEAST_STEPS), 1000 * round_ + TaskContext.get().partitionId())
     flat = model.flat()
     model.load(before)
     rows = np.append(flat.astype(np.float64), 1.0) * len(w)
@@ -388,7 +395,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent_ranks, sent_model, sent_head,
         model.tables()
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for part in blocks(batch, "text", 4 << 20):
+        for part in blocks(batch, "text", BLOCK):
             b, codes, distinct, flat, size = _encoded(part, ranks)
             n = part.num_rows
             seq, off = _spread(codes, flat, size, b.first, model.end)
@@ -459,7 +466,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     model = Model(many, profile)
     sent_model = sc.broadcast(model)
-    raw = stored(rows.mapInArrow(lambda it: _sequences(it, sent_ranks, sent_model), "kind tinyint, key bigint, n bigint, v array<float>"))
+    raw = stored(rows.mapInArrow(lambda it: _sequences(it, sent_ranks, sent_model), "kind tinyint, key bigint, n bigint, w array<int>"))
     pairs = raw.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).toArrow()  # a row an input and class at most
     after = np.zeros((INPUTS + CLASSES) * CLASSES)
     after[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
@@ -467,8 +474,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     next_ = np.zeros(INPUTS * INPUTS)
     next_[pairs.column("key").to_numpy()] = pairs.column("n").to_numpy()
     model.follow(after.reshape(-1, CLASSES), next_.reshape(INPUTS, INPUTS))
-    windows = raw.where("kind = 1").select("v")
-    windows = stored(windows.repartition(2 + windows.count() // WINDOWS_A_TASK))
+    windows = raw.where("kind = 1").select("w")
+    windows = windows.coalesce(1 + windows.count() // WINDOWS_A_TASK)
     for r in range(ROUNDS):
         sent = sc.broadcast(model)
         summed = windows.mapInArrow(lambda it, s=sent, r=r: _train(it, s, r), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x"))

@@ -8,6 +8,7 @@ space, then what stands up to the next white space) put together.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from siftwork.llm.textbatch import SPACE, Block
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct units that one Python worker remembers.
-REMEMBER = 300_000
+REMEMBER = 100_000
 #: White space beyond the ASCII kind, which units don't look for (UTF-8).
 WIDE_SPACE = "[" + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]"
 
@@ -67,9 +68,9 @@ class Memo:
 
 @lru_cache(2)
 def word_memo(ranks: bytes) -> Memo:
-    """Subword ids of a word with a blank before it."""
+    """Subword ids (4 bytes each) of a word with a blank before it."""
     enc = encoding(ranks)
-    return Memo(lambda w: enc.encode_ordinary(" " + w.decode("utf-8", "replace")))
+    return Memo(lambda w: array("i", enc.encode_ordinary(" " + w.decode("utf-8", "replace"))).tobytes())
 
 
 @lru_cache(2)

@@ -5,9 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from siftwork.llm import lm
 from siftwork.llm.lm import Model, score_texts
+from siftwork.llm.subwords import DEFAULT, encoding
 
 
 def test_base_and_score(spark, monkeypatch):
@@ -53,5 +55,58 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(np.array(last) - before).sum() - 1) < 1e-3
 
 
+def plain_score(m, ids):
+    """Subword by subword: attention over the window's past, then class and subword."""
+    p, gap = {k: x.astype(float) for k, x in m.p.items()}, lm.INPUTS + lm.CLASSES
+    total = 0.0
+    for i in range(len(ids) - 1):
+        first = i // lm.STEP * lm.STEP - (lm.SPAN - lm.STEP)
+        seen = list(range(max(first, 0), i + 1))
+        x = p["E"][m.inputs[[ids[j] for j in seen]]]
+        a = np.exp((x[-1] @ p["Q"]) @ (x @ p["K"]).T / math.sqrt(lm.DIM) + p["r"][[i - j for j in seen]])
+        h = x[-1] + a @ (x @ p["V"]) / a.sum()
+        z = h @ p["O"] + p["b"] + m.after[m.inputs[ids[i]]]
+        y = ids[i + 1]
+        total += z[m.cls[y]] - np.log(np.exp(z).sum()) + m.within[y]
+        if m.inputs[ids[i]] < lm.INPUTS:
+            total += m.left[m.inputs[ids[i]], m.cls[y]]
+            if m.inputs[y] < lm.INPUTS:
+                total += m.gain[m.inputs[ids[i]], m.inputs[y]]
+    return total
+
+
+def test_score_against_a_plain_pass():
+    """Texts of one subword to several windows, together and alone."""
+    rng = np.random.default_rng(3)
+    many = rng.integers(0, 50, 2001)
+    m = Model(many, rng.normal(size=(2001, lm.PROFILE)) * many[:, None])
+    m.follow(rng.integers(0, 9, (lm.INPUTS + lm.CLASSES, lm.CLASSES)).astype(float), rng.integers(0, 9, (lm.INPUTS, lm.INPUTS)).astype(float))
+    m.train(rng.integers(0, 2001, (300, lm.SPAN + 1)), 30, 0)
+    m.tables()
+    texts = [[m.end, *rng.integers(0, 2000, n), m.end] for n in (0, 1, 15, 16, 17, 200)]
+    got = m.score(np.array(sum(texts, []), np.int32), np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, [plain_score(m, t) for t in texts], rtol=1e-4, atol=1e-3)
+
+
+def test_every_subword_is_a_goal_once():
+    """Windows lie end to end over whole texts."""
+    text = pa.array(["a few words " * 90, None, "", "one"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 3, 4, 5]), text], ["doc_id", "text"])
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+    with open(DEFAULT, "rb") as f:
+        ranks = f.read()
+    end = encoding(ranks).n_vocab
+    m = Model(np.ones(end + 1, np.int64), np.ones((end + 1, lm.PROFILE)))
+    found = [b for b in lm._sequences(iter([batch]), Sent(ranks), Sent(m)) if b.column("kind")[0].as_py() == 1]
+    w = np.concatenate([b.column("w").flatten().to_numpy().reshape(-1, lm.SPAN + 1) for b in found])
+    goals = w[:, 1:][w[:, 1:] >= 0]
+    ids = encoding(ranks).encode_ordinary(" a few words" * 90)
+    held = lm.held_out([1, 3, 4, 5])
+    want = sum((x for x, h in zip([[*ids, end], [end], [end], [*encoding(ranks).encode_ordinary(" one"), end]], held) if not h), [])
+    assert goals.tolist() == want
+
+
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
