@@ -43,6 +43,8 @@ DISTANCES = LENGTH - GRAM + 1
 SPAN = 43
 #: Letters of a shard; a group that is larger is a shard of its own, and sorted from disk all the same.
 SHARD_LETTERS = 2 << 20
+#: Bytes of text looked at in one step.
+BLOCK = 1 << 19
 _KEY = ["key", "key2"]
 _KIND = ["like", "like2"]
 _rng = np.random.Generator(np.random.PCG64(811))
@@ -101,7 +103,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces: n strings from byte start on picked the anchor; total: strings of
     this piece and its equals right behind it."""
     for batch in batches:
-        for part in blocks(batch, "text"):
+        for part in blocks(batch, "text", BLOCK):
             b = Block(part.column("text"), lower=False)
             size = np.diff(b.off)
             if len(b.buf) < LENGTH:
@@ -135,7 +137,7 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Smaller pieces of some of a text's pieces, with what surrounds the bytes
     that all strings of their group share. width: letters of a string, shared bytes as one."""
     for batch in batches:
-        for part in blocks(batch, "text"):
+        for part in blocks(batch, "text", BLOCK):
             b = Block(part.column("text"), lower=False)
             sums = _Hashes(b)
             met = part.column("met")
