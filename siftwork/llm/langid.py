@@ -1,15 +1,18 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a byte context tree of variable order, up to ORDER bytes:
+Each language has a byte context tree of variable order, up to ORDER bytes deep:
 every context holds the counts of the bytes seen after it. A byte unseen in a
 context costs that context's escape probability (method C: distinct bytes
 seen, over those plus all seen) and is then sought in the next shorter one,
-without the bytes already excluded. The statistics are counted over all
-learned texts and then frozen, so a byte's code length depends on the bytes
-before it only, and a text's exact code length is a sum of table entries.
-
-A-Z count as a-z. The ALPHABET - 1 most frequent bytes are symbols; the rest
-share one, within which every byte is equally likely.
+without the bytes already excluded; below order 0 all 256 bytes are alike. The
+statistics are counted over all learned texts and then frozen, so a byte's code
+length depends on the bytes before it only, and a text's exact code length is a
+sum of table entries.
+
+All byte values are kept; A-Z count as a-z. A context is a node of the tree if it
+stands for at least one in NODES of its language's bytes (all of order 0 and 1
+are), so a tree has at most NODES nodes of any order. Children of a node are
+never more frequent than it, so the tree has no holes.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.textbatch import LOWER, blocks, unpack
-from siftwork.session import ship
+from siftwork.session import forget, ship, stored
 
-ORDER, ALPHABET = 3, 40
+ORDER, NODES = 4, 4096
+#: Entries that a task sums up before it hands them on.
+PENDING = 1 << 20
 #: A text whose best language needs more bits a byte than this is in none of them.
 FOREIGN = 6.0
 
@@ -48,76 +53,149 @@ def _learnable(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndar
                     yield name, LOWER[buf], off
 
 
-def _contexts(sym: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Of each byte: the code of the ORDER symbols before it and itself. What
-    lies before a text counts as symbol 0."""
-    at = np.arange(len(sym)) - np.repeat(off[:-1], np.diff(off))
-    code = sym.astype(np.int64)
+def _codes(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each byte: the ORDER bytes before it and itself, the last in the low
+    bits. What lies before a text counts as byte 0."""
+    at = np.arange(len(buf)) - np.repeat(off[:-1], np.diff(off))
+    code = buf.astype(np.int64)
     for k in range(1, ORDER + 1):
-        back = np.zeros(len(sym), np.int64)
-        back[k:] = sym[:-k] if k < len(sym) else sym[:0]
+        back = np.zeros(len(buf), np.int64)
+        back[k:] = buf[:-k]
         back[at < k] = 0
-        code += back * ALPHABET**k
+        code |= back << 8 * k
     return code
 
 
-def _bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(256, np.int64)
-    for _, buf, _ in _learnable(batches):
-        seen += np.bincount(buf, minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(seen)], ["byte", "n"])
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, which = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(which, np.concatenate(counts), len(code)).astype(np.int64)
+
+
+def _contexts_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[str, tuple[list, list]] = {}
+    pending = 0
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        for name, (codes, counts) in held.items():
+            code, n = _summed(codes, counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(code), pa.string()), pa.array(code), pa.array(n)], ["lang", "code", "n"])
 
-def _contexts_seen(batches: Iterator[pa.RecordBatch], symbol: np.ndarray) -> Iterator[pa.RecordBatch]:
-    seen: dict[str, np.ndarray] = {}
     for name, buf, off in _learnable(batches):
-        if name not in seen:
-            seen[name] = np.zeros(ALPHABET ** (ORDER + 1), np.int32)
-        seen[name] += np.bincount(_contexts(symbol[buf], off), minlength=ALPHABET ** (ORDER + 1)).astype(np.int32)
-    for name, n in seen.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), pa.array(n[at].astype(np.int64))], ["lang", "code", "n"])
+        code, n = np.unique(_codes(buf, off), return_counts=True)
+        codes, counts = held.setdefault(name, ([], []))
+        codes.append(code)
+        counts.append(n)
+        pending += len(code)
+        if pending > PENDING:
+            held = {name: tuple([x] for x in _summed(*lists)) for name, lists in held.items()}
+            pending = sum(len(codes[0]) for codes, _ in held.values())
+            if pending > PENDING // 2:
+                yield from rows()
+                held, pending = {}, 0
+    yield from rows()
+
+
+class Table:
+    """Rows of numbers by 64-bit keys: open addressing in numpy."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        self.rows = rows
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask, self.shift = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+        self.keys, self.at = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            s = slot[left]
+            free = self.keys[s] < 0
+            _, one = np.unique(s[free], return_index=True)
+            put = left[free][one]
+            self.keys[slot[put]], self.at[slot[put]] = keys[put], put
+            left = left[self.keys[s] != keys[left]]
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row number of each key, -1 where there is none."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.at[slot], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        while len(left):
+            slot[left] = (slot[left] + np.uint64(1)) & self.mask
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.at[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
 
 
-def code_lengths(seen: np.ndarray) -> np.ndarray:
-    """Bits of every symbol after every context of ORDER symbols (flat, float32)."""
-    p = np.full((1, ALPHABET), 1 / ALPHABET)
-    for order in range(ORDER + 1):
-        n = seen.reshape(-1, ALPHABET**order, ALPHABET).sum(axis=0, dtype=np.float64)
-        shorter = np.tile(p, (n.shape[0] // p.shape[0], 1))
-        total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
-        unseen = np.where(n > 0, 0, shorter)
-        left = unseen.sum(axis=1, keepdims=True)
-        # With nothing left to escape to, the seen symbols share all.
-        escape = np.where((total > 0) & (left > 0), kinds / np.maximum(total + kinds, 1), np.where(total > 0, 0.0, 1.0))
-        p = np.where(n > 0, n / np.maximum(total, 1) * (1 - escape), unseen / np.maximum(left, 1e-300) * escape)
-    return (-np.log2(np.maximum(p, 1e-30))).astype(np.float32).ravel()
+def _low(codes: np.ndarray, order: int) -> np.ndarray:
+    """Codes cut to a byte and the order bytes before it."""
+    return codes & ((1 << 8 * (order + 1)) - 1)
 
 
 class Languages:
-    """Frozen tables: at most (ORDER + 1 symbols) * languages * 4 bytes."""
-
-    def __init__(self, names: list[str], symbol: np.ndarray, rare: int, tables: np.ndarray):
-        self.names, self.symbol, self.tables = names, symbol, tables
-        self.rare_bits = np.float32(np.log2(max(rare, 1)))
+    """Frozen trees of all languages. For each order: bits of a byte after a
+    context by language, where some language has seen it, and bits of a context's
+    escape. Of either at most NODES contexts a language and order."""
+
+    def __init__(self, names: list[str], counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """counts: by order, (language number, code, n) of all nodes' entries."""
+        self.names = names
+        uniform = np.full((256, len(names)), 8.0, np.float32)
+        self.seen, self.escapes = [Table(np.arange(256), uniform)], []
+        for order, (lang, code, n) in enumerate(counts):
+            self._grow(order, lang, code, n.astype(np.float64))
+
+    def _grow(self, order: int, lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
+        context = code >> 8
+        keys, at = np.unique(code, return_inverse=True)
+        nodes, node = np.unique(context, return_inverse=True)
+        shape = (len(nodes), len(self.names))
+        cell = node * len(self.names) + lang
+        # The same bytes one order up; below order 0 every byte alone.
+        upper = self._bits(_low(code, order - 1) if order else code, order - 1)[np.arange(len(code)), lang]
+        sums = lambda w: np.bincount(cell, w, shape[0] * shape[1])
+        total, kinds, taken = sums(n), sums(np.ones(len(n))), sums(np.exp2(-upper.astype(np.float64)))
+        escape = kinds / np.maximum(total + kinds, 1)
+        lost = np.where(total > 0, np.log2(np.maximum(1 - taken, 1e-9)) - np.log2(np.maximum(escape, 1e-30)), 0).reshape(shape)
+        self.escapes.append(Table(nodes, lost.astype(np.float32)))
+        # Languages that have not seen the byte there escape, or have no such node.
+        rows = self._bits(_low(keys, order - 1) if order else keys, order - 1) + lost[np.searchsorted(nodes, keys >> 8)].astype(np.float32)
+        rows[at, lang] = -np.log2(n / total[cell] * (1 - escape[cell]))
+        self.seen.append(Table(keys, rows))
+
+    def _bits(self, codes: np.ndarray, order: int) -> np.ndarray:
+        """Bits of the last byte of each code in each language, by contexts up to order."""
+        low = codes & 255
+        out = self.seen[0].rows[low]
+        for k in range(order + 1):
+            own = _low(codes, k)
+            at = self.seen[k + 1].find(own)
+            hit = at >= 0
+            out[hit] = self.seen[k + 1].rows[at[hit]]
+            miss = np.flatnonzero(~hit)
+            node = self.escapes[k].find(own[miss] >> 8)
+            some = node >= 0
+            out[miss[some]] += self.escapes[k].rows[node[some]]
+        return out
 
     def bits(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length of each text in each language."""
-        n, langs = len(off) - 1, len(self.names)
-        out = np.zeros((n, langs))
+        out = np.zeros((len(off) - 1, len(self.names)))
         full = np.flatnonzero(np.diff(off))
         if len(full):
-            sym = self.symbol[LOWER[buf]]
-            each = self.tables[_contexts(sym, off)]
+            each = self._bits(_codes(LOWER[buf], off), len(self.seen) - 2)
             out[full] = np.add.reduceat(each, off[full], axis=0, dtype=np.float64)
-            out[full] += np.add.reduceat((sym == ALPHABET - 1).astype(np.int64), off[full])[:, None] * self.rare_bits
         return out
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     model = sent.value
     for batch in batches:
-        for part in blocks(batch, "text"):
+        for part in blocks(batch, "text", 1 << 19):
             buf, off = unpack(part.column("text"))
             n = part.num_rows
             letters = pc.fill_null(pc.match_substring_regex(part.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -139,27 +217,23 @@ def _predicted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
 
 def learn_languages(docs: DataFrame) -> Languages:
     """Context trees of every language over all learned texts of docs (doc_id, text, lang)."""
-    seen = docs.mapInArrow(_bytes_seen, "byte bigint, n bigint").groupBy("byte").agg(F.sum("n").alias("n")).toArrow()  # 256 rows
-    n = np.zeros(256, np.int64)
-    n[seen.column("byte").to_numpy()] = seen.column("n").to_numpy()
-    frequent = np.argsort(-n, kind="stable")[: ALPHABET - 1]
-    symbol = np.full(256, ALPHABET - 1, np.uint8)
-    symbol[frequent] = np.arange(ALPHABET - 1)
-    counts = (
-        docs.mapInArrow(lambda it: _contexts_seen(it, symbol), "lang string, code bigint, n bigint")
-        .groupBy("lang", "code")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()  # ALPHABET ** (ORDER + 1) rows a language at most
-    )
-    langs = counts.column("lang").to_pandas()
-    names = sorted(langs.unique())
-    tables = np.zeros((ALPHABET ** (ORDER + 1), len(names)), np.float32)
-    for i, name in enumerate(names):
-        own = (langs == name).to_numpy()
-        dense = np.zeros(ALPHABET ** (ORDER + 1), np.int64)
-        dense[counts.column("code").to_numpy()[own]] = counts.column("n").to_numpy()[own]
-        tables[:, i] = code_lengths(dense)
-    return Languages(names, symbol, 256 - 26 - (ALPHABET - 1), tables)
+    seen = stored(docs.mapInArrow(_contexts_seen, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    total = seen.groupBy("lang").agg(F.sum("n").alias("total"))
+    names = sorted(r[0] for r in total.collect())  # a row a language
+    number = {name: i for i, name in enumerate(names)}
+    counts = []
+    for order in range(ORDER + 1):
+        own = seen.groupBy("lang", F.col("code").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+        if order > 1:
+            context = F.shiftright("code", 8).alias("context")
+            nodes = own.groupBy("lang", context).agg(F.sum("n").alias("in_all")).join(F.broadcast(total), "lang")  # a row a language
+            nodes = nodes.where(F.col("in_all") * NODES >= F.col("total")).select("lang", "context")  # NODES rows a language at most
+            own = own.withColumn("context", context).join(F.broadcast(nodes), ["lang", "context"]).drop("context")
+        got = own.select("lang", "code", "n").toArrow()  # entries of NODES contexts a language at most
+        lang = np.array([number[x] for x in got.column("lang").to_pylist()], np.int64)
+        counts.append((lang, got.column("code").to_numpy().astype(np.int64), got.column("n").to_numpy()))
+    forget(seen)
+    return Languages(names, counts)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
