@@ -1,36 +1,41 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents are summed into cells (one per combination of margin values); the
-raking rounds work on cells only. Each round scales the weights so that one
-margin after the other meets its target shares. Documents are then sampled
-with calibrated probabilities: min(1, scale * weight of their cell), where
-scale makes the expected tokens equal the budget. A document's draw is a hash
-of its id and a seed: it repeats, and doesn't depend on how rows are dealt.
+raking rounds are Spark jobs over cells only, the same at every size. Each round
+scales the weights so that one margin after the other meets its target shares,
+until no share is off by more than TOLERANCE. Documents are then sampled with
+calibrated probabilities: min(1, scale * weight of their cell), where scale makes
+the expected tokens equal the budget. A document's draw is a hash of its id and
+text and a seed: it repeats, and doesn't depend on how rows are dealt.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.session import stored
+from siftwork.session import forget, stored
 
-ROUNDS = 30
-#: Up to so many cells are raked by numpy on the driver (a few MB); more are
-#: raked by the same rounds as Spark jobs.
-MOST_CELLS = 100_000
+#: Largest error of a margin's share, and the rounds after which raking gives up. Margins may contradict each other:
+#: raking also ends when a round takes less than a fiftieth off the error.
+TOLERANCE, MOST_ROUNDS = 1e-4, 60
 
 
 def topic(text: Column) -> Column:
-    """A plain topic by form: empty, table, noisy, shouting, list of short lines, or prose."""
+    """A plain topic by form: empty, table, symbols (over a third of what is printed
+    is neither letter nor mark of a sentence), capitals (more of them than small letters), short or prose."""
     t = F.coalesce(text, F.lit(""))
+    solid = F.length(F.regexp_replace(t, r"\s+", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}.,;:!?'\"()-]+", ""))
+    capitals, small = (F.length(F.regexp_replace(t, rf"[^\p{{{kind}}}]+", "")) for kind in ("Lu", "Ll"))
     return (
         F.when(F.trim(t) == "", "empty")
-        .when(t.contains(" | "), "table")
-        .when(t.contains("###") | t.contains("$$$") | t.contains("%%%") | t.contains("&&&"), "noisy")
-        .when(t.contains("!!"), "shouting")
+        .when(t.rlike(r"(?m)^[^\n|]*\|[^\n|]*\||\t[^\n\t]*\t"), "table")
+        .when(letters * 3 < solid * 2, "symbols")
+        .when(capitals > small, "capitals")
         .when(F.length(t) < 400, "short")
         .otherwise("prose")
     )
@@ -51,103 +56,104 @@ def tempered(cells: DataFrame, margins: list[str], power: float) -> dict[str, Da
     return out
 
 
-def _raked_here(cells: pd.DataFrame, margins: list[str], targets: dict[str, pd.DataFrame]) -> pd.DataFrame:
-    t = cells["tokens"].to_numpy(float)
-    w = np.ones(len(t))
-    codes, goals = [], []
+def _off(now: DataFrame, margins: list[str], targets: dict[str, DataFrame], total: int) -> float:
+    """The largest error of any margin's share."""
+    gaps = None
     for m in margins:
-        c, names = pd.factorize(cells[m], use_na_sentinel=False)
-        share = {(None if pd.isna(v) else v): s for v, s in zip(targets[m]["value"], targets[m]["share"], strict=True)}
-        codes.append(c)
-        goals.append(np.array([share.get(None if pd.isna(v) else v, 0.0) for v in names]))
-    for _ in range(ROUNDS):
-        for c, goal in zip(codes, goals, strict=True):
-            now = np.bincount(c, t * w, len(goal))
-            w = w * np.where(now > 0, goal * t.sum() / np.maximum(now, 1e-300), 0)[c]
-    return cells.assign(weight=w)
-
-
-def _raked_apart(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame]) -> DataFrame:
-    now = cells.withColumn("weight", F.lit(1.0))
+        sums = now.groupBy(m).agg((F.sum(F.col("tokens") * F.col("weight")) / total).alias("is"))
+        gap = sums.join(targets[m], F.col(m).eqNullSafe(F.col("value")), "full").select(F.abs(F.coalesce("is", F.lit(0.0)) - F.coalesce("share", F.lit(0.0))).alias("gap"))
+        gaps = gap if gaps is None else gaps.union(gap)
+    return gaps.agg(F.max("gap")).first()[0] or 0.0
+
+
+def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame]) -> tuple[DataFrame, float]:
+    """cells (margins, tokens) with a weight each, and the largest error left.
+
+    ValueError if a target asks for tokens of a value that no cell has tokens of.
+    Targets that contradict each other can't be met: a warning names the error.
+    """
+    now = stored(cells.withColumn("weight", F.lit(1.0)))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    targets = {m: stored(t) for m, t in targets.items()}
-    for _ in range(ROUNDS):
+    if not total:
+        return now, 0.0
+    for m in margins:
+        some = cells.where("tokens > 0").select(m).distinct()
+        lost = targets[m].where("share > 0").join(some, F.col("value").eqNullSafe(F.col(m)), "left_anti").select("value").limit(5).collect()
+        if lost:
+            raise ValueError(f"no tokens for targets of {m}: {[r[0] for r in lost]}")
+    error = math.inf
+    for rounds in range(1, MOST_ROUNDS + 1):
         for m in margins:
             sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("s"))
             goal = targets[m].select(F.col("value").alias("v"), "share")
             factor = sums.join(goal, F.col(m).eqNullSafe(F.col("v")), "left").select(F.col(m).alias("k"), F.when(F.col("s") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("s")).otherwise(0.0).alias("f"))
             # Stored each time: it is read twice, and a plan that doubles can't be kept.
-            now = stored(now.join(factor, F.col(m).eqNullSafe(F.col("k"))).select(*cells.columns, (F.col("weight") * F.col("f")).alias("weight")))
-    return now
-
-
-def scale_for(tokens: np.ndarray, weight: np.ndarray, budget: float) -> float:
-    """The scale at which min(1, scale * weight) keeps budget tokens in
-    expectation; infinite if the weighted cells hold no more than that."""
-    some = (weight > 0) & (tokens > 0)
-    t, w = tokens[some], weight[some]
-    if t.sum() <= budget:
-        return np.inf
-    order = np.argsort(-w)
-    t, w = t[order], w[order]
-    full, rest = np.cumsum(t) - t, np.cumsum((t * w)[::-1])[::-1]
-    scale = (budget - full) / rest  # with the first i cells kept whole
-    return float(scale[np.flatnonzero(scale * w <= 1)[0]])
-
-
-def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, power: float = 0.5, budget: float = 0.5, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
-    """docs' rows as (doc_id, one column per margin, tokens, weight, probability, sampled).
+            before, now = now, stored(now.join(factor, F.col(m).eqNullSafe(F.col("k"))).select(*cells.columns, (F.col("weight") * F.col("f")).alias("weight")))
+            forget(before)
+        last, error = error, _off(now, margins, targets, total)
+        if error <= TOLERANCE or error > 0.98 * last:  # met, or no round gets nearer any more
+            break
+    if error > TOLERANCE:
+        warnings.warn(f"after {rounds} rounds of raking a share is off by {error:.2g}", stacklevel=2)
+    return now, error
+
+
+def scale_for(cells: DataFrame, budget: float) -> float:
+    """The scale at which min(1, scale * weight) keeps budget tokens in expectation;
+    infinite if the weighted cells hold no more than that. Cells that the scale
+    so far would keep whole leave the sum, until none is added: a few aggregates."""
+    some = cells.where("weight > 0 and tokens > 0")
+    held = some.agg(F.sum("tokens")).first()[0] or 0
+    if held <= budget:
+        return math.inf
+    scale = 0.0
+    while True:
+        whole = F.col("weight") * F.lit(scale) >= 1
+        kept, rest = some.agg(F.coalesce(F.sum(F.when(whole, F.col("tokens"))), F.lit(0)), F.sum(F.when(~whole, F.col("tokens") * F.col("weight")))).first()
+        new = (budget - kept) / rest
+        if new <= scale * (1 + 1e-12):
+            return scale
+        scale = new
+
+
+def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None = None, power: float = 0.5, budget: float = 0.5, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """docs' rows as (doc_id, one column per margin, tokens, weight, probability,
+    sampled, margin_error), and with keep the whole row as a struct named row.
 
     margins: name and expression of each; null is a value like any other.
     targets: per margin a table (value, share); without one its token shares to
     the power given. A value without a target gets weight 0. budget: share of
-    all tokens to keep. Rows without tokens have no influence and keep their
-    cell's probability (0 in cells without tokens). A null id draws like id -1;
-    repeated rows draw alike. An empty table gives an empty result.
+    all tokens to keep. margin_error: the largest error of a share after raking.
+    Rows without tokens have no influence and keep their cell's probability (0
+    in cells without tokens). Ids are integers or null; repeated rows draw
+    alike. Columns of docs that have a margin's name don't clash with it. An
+    empty table gives an empty result.
     """
     names = list(margins)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[e.alias(n) for n, e in margins.items()], tokens.cast("bigint").alias("tokens"))
+    whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep else []
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[e.alias(n) for n, e in margins.items()], tokens.cast("bigint").alias("tokens"), draw.alias("draw"), *whole)
     cells = stored(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
-    goals = (targets or {}) | {m: t for m, t in tempered(cells, names, power).items() if m not in (targets or {})}
-    spark = docs.sparkSession
-    if cells.count() <= MOST_CELLS:
-        local = _raked_here(cells.toPandas(), names, {m: g.where(F.lit(True)).toPandas() for m, g in goals.items()})
-        total = float(local["tokens"].sum())
-        scale = scale_for(local["tokens"].to_numpy(float), local["weight"].to_numpy(), budget * total)
-        raked = spark.createDataFrame([tuple(None if pd.isna(x) else x for x in r) for r in local.itertuples(index=False)], cells.schema.add("weight", "double"))
-    else:
-        raked = _raked_apart(cells, names, goals)
-        scale = _scale_apart(raked, budget)
+    goals = {m: stored(t) for m, t in ((targets or {}) | {m: t for m, t in tempered(cells, names, power).items() if m not in (targets or {})}).items()}
+    weighed, error = raked(cells, names, goals)
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    scale = scale_for(weighed, budget * total)
     p = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(float(min(scale, 1e300))))).otherwise(0.0)
-    weighted = raked.select(*[F.col(n).alias(f"_{n}") for n in names], "weight", p.alias("probability"))
+    weighted = weighed.select(*[F.col(n).alias(f"_{n}") for n in names], "weight", p.alias("probability"))
     same = None
     for n in names:
         one = F.col(n).eqNullSafe(F.col(f"_{n}"))
         same = one if same is None else same & one
-    draw = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return rows.join(weighted, same).select("doc_id", *names, "tokens", "weight", "probability", (draw < F.col("probability")).alias("sampled"))
-
-
-def _scale_apart(raked: DataFrame, budget: float) -> float:
-    """scale_for() by bisection, each step one aggregate over the cells."""
-    some = raked.where("weight > 0 and tokens > 0")
-    total, held, low = raked.agg(F.sum("tokens")).first()[0], some.agg(F.sum("tokens")).first()[0], some.agg(F.min("weight")).first()[0]
-    if not held or held <= budget * total:
-        return np.inf
-    a, b = 0.0, 1 / low
-    for _ in range(60):
-        c = (a + b) / 2
-        kept = some.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c))).first()[0]
-        a, b = (c, b) if kept < budget * total else (a, c)
-    return b
+    kept = [F.col("row")] if keep else []
+    return rows.join(weighted, same).select("doc_id", *names, "tokens", "weight", "probability", (F.col("draw") < F.col("probability")).alias("sampled"), F.lit(float(error)).alias("margin_error"), *kept)
 
 
-def document_mix(docs: DataFrame, budget: float = 0.5) -> DataFrame:
+def document_mix(docs: DataFrame, budget: float = 0.5, keep: bool = False) -> DataFrame:
     """mix() of documents to flattened shares of source, language and topic."""
-    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}, words(F.col("text")), budget=budget)
+    return mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}, words(F.col("text")), budget=budget, keep=keep)
 
 
 def sampled(docs: DataFrame, budget: float = 0.5) -> DataFrame:
-    """The rows of docs that document_mix() samples, all columns."""
-    ids = document_mix(docs, budget).where("sampled").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs that document_mix() samples, all columns; rows are drawn one
+    by one, so null and repeated ids are treated as all others."""
+    return document_mix(docs, budget, keep=True).where("sampled").select("row.*")
