@@ -255,7 +255,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def reject_foreign(docs: DataFrame, most_bits: float = FOREIGN) -> DataFrame:
-    """docs without the documents in no learned language: those without a
-    letter, and those that the best language codes in over most_bits a byte."""
-    judged = identify(docs).where((F.col("lang_pred") == "und") | (F.col("bits_per_byte") > most_bits)).select("doc_id")
-    return docs.join(judged.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text is in no learned language: those without a
+    letter, and those that the best language codes in over most_bits a byte.
+
+    Each row is judged by itself: null and repeated ids make no difference, rows
+    that repeat go or stay alike, all columns stay as they are. Without any
+    learned text every row goes; an empty table stays empty.
+    """
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(learn_languages(docs.select(F.col("doc_id").cast("bigint"), "text", "lang")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text", 1 << 19):
+                judged = next(_predicted(iter([part]), sent))
+                foreign = pc.greater(pc.fill_null(judged.column("bits_per_byte"), 99.0), most_bits)
+                yield part.filter(pc.invert(pc.or_(pc.equal(judged.column("lang_pred"), "und"), foreign)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -14,8 +14,13 @@
    no link between different texts is lost, but for pairs that share no band:
    below 1e-8 at a similarity of 0.85.
 
+What a key is joined with is stored first, so that the adaptive skew join can
+split a hot bucket or a text with very many copies.
+
 Null or blank texts have an empty set and are linked with nothing. Repeated
-rows are copies of each other. An empty table gives an empty result. Other
+rows are copies of each other. Ids are integers; rows that share an id but not
+their text are one node, with the set of one of them: give such rows keys of
+their own first (corpus_pipeline does). An empty table gives an empty result. Other
 columns are not read, whatever their names.
 """
 
@@ -36,6 +41,8 @@ ROWS, BANDS = 3, 20
 HASHES = ROWS * BANDS
 #: Members of a bucket that one task compares with one another.
 CELL = 1000
+#: Shingles of a cell's members, about (8 bytes each).
+CELL_SHINGLES = 1 << 20
 #: Least share of equal minima for a pair across components to be confirmed
 #: on full sets; 0.85 lies over five standard deviations above it.
 PLAUSIBLE = 0.6
@@ -197,13 +204,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     full = feats.where("n_shingles > 0")
-    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    member = full.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "n_shingles", "rep")
+    classes = stored(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
+    member = full.select("doc_id", "n_shingles", "k1", "k2").join(classes.hint("merge"), ["k1", "k2"]).select("doc_id", "n_shingles", "rep")
 
     reps = full.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    banded = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = stored(banded.join(hubs, "key"))
+    banded = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "key"))
+    hubs = stored(banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    shared = stored(banded.join(hubs.hint("merge"), "key"))
     stars = stored(shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
     ids = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # One row an id, though rows may repeat. Ids grow with the input: the same join at every size.
@@ -215,20 +222,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = (
         shared.where("n > 2")
         .join(roots, shared.rep == roots.node, "left")
-        .select("key", "band", "rep", F.coalesce("root", "rep").alias("label"))
+        .select("key", "band", "rep", "n_shingles", F.coalesce("root", "rep").alias("label"))
     )
     labelled = stored(labelled)
-    split = (
+    main = F.max_by(F.struct("label", "count", "held"), F.struct("count", "label")).alias("main")
+    split = stored(
         labelled.groupBy("key", "label")
-        .count()
+        .agg(F.count("*").alias("count"), F.sum("n_shingles").alias("held"))
         .groupBy("key")
-        .agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("n"), F.max("count").alias("most"))
+        .agg(main, F.count("*").alias("labels"), F.sum("count").alias("n"), F.sum("held").alias("held"))
         .where("labels > 1")
+        .select("key", F.col("main.label").alias("main"), "n", "held", (F.col("n") - F.col("main.count")).alias("rare_n"), (F.col("held") - F.col("main.held")).alias("rare_held"))
     )
-    cells = F.ceil(F.col("n") / CELL).cast("int")
-    rare_cells = F.ceil((F.col("n") - F.col("most")) / CELL).cast("int")
+    cells = F.ceil(F.greatest(F.col("n") / CELL, F.col("held") / CELL_SHINGLES)).cast("int")
+    rare_cells = F.ceil(F.greatest(F.col("rare_n") / CELL, F.col("rare_held") / CELL_SHINGLES)).cast("int")
     sides = (
-        labelled.join(split, "key")
+        labelled.join(split.hint("merge"), "key")
         .withColumn("rare", F.col("label") != F.col("main"))
         .withColumn("h", F.abs(F.xxhash64("rep")))
         .select(

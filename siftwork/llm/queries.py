@@ -46,7 +46,7 @@ def op6_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwork.llm.media import text_media
 
-    return text_media(table(spark, sf_dir, "documents")).drop("error")
+    return text_media(table(spark, sf_dir, "documents"))
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.subwords import DEFAULT, WIDE_SPACE, count_memo, encoding, units, vocabulary
 from siftwork.llm.textbatch import Block, blocks
-from siftwork.session import ship
+from siftwork.session import ship, stored
 
 #: Neighbouring lengths whose sums one task makes.
 SPAN = 256
@@ -45,7 +45,8 @@ def _counted(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT) -> DataFrame:
-    """doc_id and n_tokens of every row of docs."""
+    """doc_id and n_tokens of every row of docs. Ids are integers or null; other
+    columns are not read, whatever their names."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary(spark, tokenizer))
@@ -59,7 +60,8 @@ def length_histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
     left if every text is cut at that length) and share_up_to (of documents of
     that length or shorter)."""
     hist = counts.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n_docs"))
-    hist = hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("span", F.floor(F.col("length") / SPAN))
+    # Read three times below: counting the texts is done once.
+    hist = stored(hist.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("span", F.floor(F.col("length") / SPAN)))
     # Sums within a span of lengths, then over the few spans: no task sees all lengths.
     spans = hist.groupBy("span").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     later = W.orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)
