@@ -10,6 +10,7 @@ documents so that sources, languages and topics meet their target shares.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwork.llm.decontam import decontaminated
 from siftwork.llm.langid import reject_foreign
@@ -22,27 +23,48 @@ from siftwork.session import ship, stored, table
 BUDGET = 0.5
 
 
+#: Each row's own key: equal for rows that repeat in all columns only.
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.xxhash64(*docs.columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in a learned language. Rows are judged one by one: null ids, ids that
+    repeat, extra columns and empty tables need no care."""
     return reject_foreign(docs)
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least id; documents with an
-    empty set of shingles are in no group. Of rows that share an id, one stays;
-    rows without an id can't be told apart and go."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of each group of near copies: the one with the least id (null ids
+    last). Rows with an empty set of shingles are in no group and all stay; of
+    rows that repeat in all columns one stays. Rows that share an id, or have
+    none, are told apart by a hash of all columns."""
+    rows = keyed(docs)
+    found = near_duplicates(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")).distinct()
+    ids = rows.select(ROW, "doc_id").distinct().join(found, ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    kept = stored(ids.groupBy("group").agg(F.min(order).alias("first")).select(f"first.{ROW}"))
+    return rows.join(kept.hint("merge"), ROW, "left_semi").dropDuplicates([ROW, "doc_id", "text"]).select(docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no benchmark item; every row is judged by its own text, null
+    ids and repeated ids included."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with personal data masked in text and n_chars to match."""
     return mask_pii(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows sampled so that BUDGET of the tokens stay and margins meet their
+    targets; a row is drawn by a hash of its id and text, so rows that repeat are
+    drawn alike and rows without an id like all others."""
     return sampled(docs, BUDGET)
 
 
