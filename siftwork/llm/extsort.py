@@ -28,14 +28,18 @@ the task; a task that is run again starts afresh.
 from __future__ import annotations
 
 import tempfile
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 
 #: Bytes of tuples that one queue or spool holds in memory; bytes from which an array is mapped from a file.
 QUEUE_BYTES, MAP_BYTES = 2 << 20, 8 << 20
 #: Tuples of a bucket of several codes, most tuples in one step of a scan, letters looked at in one step elsewhere.
-BUCKET, STEP, PART = 8192, 16_384, 1 << 20
+BUCKET, STEP, PART = 2048, 16_384, 1 << 20
+#: Tuples taken one by one where steps are short.
+FEW = 256
 FAR = np.iinfo(np.int32).max
 TUPLE = np.dtype([("code", "<i4"), ("at", "<i4"), ("same", "<i4")])
 
@@ -47,7 +51,7 @@ def mapped(n: int, dtype) -> np.ndarray:
         return np.zeros(n, dtype)
     with tempfile.TemporaryFile() as f:
         f.truncate(size)
-        return np.memmap(f, dtype, "r+", shape=(n,))
+        return np.memmap(f, dtype, "r+", shape=(n,)).view(np.ndarray)
 
 
 class Scratch:
@@ -134,7 +138,7 @@ class TupleQueue:
         if len(rows):
             self.late.append(rows)
             self.n_late += len(rows)
-            if self.n_late > 4 * BUCKET:
+            if self.n_late > 16 * BUCKET:
                 self._deal()
 
     def _deal(self) -> None:
@@ -233,15 +237,54 @@ class Least:
         return np.minimum(self.table[level, low], self.table[level, high - (1 << level) + 1])
 
 
+class Since:
+    """Least values of a growing sequence since given times: its suffix minima."""
+
+    def __init__(self):
+        self.times, self.values, self.n = [-1], [-1], 0
+
+    def add(self, value: int) -> None:
+        values = self.values
+        while values[-1] >= value:
+            values.pop()
+            self.times.pop()
+        values.append(value)
+        self.times.append(self.n)
+        self.n += 1
+
+    def extend(self, values: np.ndarray) -> None:
+        after = np.append(np.minimum.accumulate(values[::-1])[::-1], FAR)
+        least = int(after[0])
+        while self.values[-1] >= least:
+            self.values.pop()
+            self.times.pop()
+        new = np.flatnonzero(values < after[1:])
+        self.values += values[new].tolist()
+        self.times += (new + self.n).tolist()
+        self.n += len(values)
+
+    def least(self, time: int) -> int:
+        """Of all values after that time; there is one at least."""
+        return self.values[bisect_right(self.times, time)]
+
+    def least_all(self, times: np.ndarray) -> np.ndarray:
+        """The same for many times; FAR where no value came after."""
+        return np.append(self.values, FAR)[np.searchsorted(self.times, times, "right")]
+
+
 def _scan(t: np.ndarray, up: np.ndarray, letters: int, upwards: bool, first: Iterator[np.ndarray], many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, common prefix with the one before, whether induced) in the order
     of the scan. first: tuples (odd codes) in the order of the scan, with their
-    common prefixes; many: tuples of each code."""
+    common prefixes; many: tuples of each code.
+
+    A step takes as many tuples as don't depend on each other and handles them as
+    arrays; where that would be a few only, FEW tuples are taken one by one.
+    """
     queue = TupleQueue(many)
     for rows in first:
         queue.push(rows)
-    pend = np.full(letters, FAR, np.int32)  # least common prefix since the last tuple of each letter
-    last_code, last_at, most = -9, 0, 256
+    since, put = Since(), np.full(letters, -1, np.int64)  # when a tuple of each letter was last put in
+    last_code, last_at, most = -9, 0, 1024
     while len(rows := queue.peek(most)):
         code, at = rows["code"], rows["at"].astype(np.int64)
         before = np.maximum(at - 1, 0)
@@ -250,12 +293,21 @@ def _scan(t: np.ndarray, up: np.ndarray, letters: int, upwards: bool, first: Ite
         goal = np.where(ok, 2 * (x if upwards else letters - 1 - x), FAR)
         # What this step puts in has to wait for the next step: it ends before a higher code than any of these.
         wait = code[1:] > np.minimum.accumulate(goal)[:-1]
-        k = int(np.argmax(wait)) + 1 if wait.any() else len(rows)
+        k = int(wait.argmax()) + 1 if wait.any() else len(rows)
+        most = min(max(4 * k, FEW), STEP)
+        if k < len(rows) and k < FEW // 8:
+            rows, goal = rows[:FEW], goal[:FEW].tolist()
+            queue.take(len(rows))
+            out, found = _one_by_one(t, up, letters, upwards, rows, goal, since, put, last_code, last_at)
+            last_code, last_at = int(rows["code"][-1]), int(rows["at"][-1])
+            queue.push(out)
+            yield found
+            continue
         queue.take(k)
-        most = min(max(2 * k, 256), STEP)
         code, at, goal = code[:k], at[:k], goal[:k]
-        prior = np.append(last_code, code[:-1])
-        induced = code % 2 == 0
+        prior = np.empty(k, np.int32)
+        prior[0], prior[1:] = last_code, code[:-1]
+        induced = code & 1 == 0
         same = np.where(code == prior, np.minimum(rows["same"][:k], FAR - 1) + induced, 0)
         seam = np.flatnonzero(~induced & (prior == code - 1))  # S and L suffixes of one letter share a run of it
         if len(seam):
@@ -264,28 +316,74 @@ def _scan(t: np.ndarray, up: np.ndarray, letters: int, upwards: bool, first: Ite
         yield at, same, induced
         last_code, last_at = int(code[-1]), int(at[-1])
         who = np.flatnonzero(goal < FAR)
-        who = who[np.argsort(goal[who], kind="stable")]
-        goal = goal[who]
         if len(who):
-            new = np.ones(len(who), bool)
-            new[1:] = goal[1:] != goal[:-1]
+            who = who[goal[who].argsort(kind="stable")]
+            goal = goal[who]
+            new = np.empty(len(who), bool)
+            new[0], new[1:] = True, goal[1:] != goal[:-1]
             low = np.zeros(len(who), np.int64)
             low[1:] = np.where(new[1:], 0, who[:-1] + 1)
-            carried = Least(same).of(low, who)
-            letter = goal // 2
-            carried[new] = np.minimum(carried[new], pend[letter[new]])
+            if k <= 1024:
+                pairs = np.empty(2 * len(who), np.int64)
+                pairs[::2], pairs[1::2] = low, who + 1
+                carried = np.minimum.reduceat(np.append(same, FAR), pairs)[::2]
+            else:
+                carried = Least(same).of(low, who)
+            letter = goal[new] >> 1
+            carried[new] = np.minimum(carried[new], since.least_all(put[letter]))
             out = np.empty(len(who), TUPLE)
             out["code"], out["at"], out["same"] = goal, at[who] - 1, carried
-            np.minimum(pend, same.min(), out=pend)
-            end = np.flatnonzero(np.append(new[1:], True))
-            rest = np.append(np.minimum.accumulate(same[::-1])[::-1], FAR)
-            pend[letter[end]] = rest[who[end] + 1]
+            end = np.empty(len(who), bool)
+            end[-1], end[:-1] = True, new[1:]
+            put[letter] = since.n + who[end]
+            since.extend(same)
             queue.push(out)
         else:
-            np.minimum(pend, same.min(), out=pend)
+            since.extend(same)
     queue.scratch.close()
 
 
+def _one_by_one(t, up, letters: int, upwards: bool, rows: np.ndarray, goals: list[int], since: Since, put: np.ndarray, last_code: int, last_at: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Takes rows, and what they put in before the last of them, from a heap. Gives
+    the other tuples put in, sorted, and what _scan() yields."""
+    codes, ats, sames = rows["code"].tolist(), rows["at"].tolist(), rows["same"].tolist()
+    end, i, seq = codes[-1], 0, 0
+    heap: list[tuple[int, int, int, int]] = []
+    rest, found = [], []
+    while i < len(codes):
+        if heap and heap[0][0] < codes[i]:
+            code, _, at, same = heappop(heap)
+            goal = FAR
+            if at and bool(up[at - 1]) != upwards:
+                x = int(t[at - 1])
+                goal = 2 * (x if upwards else letters - 1 - x)
+        else:
+            code, at, same, goal = codes[i], ats[i], sames[i], goals[i]
+            i += 1
+        induced = not code & 1
+        if code == last_code:
+            same = min(same, FAR - 1) + induced
+        elif not induced and last_code == code - 1:
+            same = int(runs(t, np.array([last_at, at])).min())
+        else:
+            same = 0
+        found.append((at, same, induced))
+        since.add(same)
+        last_code, last_at = code, at
+        if goal < FAR:
+            letter = goal >> 1
+            carried = since.least(int(put[letter]))
+            put[letter] = since.n - 1
+            if goal < end:
+                heappush(heap, (goal, seq, at - 1, carried))
+                seq += 1
+            else:
+                rest.append((goal, at - 1, carried))
+    out = np.array(rest, TUPLE)
+    at, same, induced = zip(*found, strict=True)
+    return out[out["code"].argsort(kind="stable")], (np.array(at, np.int64), np.array(same, np.int32), np.array(induced))
+
+
 _SEED = np.dtype([("at", "<i4"), ("same", "<i4")])
 
 

@@ -41,8 +41,8 @@ LENGTH, GRAM = 200, 32
 #: Distances between a string's start and its anchor's, and how many of them a smaller piece spans.
 DISTANCES = LENGTH - GRAM + 1
 SPAN = 43
-#: Letters of a shard; a group that is larger is a shard of its own, and sorted from disk all the same.
-SHARD_LETTERS = 2 << 20
+#: Letters of a shard, and those that a task gets, about. A group that is larger is a shard of its own, and sorted from disk all the same.
+SHARD_LETTERS, TASK_LETTERS = 1 << 20, 1 << 19
 #: Bytes of text looked at in one step.
 BLOCK = 1 << 19
 _KEY = ["key", "key2"]
@@ -123,7 +123,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = _first_of_each(anchor, like, like2, d)
             total = np.add.reduceat(n, again)
             start, d = start[again], d[again]
-            own = part.take(pa.array(d)).select(["id", "h"])
+            own = part.select(["id", "h"]).take(pa.array(d))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(anchor[again].view(np.int64)), pa.array(np.zeros(len(again), np.int32)), pa.array(like[again].view(np.int64)), pa.array(like2[again].view(np.int32)),
@@ -168,7 +168,7 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = [raw[i:j] for i, j in zip(start.tolist(), shared.tolist(), strict=True)]
             right = [raw[i:j] for i, j in zip(shared_end.tolist(), end.tolist(), strict=True)]
             d = doc[which]
-            own = part.take(pa.array(d)).select(["id", "h"])
+            own = part.select(["id", "h"]).take(pa.array(d))
             n32 = pa.array(n.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -315,7 +315,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A row that repeats brings its pieces again; their kinds are known to occur twice already.
     more, kinds = _met(small, told)
     shards = kinds.select(*_KEY, "one.id", "one.h", "one.start", "one.n", (~F.col("known") & (F.col("places") == 1)).alias("once"), "width", "left", "right")
-    sorted_ = shards.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInPandas(_sorted, "id bigint, h bigint, a bigint, b bigint")
+    letters = shards.agg(F.sum(F.col("n") + F.col("width"))).first()[0] or 0
+    sorted_ = shards.repartition(1 + letters // TASK_LETTERS, *_KEY).sortWithinPartitions(*_KEY).mapInPandas(_sorted, "id bigint, h bigint, a bigint, b bigint")
     runs = stored(covered.union(more).union(sorted_).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("runs")))
     for t in told:
         forget(t)

@@ -27,9 +27,11 @@ def drained(t, letters):
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_order_and_common_prefixes(small, monkeypatch):
+@pytest.mark.parametrize("few", [0, 256])
+def test_order_and_common_prefixes(small, few, monkeypatch):
+    monkeypatch.setattr(extsort, "FEW", few)
     if small:  # queues, spools and arrays from scratch files throughout
-        for name, value in (("QUEUE_BYTES", 100), ("MAP_BYTES", 64), ("BUCKET", 5), ("PART", 7), ("STEP", 9)):
+        for name, value in (("QUEUE_BYTES", 100), ("MAP_BYTES", 64), ("BUCKET", 5), ("PART", 7), ("STEP", 9), ("FEW", few and 40)):
             monkeypatch.setattr(extsort, name, value)
     rng = np.random.default_rng(small)
     for trial in range(150):
