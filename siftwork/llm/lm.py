@@ -40,8 +40,8 @@ CLASSES, OWN, INPUTS = 128, 104, 1024
 ROUNDS, BATCH, RATE = 4, 128, 0.02
 #: Windows that one task trains on, about, and the steps it takes at least (with few windows it takes them again).
 WINDOWS_A_TASK, LEAST_STEPS = 65_536, 100
-#: Bytes of text encoded at once.
-BLOCK = 1 << 20
+#: Bytes of text encoded, and windows scored at once.
+BLOCK, WINDOWS = 1 << 20, 128
 PROFILE = 8
 #: At most so many words are held as a table by every task: those that make
 #: up at least one in HEAD of all tokens can't be more. Rarer ones are joined.
@@ -248,51 +248,51 @@ class Model:
         """Adam over windows of SPAN + 1 ids (-1: none), one order of all after the other."""
         p, rng = self.p, np.random.Generator(np.random.PCG64(seed))
         m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        back = (np.arange(STEP) + SPAN - STEP)[:, None] - np.arange(SPAN)
+        back = np.arange(SPAN)[:, None] - np.arange(SPAN)
+        gap, root = INPUTS + CLASSES, np.float32(1 / np.sqrt(DIM))
+        ones = np.ones(CLASSES, np.float32)
         order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * BATCH // len(windows)))])
         for t in range(1, steps + 1):
             w = windows[order[(t - 1) * BATCH : t * BATCH]]
-            given = np.where(w >= 0, self.inputs[np.maximum(w, 0)], INPUTS + CLASSES)
-            # Both halves are queries; the first half sees an empty past.
-            empty = np.full((len(w), SPAN - STEP), INPUTS + CLASSES)
-            ids = np.concatenate([np.concatenate([empty, given[:, :STEP]], 1), given[:, :SPAN]])
-            goal = np.concatenate([w[:, 1 : STEP + 1], w[:, STEP + 1 : SPAN + 1]])
-            ok = goal >= 0
-            if not ok.any():
+            ids = np.where(w >= 0, self.inputs[np.maximum(w, 0)], gap)[:, :SPAN]
+            asked = np.flatnonzero(w[:, 1:].ravel() >= 0)
+            if not len(asked):
                 continue
-            y = self.cls[np.maximum(goal, 0)]
+            # Each place of a window is a query that sees the window's places up to its own.
             x = p["E"][ids]
-            xq = x[:, SPAN - STEP :]
-            q, key, val = xq @ p["Q"], x @ p["K"], x @ p["V"]
-            s = np.clip(q @ key.transpose(0, 2, 1) / np.sqrt(DIM), -30, 30)
-            a = np.exp(s) * self._near() * (ids < INPUTS + CLASSES)[:, None, :]
-            a /= a.sum(2, keepdims=True) + 1e-9
-            h = xq + a @ val
-            z = h @ p["O"] + p["b"] + self.after[ids[:, SPAN - STEP :]]
-            z -= z.max(2, keepdims=True)
-            e = np.exp(z)
-            e /= e.sum(2, keepdims=True)
-            dz = e
-            np.put_along_axis(dz, y[..., None], np.take_along_axis(dz, y[..., None], 2) - 1, 2)
-            dz *= (ok / ok.sum())[..., None]
-            g = {"O": h.reshape(-1, DIM).T @ dz.reshape(-1, CLASSES), "b": dz.sum((0, 1))}
-            dh = dz @ p["O"].T
+            flat = x.reshape(-1, DIM)
+            q, key, val = ((flat @ p[k]).reshape(x.shape) for k in "QKV")
+            s = q @ key.transpose(0, 2, 1)
+            s *= root
+            a = np.exp(np.clip(s, -30, 30, out=s), out=s)
+            a *= np.where(back >= 0, np.exp(np.clip(p["r"], -20, 20))[np.maximum(back, 0)], 0).astype(np.float32)
+            a *= (ids < gap)[:, None, :]
+            a /= a.sum(2, keepdims=True) + np.float32(1e-9)
+            h = (x + a @ val).reshape(-1, DIM)[asked]
+            z = h @ p["O"]
+            z += p["b"]
+            z += self.after.take(ids.ravel()[asked], 0)
+            z -= z.max()
+            np.exp(z, out=z)
+            z *= (1 / ((z @ ones + np.float32(1e-30)) * len(asked)))[:, None]
+            z[np.arange(len(asked)), self.cls[w[:, 1:].ravel()[asked]]] -= np.float32(1 / len(asked))
+            g = {"O": h.T @ z, "b": np.ones(len(asked), np.float32) @ z}
+            dh = np.zeros_like(flat)
+            dh[asked] = z @ p["O"].T
+            dh = dh.reshape(x.shape)
             da, dv = dh @ val.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-            ds = a * (da - (a * da).sum(2, keepdims=True))
-            near = ds.sum(0)
-            g["r"] = np.bincount(np.maximum(back, 0).ravel(), np.where(back >= 0, near, 0).ravel(), SPAN).astype(np.float32)
-            ds /= np.sqrt(DIM)
-            dq, dk = ds @ key, ds.transpose(0, 2, 1) @ q
-            g["Q"] = xq.reshape(-1, DIM).T @ dq.reshape(-1, DIM)
-            g["K"] = x.reshape(-1, DIM).T @ dk.reshape(-1, DIM)
-            g["V"] = x.reshape(-1, DIM).T @ dv.reshape(-1, DIM)
-            dx = dk @ p["K"].T + dv @ p["V"].T
-            dx[:, SPAN - STEP :] += dh + dq @ p["Q"].T
+            da -= (a * da).sum(2, keepdims=True)
+            da *= a
+            g["r"] = np.bincount(np.maximum(back, 0).ravel(), np.where(back >= 0, da.sum(0), 0).ravel(), SPAN).astype(np.float32)
+            da *= root
+            dq, dk, dv = (d.reshape(-1, DIM) for d in (da @ key, da.transpose(0, 2, 1) @ q, dv))
+            g["Q"], g["K"], g["V"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
+            dx = dh.reshape(-1, DIM) + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
             g["E"] = np.zeros_like(p["E"])
             by_id = np.argsort(ids.ravel(), kind="stable")
             own = ids.ravel()[by_id]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            g["E"][own[first]] = np.add.reduceat(dx.reshape(-1, DIM)[by_id], first)
+            g["E"][own[first]] = np.add.reduceat(dx[by_id], first)
             rate = RATE * min(1, t / 10) * (1 - 0.9 * t / steps)
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -336,9 +336,9 @@ class Model:
         left = asked[of] - first  # goals from here to the text's end
         total = np.zeros(n_docs)
         keys, ones = np.arange(SPAN), np.ones(CLASSES, np.float32)
-        rows = np.arange(512 * STEP) * CLASSES
-        for i in range(0, len(of), 512):
-            at = start[i : i + 512, None] + keys
+        rows = np.arange(WINDOWS * STEP) * CLASSES
+        for i in range(0, len(of), WINDOWS):
+            at = start[i : i + WINDOWS, None] + keys
             ids = given.take(at)
             last = ids[:, lead:]
             a = np.matmul(self.tq.take(last, 0), self.tk.take(ids, 0).transpose(0, 2, 1))
@@ -355,8 +355,8 @@ class Model:
             own = logits.ravel().take(rows[: len(logits)] + goal.take(at[:, lead:]).ravel())
             np.exp(logits, out=logits)
             got = (own - np.log(logits @ ones)).reshape(-1, STEP)
-            got *= np.arange(STEP) < left[i : i + 512, None]
-            total += np.bincount(of[i : i + 512], got.sum(1), n_docs)
+            got *= np.arange(STEP) < left[i : i + WINDOWS, None]
+            total += np.bincount(of[i : i + WINDOWS], got.sum(1), n_docs)
         # Each subword within its class, after the last one.
         a, y = self.inputs[seq[:-1]], seq[1:]
         more = self.within[y]
