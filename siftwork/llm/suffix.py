@@ -271,18 +271,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(pieces: DataFrame, told: list) -> tuple[DataFrame, DataFrame]:
-    """Of pieces: those with equals elsewhere, and one of each kind (count: places)
-    where a key has several kinds. told collects what is stored on the way."""
+    """Of pieces (stored; deleted here): those with equals elsewhere, and one of each
+    kind (count: places) where a key has several kinds. told collects what is
+    stored on the way."""
     places = F.sum((F.col("total") / F.col("n")).cast("bigint"))
     kinds = [F.min(c) != F.max(c) for c in _KIND]
     keys = stored(pieces.groupBy(*_KEY).agg(places.alias("places"), (kinds[0] | kinds[1]).alias("mixed")).where("places > 1").drop("places"))
     met = stored(pieces.join(keys.hint("merge"), _KEY))
+    forget(keys)
+    forget(pieces)
     mixed = met.where("mixed")
     rest = [F.first(c).alias(c) for c in ("known", "width", "left", "right") if c in pieces.columns]
     one = F.min(F.struct("id", "h", "start", "n")).alias("one")
     by_kind = stored(mixed.groupBy(*_KEY, *_KIND).agg(places.alias("places"), one, *rest))
     again = mixed.join(by_kind.where("places > 1").select(*_KEY, *_KIND).hint("merge"), [*_KEY, *_KIND])
-    told += [keys, met, by_kind]
+    told += [met, by_kind]
     a, b = F.col("start").cast("bigint").alias("a"), (F.col("start") + F.col("total") - 1 + LENGTH).cast("bigint").alias("b")
     return met.where("not mixed").select("id", "h", a, b).union(again.select("id", "h", a, b)), by_kind
 
@@ -304,14 +307,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A row is known by its id and a hash of id and text: hashes need to differ within an id only.
     rows = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("doc_id", "text").alias("h"))
     pieces = stored(rows.select("id", "h", "text").mapInArrow(_anchors, _PIECES))
-    told.append(pieces)
     covered, kinds = _met(pieces, told)
     # One text of each kind brings the bytes; bounded by a text's length.
     wanted = kinds.groupBy("one.id", "one.h").agg(F.collect_list(F.struct("one.start", "one.n", (F.col("places") > 1).alias("known"))).alias("met"))
     small = stored(
         rows.select("id", "h", "text").join(wanted.hint("merge"), ["id", "h"]).mapInArrow(_parted, _PIECES + ", known boolean, width int, left binary, right binary")
     )
-    told.append(small)
     # A row that repeats brings its pieces again; their kinds are known to occur twice already.
     more, kinds = _met(small, told)
     shards = kinds.select(*_KEY, "one.id", "one.h", "one.start", "one.n", (~F.col("known") & (F.col("places") == 1)).alias("once"), "width", "left", "right")
