@@ -229,45 +229,41 @@ def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.posexplode(run(text)).alias("n", "s")).select(key, "n", "s.*")
 
 
-def sentence_label(s: Column) -> Column:
-    """observed, inferred, defensive, background, hypothetical or mentioned: the first rule that fits."""
-    return (
-        F.when(s.rlike(r"(?i)\b(?:recommend|should|mitigat\w*|detect(?:ion)? rule|block|patch|disable|monitor for|hunt for)\b"), "defensive")
-        .when(s.rlike(r"(?i)\b(?:could|might|may|would|potentially|if an attacker)\b"), "hypothetical")
-        .when(s.rlike(r"(?i)\b(?:likely|probably|we assess|appears to|suspected|consistent with)\b"), "inferred")
-        .when(s.rlike(r"(?i)\b(?:historically|previously|in the past|known for|according to)\b"), "background")
-        .when(s.rlike(r"(?i)\b(?:observed|used|executed|deployed|exploited|dropped|exfiltrated|downloaded|created|injected|we saw|ran)\b"), "observed")
-        .otherwise("mentioned")
-    )
-
-
 def technique_evidence(labelled: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, technique, label, confidence, mentions, first_at): technique ids in labelled
     sentences; the strongest label wins; .85 and .03 more a mention, .95 at most."""
     one = labelled.select(key, "start", "label", F.explode(F.regexp_extract_all("sentence", F.lit(r"\b(T\d{4}(?:\.\d{3})?)\b"), F.lit(1))).alias("technique"))
-    rank = F.when(F.col("label") == "observed", 3).when(F.col("label") == "inferred", 2).when(F.col("label") == "mentioned", 1).otherwise(0)
+    rank = F.when(F.col("label") == "observed", 2).when(F.col("label") == "hypothetical", 1).otherwise(0)
     g = one.where(rank > 0).groupBy(key, "technique").agg(F.max_by("label", rank).alias("label"), F.count("*").alias("mentions"), F.min("start").alias("first_at"))
     return g.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.85 + 0.03 * (F.col("mentions") - 1)), 2))
 
 
 def chain(evidence: DataFrame, tactics: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, step, tactic, techniques): tactics by where their first technique stands. tactics: (technique, tactic)."""
-    j = evidence.where("label in ('observed', 'inferred')").join(tactics, "technique")
+    j = evidence.where("label = 'observed'").join(tactics, "technique")
     g = j.groupBy(key, "tactic").agg(F.min("first_at").alias("at"), F.array_sort(F.collect_set("technique")).alias("techniques"))
     return g.withColumn("step", F.row_number().over(W.partitionBy(key).orderBy("at", "tactic"))).select(key, "step", "tactic", "techniques")
 
 
 def name_mentions(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, id, alias, n): names of entities in texts, as an equi-join on a name's first
-    word, then a bounded search; single words must have the name's case. names: (id, alias)."""
+    word, then a bounded search; single words must have the name's case. Longer aliases
+    come first, and what one has matched no shorter one can match. names: (id, alias)."""
     first = lambda c: F.lower(F.regexp_extract(c, r"^([\p{L}\p{N}]+)", 1))
     side = names.select("id", "alias", first(F.col("alias")).alias("w")).where("w <> ''")
     words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
-    maybe = words.join(side, "w").select(key, "id", "alias").distinct()
     quoted = F.regexp_replace("alias", r"([.?+*()\[\]{}|\\^$-])", r"\\$1")
     bound = F.concat(F.when(F.col("alias").contains(" "), "(?i)").otherwise(""), F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])"))
-    hit = maybe.join(docs.select(key, text), key).withColumn("n", F.regexp_count(text, bound)).where("n > 0")
-    return hit.select(key, "id", "alias", "n")
+    maybe = words.join(side, "w").select(key, F.struct((-F.length("alias")).alias("size"), "alias", "id", bound.alias("bound")).alias("c"))
+    tried = maybe.groupBy(key).agg(F.array_sort(F.collect_set("c")).alias("cs"))  # bounded by a text's words
+
+    def step(so_far: Column, c: Column) -> Column:
+        hit = F.struct(c["id"].alias("id"), c["alias"].alias("alias"), F.regexp_count(so_far["left"], c["bound"]).alias("n"))
+        return F.struct(F.regexp_replace(so_far["left"], c["bound"], chr(1)).alias("left"), F.concat(so_far["hits"], F.array(hit)).alias("hits"))
+
+    none = F.array().cast("array<struct<id:string,alias:string,n:int>>")
+    found = tried.join(docs.select(key, text), key).select(key, F.aggregate("cs", F.struct(F.col(text).alias("left"), none.alias("hits")), step)["hits"].alias("hits"))
+    return found.select(key, F.explode("hits").alias("h")).where("h.n > 0").select(key, "h.id", "h.alias", "h.n")
 
 
 def publication_day(candidates: list[tuple[str, Column]], now: str) -> Column:

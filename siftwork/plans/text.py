@@ -55,17 +55,10 @@ def public_ips(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", F.explode(ips).alias("ip")).where(tx.is_public_ipv4(F.col("ip")))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bhxxp(s?)', 'http\\1', 'gi'), '\\s*[\\[({]\\s*(?:[.]|dot)\\s*[\\])}]\\s*', '.', 'gi'), '\\s*[\\[({]\\s*(?:@|at)\\s*[\\])}]\\s*', '@', 'gi') AS text
-FROM (SELECT doc_id, concat('hxxps://', replace(substr(text, 1, 80), ' ', '[.]'), ' {at} x(dot)y') AS text FROM documents)""")
-def refanged(spark: SparkSession, d: str) -> DataFrame:
-    bent = F.concat(F.lit("hxxps://"), F.replace(F.substring("text", 1, 80), F.lit(" "), F.lit("[.]")), F.lit(" {at} x(dot)y"))
-    return t(spark, d, "documents").select("doc_id", tx.refang(bent).alias("text"))
-
-
 @query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\bhxxp(s?)', 'http\\1', 'gi'), '\\s*[\\[({]\\s*(?:[.]|dot)\\s*[\\])}]\\s*', '.', 'gi'), '\\s*[\\[({]\\s*(?:@|at)\\s*[\\])}]\\s*', '@', 'gi') AS text
 FROM (SELECT doc_id, concat('hxxps://', replace(text, ' ', '[.]'), ' {at} x(dot)y') AS text FROM documents)""")
-def refanged_whole(spark: SparkSession, d: str) -> DataFrame:
-    """refanged over whole texts."""
+def refanged(spark: SparkSession, d: str) -> DataFrame:
+    """Defanged forms put into every whole text, and taken out again."""
     bent = F.concat(F.lit("hxxps://"), F.replace("text", F.lit(" "), F.lit("[.]")), F.lit(" {at} x(dot)y"))
     return t(spark, d, "documents").select("doc_id", tx.refang(bent).alias("text"))
 
@@ -107,36 +100,30 @@ def quotes_grounded(spark: SparkSession, d: str) -> DataFrame:
 _RUNS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 
 
-@query(f"""WITH x AS (SELECT doc_id, unnest({_RUNS}) AS term FROM documents WHERE doc_id % 2 = 0 AND n_chars < 2000), n AS (SELECT doc_id, count(*) AS k FROM x GROUP BY 1),
-p AS (SELECT l.quality, count(*) AS docs, sum(n.k) AS terms FROM n JOIN labels l USING (doc_id) GROUP BY 1) SELECT quality, docs, terms FROM p""")
-def quality_by_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    docs = t(spark, d, "documents").where("doc_id % 2 = 0 and n_chars < 2000")
-    n = docs.select("doc_id", F.size(F.array_distinct(tx.plain_runs(F.col("text")))).alias("k"))
-    return n.where("k > 0").join(t(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("k").alias("terms"))
-
-
 @query(f"""WITH n AS (SELECT doc_id, len({_RUNS}) AS k FROM documents)
 SELECT l.quality, count(*) AS docs, sum(n.k) AS terms FROM n JOIN labels l USING (doc_id) WHERE n.k > 0 GROUP BY 1""")
-def quality_by_vocabulary_whole(spark: SparkSession, d: str) -> DataFrame:
-    """quality_by_vocabulary over every document, long or short."""
+def quality_by_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     n = t(spark, d, "documents").select("doc_id", F.size(F.array_distinct(tx.plain_runs(F.col("text")))).alias("k"))
     return n.where("k > 0").join(t(spark, d, "labels"), "doc_id").groupBy("quality").agg(F.count("*").alias("docs"), F.sum("k").alias("terms"))
 
 
-@query("""WITH w AS (SELECT doc_id, text, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) SELECT doc_id, n AS word_count,
-round(greatest(0, least(1, 0.22 + CASE WHEN n >= 2500 THEN 0.28 WHEN n >= 1200 THEN 0.2 WHEN n >= 500 THEN 0.1 ELSE -0.12 END - 0.1)), 2) AS score
-FROM w WHERE NOT regexp_matches(lower(text), 'att&ck|cve-|attack|threat|powershell|malware|exploit|t1[0-9]{3}|ransom|phish|payload|loader|backdoor|credential|lateral|persist|actor|vulnerab|botnet|beacon|stage|hklm|hkcu|event|byovd')""")
-def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    """On texts without threat vocabulary, where the length tiers decide; the other terms are unit-tested."""
-    none = "att&ck|cve-|attack|threat|powershell|malware|exploit|t1[0-9]{3}|ransom|phish|payload|loader|backdoor|credential|lateral|persist|actor|vulnerab|botnet|beacon|stage|hklm|hkcu|event|byovd"
-    docs = t(spark, d, "documents").where(~F.lower("text").rlike(none))
-    return docs.select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
+_SEEN = ", ".join(f"regexp_matches(text, '{p}') AS {k}_" for k, (p, _) in ql.EVIDENCE.items())
+_TERMS = " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in ql.SIGNAL_WORDS)
+_ADD = " + ".join(f"CASE WHEN {k}_ THEN {add} ELSE 0 END" for k, (_, add) in ql.EVIDENCE.items())
 
 
-@query(None)
-def quality_score_whole(spark: SparkSession, d: str) -> DataFrame:
-    """quality_score over every document, with all terms of the score. No SQL: tested against brute force."""
-    return t(spark, d, "documents").select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
+@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'Powershell -enc aGk=; ' WHEN 2 THEN 'HKLM\\Software\\Run C2 and RDP and TTP ' WHEN 3 THEN 'CVE-2024-1234 in stage 2, BYOVD ' WHEN 4 THEN 'ATT&CK T1059, Event ID 4688 ' WHEN 5 THEN 'ransomware, persistence, exfiltration, initial access, mimikatz, C2, IOC, RDP ' ELSE '' END || text AS text FROM documents),
+w AS (SELECT doc_id, text, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS n, {_TERMS} AS terms, {_SEEN} FROM d)
+SELECT doc_id, n AS word_count, floor(round(greatest(0, least(1, 0.22 + CASE WHEN n >= 2500 THEN 0.28 WHEN n >= 1200 THEN 0.2 WHEN n >= 500 THEN 0.1 WHEN command_ OR registry_ OR cve_ THEN 0.16 ELSE -0.12 END
++ CASE WHEN terms >= 8 THEN 0.28 WHEN terms >= 4 THEN 0.18 WHEN terms >= 2 THEN 0.08 ELSE -0.1 END + {_ADD})) * 100, 6) + 0.5) / 100 AS score FROM w""")
+def quality_score(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, most with a kind of evidence put before its text."""
+    lead = F.lit("")
+    said = ["Powershell -enc aGk=; ", "HKLM\\Software\\Run C2 and RDP and TTP ", "CVE-2024-1234 in stage 2, BYOVD ", "ATT&CK T1059, Event ID 4688 ", "ransomware, persistence, exfiltration, initial access, mimikatz, C2, IOC, RDP "]
+    for i, x in enumerate(said, 1):
+        lead = F.when(F.col("doc_id") % 6 == i, x).otherwise(lead)
+    docs = t(spark, d, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
+    return docs.select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
 
 
 @query(None)
@@ -148,17 +135,10 @@ def simhash_near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dd.near_links(stored(prints.select("doc_id", "simhash", "tokens")), "doc_id")
 
 
-@query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 40, 400)), '[a-z0-9]+')) AS b FROM documents)
-SELECT doc_id, len(list_filter(a, lambda v: NOT list_contains(b, v))) AS lost, len(list_filter(b, lambda v: NOT list_contains(a, v))) AS added FROM x""")
-def token_difference(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (tx.plain_runs(F.substring("text", i, 400)) for i in (1, 40))
-    return t(spark, d, "documents").select("doc_id", rel.token_difference(a, b).alias("x")).select("doc_id", F.size("x.lost").alias("lost"), F.size("x.added").alias("added"))
-
-
 @query("""WITH x AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(substr(text, 1, greatest(length(text) - 39, 0))), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 40)), '[a-z0-9]+')) AS b FROM documents)
 SELECT doc_id, len(a) - len(list_intersect(a, b)) AS lost, len(b) - len(list_intersect(a, b)) AS added FROM x""")
-def token_difference_whole(spark: SparkSession, d: str) -> DataFrame:
-    """token_difference of whole texts: without their last 39 characters, and without their first."""
+def token_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of whole texts: without their last 39 characters, and without their first."""
     a = tx.plain_runs(F.substr("text", F.lit(1), F.greatest(F.length("text") - 39, F.lit(0))))
     b = tx.plain_runs(F.substr("text", F.lit(40)))
     return t(spark, d, "documents").select("doc_id", rel.token_difference(a, b).alias("x")).select("doc_id", F.size("x.lost").alias("lost"), F.size("x.added").alias("added"))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
-from siftwork.operators import actors, dedup, extract, quality, search, state
+from siftwork.operators import actors, dedup, evidence, extract, quality, search, state
 from siftwork.operators import graph as g
 from siftwork.operators import relational as rel
 from siftwork.sources import feeds, structured
@@ -96,14 +96,14 @@ def test_whole_texts_and_every_document(spark, tmp_path):
         out += 0.22 * commands + 0.12 * registry + 0.12 * has(r"\bEvent\s*ID\s*4688\b") + 0.18 * has(r"\bstage\s*[123]|kill chain", low) + 0.12 * has(r"\bT1\d{3}\b", text, 0) + 0.1 * cve
         return round(max(0.0, min(1.0, out)), 2)
 
-    got = run("quality_score_whole")
-    assert {i: (r.word_count, r.score) for i, r in got.items()} == {i: (len(x.split()), score(x)) for i, x in enumerate(texts)}
+    got = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", quality.word_count(F.col("text")).alias("n"), quality.quality_score(F.col("text"), F.lit("")).alias("score")).collect()}
+    assert {i: (r.n, r.score) for i, r in got.items()} == {i: (len(x.split()), score(x)) for i, x in enumerate(texts)}
     assert len({r.score for r in got.values()}) > 3
     words = [set(re.findall("[a-z0-9]+", x.lower())) for x in texts]
-    assert run("quality_by_vocabulary_whole")["good"][1:] == (sum(bool(w) for w in words), sum(map(len, words)))
+    assert run("quality_by_vocabulary")["good"][1:] == (sum(bool(w) for w in words), sum(map(len, words)))
     cut = [(set(re.findall("[a-z0-9]+", x[: max(len(x) - 39, 0)].lower())), set(re.findall("[a-z0-9]+", x[39:].lower()))) for x in texts]
-    assert {i: r[1:] for i, r in run("token_difference_whole").items()} == {i: (len(a - b), len(b - a)) for i, (a, b) in enumerate(cut)}
-    assert run("refanged_whole")[5].text.endswith("http://a.b.@.end@x.y")  # blanks were bent to [.]
+    assert {i: r[1:] for i, r in run("token_difference").items()} == {i: (len(a - b), len(b - a)) for i, (a, b) in enumerate(cut)}
+    assert run("refanged")[5].text.endswith("http://a.b.@.end@x.y")  # blanks were bent to [.]
 
 
 def test_short_quotes_are_grounded(spark, tmp_path):
@@ -163,14 +163,17 @@ def test_indicators_sentences_evidence(spark):
     df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
     found = {(r.kind, r.value) for r in extract.harvest(df).collect()}
     assert found == {("technique", "T1059.001"), ("url", "https://bad.example.com/x"), ("ipv4", "8.8.8.8"), ("cve", "CVE-2024-12345")}
-    s = extract.split_sentences(df).withColumn("label", extract.sentence_label(F.col("sentence")))
+    s = extract.split_sentences(df).withColumn("label", evidence.sentence_label(F.col("sentence")))
     rows = s.orderBy("n").collect()
     assert all(text[r.start : r.end] == r.sentence for r in rows)
-    assert [r.label for r in rows] == ["observed", "mentioned", "defensive", "observed"]
+    assert [r.label for r in rows] == ["observed", "observed", "defensive", "observed"]
     ev = extract.technique_evidence(s).first()
     assert (ev.technique, ev.label, ev.mentions, ev.confidence) == ("T1059.001", "observed", 2, 0.88)
     names = spark.createDataFrame([("g1", "Saw"), ("g2", "bad example")], "id string, alias string")
     assert extract.name_mentions(df, names).count() == 0
+    said = spark.createDataFrame([(1, "Fancy Bear, and the Bear again. fancy bear; bears (Bear)")], "doc_id long, text string")
+    two = spark.createDataFrame([("a", "Fancy Bear"), ("b", "Bear"), ("c", "Fancy")], "id string, alias string")
+    assert sorted(tuple(r) for r in extract.name_mentions(said, two).collect()) == [(1, "a", "Fancy Bear", 2), (1, "b", "Bear", 2)]
     day = extract.publication_day([("meta", F.lit("2099-01-01")), ("text", F.lit("Mon, 02 Jan 2023 10:00:00 GMT"))], "2024-01-01")
     assert spark.range(1).select(day.alias("d")).first().d.day == dt.date(2023, 1, 2)
 
@@ -187,7 +190,7 @@ def test_gate_and_types(spark):
         quality.severity(F.lit(False), F.lit(True), F.lit(False), F.lit(0), F.lit(0.1), F.lit(5), F.lit(1)).alias("s"),
         quality.review_action(F.lit("bad"), F.lit(False), F.lit(0.9), F.lit(None).cast("string"), F.lit(True), F.lit(False)).alias("r"),
     ).first()
-    assert (row.q, row.s, row.r) == (0.84, "high", "hide")
+    assert (row.q, row.s, row.r) == (0.66, "high", "hide")
     v = spark.createDataFrame([(1, "A", 3.0, "x"), (1, "B", 1.0, "y"), (1, "B", 1.5, "z")], "k int, type string, weight double, reason string")
     assert [(r.type, r.score, r.reason) for r in quality.type_votes(v, "k").orderBy("type").collect()] == [("A", 3.0, "x"), ("B", 2.5, "z")]
 
@@ -281,3 +284,31 @@ def test_results_indexes_flows(spark):
     flow = {"objects": [{"id": "action", "instance": "n1", "anchors": {"0": "a1"}}, {"id": "action2", "instance": "n2", "anchors": {"0": "a2"}}, {"instance": "a1", "latches": ["l1"]}, {"instance": "a2", "latches": ["l2"]}, {"template": "dynamic_line", "source": "l1", "target": "l2"}]}
     e = plans.flow_edges(spark.createDataFrame([("f", json.dumps(flow))], "k string, b string"), "k", "b").collect()
     assert [(r.source, r.target) for r in e] == [("action", "action2")]
+
+
+def test_sentence_labels(spark):
+    cases = [
+        ("The attackers disabled Windows Defender before encryption.", None, "observed"),
+        ("title: Suspicious service creation", None, "defensive"),
+        ("| T1059.001 | PowerShell | used to run a loader", None, "observed"),
+        ("T1003 - not observed in this intrusion", None, "negated"),
+        ("There is no evidence that data left the network.", None, "negated"),
+        ("T1027 is a technique that hides code.", None, "reference"),
+        ("If an attacker gains access, the key is lost.", None, "hypothetical"),
+        ("Organizations should patch the gateway.", None, "defensive"),
+        ("Block outbound SMB.", None, "defensive"),
+        ("APT29 then used a scheduled task.", None, "observed"),
+        ("The group uses a loader to evade detection.", None, "observed"),
+        ("This improves detection of loaders.", None, "defensive"),
+        ("The loader could fetch a second stage.", None, "hypothetical"),
+        ("A second stage was fetched.", None, "observed"),
+        ("Rotate the keys of all hosts", "Report › Recommendations", "defensive"),
+        ("Tools were renamed.", "Report › Defense Evasion", "observed"),
+    ]
+    df = spark.createDataFrame(cases, "s string, h string, want string")
+    got = df.select("s", "want", evidence.sentence_label(F.col("s"), F.col("h")).alias("label"), evidence.is_mitigation(F.col("s"), F.lit("defensive"), F.col("h")).alias("m")).collect()
+    assert [(r.s, r.label) for r in got] == [(r.s, r.want) for r in got]
+    assert [r.s for r in got if r.m] == ["Organizations should patch the gateway.", "Rotate the keys of all hosts"]
+    labelled = spark.createDataFrame([(1, "banks in France", "hypothetical"), (1, "a bank in France fell", "observed"), (1, "Spain was not hit", "negated"), (2, "block France", "defensive")], "doc_id long, sentence string, label string")
+    names = spark.createDataFrame([("France",), ("Spain",)], "name string")
+    assert {tuple(r) for r in evidence.targeting(labelled, names).collect()} == {(1, "France", "observed"), (1, "Spain", "negated")}
