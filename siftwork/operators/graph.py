@@ -24,6 +24,40 @@ def edges(facts: DataFrame) -> DataFrame:
     )
 
 
+def mentions(evidence: DataFrame, listed: DataFrame, key: str = "report", most: int = 150) -> DataFrame:
+    """(report, node, kind, confidence): what a report's evidence names, or its older
+    list where it has no evidence; the best confidence of each, and of indicators the
+    most certain (a shown list). Both: (report, node, kind, confidence)."""
+    old = listed.join(evidence.select(key).distinct(), key, "left_anti")
+    one = evidence.unionByName(old).groupBy(key, "node", "kind").agg(F.max("confidence").alias("confidence"))
+    r = F.row_number().over(W.partitionBy(key, "kind").orderBy(F.desc("confidence"), "node"))
+    return one.withColumn("_r", r).where((F.col("kind") != "indicator") | (F.col("_r") <= most)).drop("_r")
+
+
+def co_reported(named: DataFrame, stated: DataFrame, pairs: dict[tuple[str, str], tuple[str, float]], key: str = "report") -> DataFrame:
+    """Facts (source, predicate, target, report, confidence, stated): what reports state,
+    at least .5 sure, and what they name together: of two kinds that go together the
+    smaller confidence times the pair's weight. pairs: (kind, kind) to (predicate, weight).
+    A report names a bounded number of nodes, and only pairs of fitting kinds are made."""
+    spark = named.sparkSession
+    rules = spark.createDataFrame([(a, b, p, w) for (a, b), (p, w) in pairs.items()], "kind string, other string, predicate string, share double")  # a few rows
+    a = named.join(F.broadcast(rules), "kind").select(key, F.col("node").alias("source"), F.col("confidence").alias("ca"), "other", "predicate", "share")
+    b = named.select(key, F.col("node").alias("target"), F.col("kind").alias("other"), F.col("confidence").alias("cb"))
+    met = a.join(b, [key, "other"]).where("source <> target")
+    both = met.select("source", "predicate", "target", key, (F.least("ca", "cb") * F.col("share")).alias("confidence"), F.lit(False).alias("stated"))
+    said = stated.select("source", "predicate", "target", key, F.greatest("confidence", F.lit(0.5)).alias("confidence"), F.lit(True).alias("stated"))
+    return both.unionByName(said)
+
+
+def focus(e: DataFrame, node: object, ring: int = 40) -> DataFrame:
+    """Edges of a node's view: its strongest ring of neighbours, and the edges among these and it."""
+    s = e.withColumn("s", strength(F.col("weight"), F.col("confidence"), F.col("stated")))
+    near = both_ways(s).where(F.col("node") == node).groupBy("peer").agg(F.max("s").alias("s")).orderBy(F.desc("s"), "peer").limit(ring)
+    seen = near.select(F.col("peer").alias("n")).union(e.sparkSession.createDataFrame([(node,)], near.select("peer").schema).select(F.col("peer").alias("n")))
+    kept = e.join(F.broadcast(seen.withColumnRenamed("n", "source")), "source", "left_semi")  # ring + 1 rows
+    return kept.join(F.broadcast(seen.withColumnRenamed("n", "target")), "target", "left_semi")
+
+
 def nodes(facts: DataFrame) -> DataFrame:
     """(node, reports, first_seen, last_seen) over facts (node, report, seen)."""
     one = facts.groupBy("node", "report").agg(F.min("seen").alias("a"), F.max("seen").alias("b"))

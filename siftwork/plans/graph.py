@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.operators import graph as g
 from siftwork.plans.catalog import query
+from siftwork.session import stored
 from siftwork.session import table as t
 
 NOW = "2001-09-01"
@@ -74,15 +75,15 @@ def similar_to_one(spark: SparkSession, d: str) -> DataFrame:
 far AS (SELECT a.peer, s1 * a.s / log2(2 + deg) AS x FROM first JOIN deg USING (mid) JOIN adj a ON a.node = first.mid WHERE a.peer <> 's2' AND a.peer NOT IN (SELECT mid FROM near)),
 z AS (SELECT peer, sum(x) AS x, count(*) AS through FROM far GROUP BY 1) SELECT peer, floor(x / (SELECT max(x) FROM z) * 1000 + 0.5) / 1000 AS score, through FROM z ORDER BY score DESC, peer LIMIT 10""")
 def related_two_hops(spark: SparkSession, d: str) -> DataFrame:
-    return g.related_through(g.edges(facts(spark, d)), "s2")
+    return g.related_through(stored(g.edges(facts(spark, d))), "s2")
 
 
 @query(f"""WITH {_EDGES}, top AS (SELECT node, peer, s FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, peer) AS r FROM adj) WHERE r <= 60),
 p AS (SELECT a.peer AS m, least(a.s, b.s) AS strength FROM top a JOIN top b ON a.peer = b.node WHERE a.node = 's1' AND b.peer = 's2')
 SELECT 2 AS hops, concat('s1>', m, '>s2') AS path, round(strength, 6) AS strength FROM p ORDER BY strength DESC, path LIMIT 5""")
 def connection_paths(spark: SparkSession, d: str) -> DataFrame:
-    """At sf0.01 the two suppliers share parts, so the paths have two hops; longer ones are tested on small graphs."""
-    out = g.paths(g.edges(facts(spark, d)), "s1", "s2", depth=2)
+    """The two suppliers share parts, so the search ends at two hops; longer paths are tested on small graphs."""
+    out = g.paths(stored(g.edges(facts(spark, d))), "s1", "s2")
     return out.select("hops", F.array_join("path", ">").alias("path"), F.round("strength", 6).alias("strength"))
 
 
@@ -107,10 +108,41 @@ def activity_trend(spark: SparkSession, d: str) -> DataFrame:
     return g.trend(_orders(spark, d), NOW)
 
 
-@query("""SELECT o_custkey AS node, round(sum(10 * pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01'), 0) / 180)), 1) AS score FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS node, floor(sum(10 * pow(0.5, greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-09-01'), 0) / 180)) * 100 + 0.5) / 100 AS score FROM orders GROUP BY 1""")
 def decayed_activity(spark: SparkSession, d: str) -> DataFrame:
-    age = F.coalesce(F.greatest(F.datediff(F.lit(NOW).cast("date"), "seen"), F.lit(0)), F.lit(365))
-    return _orders(spark, d).groupBy("node").agg(F.round(F.sum(10 * F.pow(F.lit(0.5), age / 180)), 1).alias("score"))
+    return g.decayed_activity(_orders(spark, d), NOW)
+
+
+_NAMED = """ev AS (SELECT l_orderkey AS report, concat('s', l_suppkey) AS node, 'actor' AS kind, max(l_discount * 5 + 0.3) AS c FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1, 2 UNION ALL SELECT l_orderkey, concat('p', l_partkey), 'malware', max(l_tax * 5 + 0.4) FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1, 2),
+li AS (SELECT DISTINCT l_orderkey AS report, concat('s', l_suppkey) AS node, 'actor' AS kind, 0.4 AS c FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, concat('p', l_partkey), 'malware', 0.4 FROM lineitem),
+m AS (SELECT * FROM ev UNION ALL SELECT * FROM li WHERE report % 3 = 0)"""
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    li = t(spark, d, "lineitem")
+    actor, tool = F.concat(F.lit("s"), "l_suppkey").alias("node"), F.concat(F.lit("p"), "l_partkey").alias("node")
+    rows = lambda df, sure: df.select(F.col("l_orderkey").alias("report"), actor, F.lit("actor").alias("kind"), sure[0].alias("confidence")).union(df.select("l_orderkey", tool, F.lit("malware"), sure[1]))
+    return g.mentions(rows(li.where("l_orderkey % 3 <> 0"), (F.col("l_discount") * 5 + 0.3, F.col("l_tax") * 5 + 0.4)), rows(li, (F.lit(0.4), F.lit(0.4))))
+
+
+@query(f"WITH {_NAMED} SELECT report, node, kind, round(c, 6) AS confidence FROM m")
+def report_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""WITH {_NAMED}, b AS (SELECT a.node AS source, 'uses' AS predicate, x.node AS target, a.report, least(a.c, x.c) * 0.6 AS c, 0 AS stated FROM m a JOIN m x ON a.report = x.report AND a.kind = 'actor' AND x.kind = 'malware'
+UNION ALL SELECT concat('s', l_suppkey), 'uses', concat('p', l_partkey), l_orderkey, 0.5, 1 FROM lineitem WHERE l_quantity > 45),
+r AS (SELECT source, predicate, target, report, max(c) AS c, max(stated) AS stated FROM b GROUP BY 1, 2, 3, 4) SELECT source, target, floor(round(least(0.99, 1 - exp(sum(ln(1 - least(c, 0.95))))) * 100, 6) + 0.5) / 100 AS confidence, count(*) AS weight, sum(stated) AS stated FROM r GROUP BY 1, predicate, 2""")
+def graph_build(spark: SparkSession, d: str) -> DataFrame:
+    li = t(spark, d, "lineitem").where("l_quantity > 45")
+    stated = li.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.lit("uses").alias("predicate"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_orderkey").alias("report"), F.lit(0.2).alias("confidence"))
+    f = g.co_reported(_named(spark, d), stated, {("actor", "malware"): ("uses", 0.6)})
+    return g.edges(f.withColumn("seen", F.lit(None).cast("date"))).select("source", "target", "confidence", "weight", "stated")
+
+
+@query(f"""WITH {_EDGES}, near AS (SELECT peer AS n FROM adj WHERE node = 's3' ORDER BY s DESC, peer LIMIT 40), seen AS (SELECT n FROM near UNION ALL SELECT 's3') SELECT source, target, weight FROM e WHERE source IN (SELECT n FROM seen) AND target IN (SELECT n FROM seen)""")
+def focus_view(spark: SparkSession, d: str) -> DataFrame:
+    return g.focus(stored(g.edges(facts(spark, d))), "s3").select("source", "target", "weight")
 
 
 @query("""WITH n AS (SELECT c_custkey AS node, c_mktsegment AS type, CAST(c_acctbal AS DOUBLE) AS score FROM customer), s AS (SELECT type, greatest(3, floor(20 * count(*) / (SELECT count(*) FROM n))) AS q FROM n GROUP BY 1),

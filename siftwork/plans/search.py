@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
+from siftwork.operators import engine as en
 from siftwork.operators import facets as fc
 from siftwork.operators import search as sr
 from siftwork.plans.catalog import query
@@ -78,3 +79,62 @@ def search_priors(spark: SparkSession, d: str) -> DataFrame:
 def search_passages(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: where passages end is decided text by text. Tested for exact offsets."""
     return sr.select_passages(sr.passages(t(spark, d, "documents").select("doc_id", "text")), WANTED)
+
+
+_MULT = "(0.85 + 0.15 * 0.6) * CASE n_chars % 4 WHEN 1 THEN 1.06 WHEN 2 THEN 1.04 WHEN 3 THEN 1.0 ELSE 1 END * (0.9 + 0.1 * 0.5)"
+_UNI = f"""{_BM}, y AS (SELECT s.doc_id, CASE WHEN lang = 'de' THEN 'knowledge' ELSE 'report' END AS kind, source, lang, md5(text) AS same,
+round((score + CASE WHEN n_chars % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN source = 'src1' THEN 0.8 ELSE 0 END) * {_MULT}, 6) AS score FROM s JOIN documents USING (doc_id)),
+c AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY same) AS copies FROM y), o AS (SELECT * FROM c WHERE k = 1), l AS (SELECT * FROM o WHERE lang IN ('en', 'de'))"""
+
+
+def _unified(spark: SparkSession, d: str) -> en.Found:
+    docs = t(spark, d, "documents")
+    n = F.col("n_chars")
+    parts = {"intent": F.when(n % 5 == 0, en.BOOSTS["intent"]).otherwise(0.0), "tactic": F.when(F.col("source") == "src1", en.BOOSTS["tactic"]).otherwise(0.0)}
+    prior = sr.priors(F.lit(None).cast("double"), (n % 4).cast("int"), F.lit(0.5), F.lit(None).cast("date"), "2024-01-01")
+    kind = F.when(F.col("lang") == "de", "knowledge").otherwise("report")
+    return en.run_search(
+        _scored(spark, d), docs, "doc_id", kind, F.col("source"), F.md5("text"), prior, {"lang": F.array("lang"), "source": F.array("source")}, {"lang": ["EN", "de"]}, 20, 10, en.boosts(docs, "doc_id", parts)
+    )
+
+
+@query(f"""WITH {_UNI}, h AS (SELECT * FROM l ORDER BY score DESC, doc_id LIMIT 200), g AS (SELECT *, score * pow(0.85, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) - 1) AS adjusted FROM h),
+r AS (SELECT row_number() OVER (ORDER BY round(adjusted, 6) DESC, doc_id) AS rank, doc_id, kind, source AS publisher, round(adjusted, 6) AS score, copies FROM g) SELECT * FROM r WHERE rank BETWEEN 11 AND 30""")
+def search_unified(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d).page
+
+
+@query(f"""WITH {_UNI} SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM o GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM o GROUP BY 2""")
+def search_unified_facets(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d).facets
+
+
+@query(f"""WITH {_UNI} SELECT kind, count(*) AS n FROM l GROUP BY 1""")
+def search_unified_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d).counts
+
+
+@query(f"""WITH {_BM} SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms, CAST(sum(CASE WHEN in_title THEN 2 ELSE 1 END) AS BIGINT) AS n_fields FROM (SELECT x.doc_id, q.term, bool_or(field = 'title') AS in_title FROM x, q WHERE list_contains(x.terms, q.term) GROUP BY 1, 2) GROUP BY 1""")
+def search_why(spark: SparkSession, d: str) -> DataFrame:
+    terms, _ = sr.postings(_docs(spark, d), {"title": F.col("title"), "body": F.col("text")}, split=tx.plain_runs)
+    w = en.why(terms, WANTED, "doc_id")
+    n = F.aggregate("matched", F.lit(0), lambda a, m: a + F.size(m["fields"]))
+    return w.select("doc_id", F.array_join(F.transform("matched", lambda m: m["term"]), ",").alias("terms"), n.cast("bigint").alias("n_fields"))
+
+
+@query(f"""WITH {_BM} SELECT doc_id, n_hits FROM s WHERE n_hits >= 2""")
+def search_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Five signal terms ask for two hits."""
+    return en.relevant(_scored(spark, d), WANTED).select("doc_id", "n_hits")
+
+
+@query("""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents), a AS (SELECT doc_id, x, coalesce(nullif(strpos(lower(x), 'thble'), 0), nullif(strpos(lower(x), 'eaux'), 0), 1) AS pos FROM f)
+SELECT doc_id, trim(substr(x, greatest(pos - 130, 1), 260)) AS snippet FROM a""")
+def search_snippets(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", en.snippet(F.col("text"), ["thble", "eaux"]).alias("snippet"))
+
+
+@query("""SELECT doc_id, round(CASE WHEN m > 0 THEN 4 * (1 + least(1, log2(1 + m) / 3)) ELSE 0 END + CASE WHEN h THEN 1 ELSE 0 END, 9) AS boost FROM (SELECT doc_id, len(regexp_extract_all(lower(text), 'thble')) AS m, contains(lower(string_split(text, chr(10))[1]), 'thble') AS h FROM documents)""")
+def entity_boosts(spark: SparkSession, d: str) -> DataFrame:
+    m = F.regexp_count(F.lower("text"), F.lit("thble"))
+    return _docs(spark, d).select("doc_id", F.round(en.mention_boost(m, F.lower("title").contains("thble")), 9).alias("boost"))
