@@ -41,13 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only
-    where that is unset (local runs) a temporary folder takes its place.
+    The folder is the one the cluster names in spark.checkpoint.dir. Only where
+    that is unset and Spark runs in one process, a temporary folder takes its
+    place; on a cluster, executors would not see each other's files there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siftwork-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/siftwork-{uuid.uuid4().hex}"
