@@ -67,8 +67,56 @@ def op10_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_counts(table(spark, sf_dir, "documents")))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 without labelled rows: what the rules alone say of every page."""
+    from siftwork.llm.urls import judge
+
+    none = spark.createDataFrame([], "url string, label int")
+    return judge(table(spark, sf_dir, "pages"), labelled=none).drop("score")
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3's default targets: flattened token shares of source and language."""
+    from pyspark.sql import functions as F
+
+    from siftwork.llm.mixing import tempered, words
+
+    cells = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.sum(words(F.col("text"))).alias("tokens"))
+    found = tempered(cells, ["source", "lang"], 0.5)
+    one = lambda m: found[m].select(F.lit(m).alias("margin"), "value", F.round("share", 9).alias("share"))
+    return one("source").union(one("lang"))
+
+
+def length_histogram_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10's histogram over word counts, which SQL can state."""
+    from pyspark.sql import functions as F
+
+    from siftwork.llm.mixing import words
+    from siftwork.llm.tokencount import length_histogram
+
+    return length_histogram(table(spark, sf_dir, "documents").select(words(F.col("text")).alias("n_tokens")))
+
+
+_SPACE = "[^\\x20\\x09-\\x0D]+"
+_FITS = "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '{1}')"
+_BY_LENGTH = [("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/", "allow")]
+_RULE = " ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for h, p, _ in _BY_LENGTH)
+_VERDICT = " ".join(f"WHEN {_FITS.format(h, p)} THEN '{v}'" for h, p, v in _BY_LENGTH)
+
+SQL = {
+    "url_rules": f"""WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p) SELECT page_id, host, path, CASE {_RULE} END AS rule, CASE {_VERDICT} ELSE 'allow' END AS verdict FROM h""",
+    "mixing_targets": f"""WITH d AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{_SPACE}')) AS n FROM documents), s AS (SELECT 'source' AS margin, source AS value, sqrt(sum(n)) AS p FROM d GROUP BY source HAVING sum(n) > 0 UNION ALL SELECT 'lang', lang, sqrt(sum(n)) FROM d GROUP BY lang HAVING sum(n) > 0)
+SELECT margin, value, round(p / sum(p) OVER (PARTITION BY margin), 9) AS share FROM s""",
+    "length_histogram_of_words": f"""WITH l AS (SELECT len(regexp_extract_all(coalesce(text, ''), '{_SPACE}')) AS length FROM documents), h AS (SELECT length, count(*) AS n_docs, count(*) * length AS n_tokens FROM l GROUP BY 1),
+s AS (SELECT *, sum(n_docs) OVER (ORDER BY length DESC) AS docs_from, sum(n_tokens) OVER (ORDER BY length DESC) AS tokens_from, sum(n_docs) OVER () AS d, sum(n_tokens) OVER () AS t FROM h)
+SELECT length, n_docs, n_tokens, docs_from, tokens_from, t - tokens_from + length * docs_from AS truncated_total, (d - docs_from + n_docs) / CAST(d AS DOUBLE) AS share_up_to FROM s""",
+}
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    more = {k: globals()[k] for k in SQL}
 
     def shipped(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +126,9 @@ def queries() -> dict:
         query.__name__ = f.__name__
         return query
 
-    return {k: shipped(f) for k, f in sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))}
+    ops = sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0]))
+    return {k: shipped(f) for k, f in [*ops, *more.items()]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
