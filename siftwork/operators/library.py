@@ -247,3 +247,114 @@ def next_number(existing: Column, year: int) -> Column:
     """Aggregate: the next running number of a year, from ids like X-2024-0007."""
     n = F.regexp_extract(existing, rf"-{year}-(\d+)$", 1)
     return F.coalesce(F.max(F.when(n != "", n.cast("int"))), F.lit(0)) + 1
+
+
+def list_order(by: str, columns: dict[str, Column], key: str) -> list[Column]:
+    """One of the library's orders: a number or day falling, nulls last, or a name rising; ties by key."""
+    c = columns[by]
+    return [F.asc_nulls_last(F.lower(c)) if by == "name" else F.desc_nulls_last(c), F.asc(key)]
+
+
+def previous_run(runs: DataFrame, group: str, number: str, status: str) -> DataFrame:
+    """Adds previous: of each run the latest completed one of its group with a smaller number."""
+    w = W.partitionBy(group).orderBy(number).rowsBetween(W.unboundedPreceding, -1)
+    return runs.withColumn("previous", F.max(F.when(F.col(status) == "completed", F.col(number))).over(w))
+
+
+def kept_dates(day: Column, kind: Column, last: Column, since: str, until: str) -> Column:
+    """A date window by kind: undated reports fail, groups, software and techniques
+    pass, campaigns pass where their time overlaps it."""
+    a, b = F.lit(since).cast("date"), F.lit(until).cast("date")
+    return (
+        F.when(kind.isin("group", "software", "technique"), True)
+        .when(kind == "campaign", F.coalesce(day <= b, F.lit(True)) & F.coalesce(F.coalesce(last, day) >= a, F.lit(True)))
+        .otherwise(F.coalesce(day.between(a, b), F.lit(False)))
+    )
+
+
+def depth_profile(items: DataFrame, domain: str, depth: str, value: str, top: int = 100) -> DataFrame:
+    """Domains of items that were not found at the surface: count, least and greatest value (a shown list)."""
+    g = items.where(F.col(depth) > 0).groupBy(domain).agg(F.count("*").alias("n"), F.min(value).alias("first"), F.max(value).alias("last"))
+    return g.orderBy(F.desc("n"), domain).limit(top)
+
+
+def matrix_coverage(techniques: DataFrame, links: DataFrame, key: str = "technique") -> DataFrame:
+    """One row: techniques, those that a report names, their share in percent, and reports that name any."""
+    named = links.select(key, "report").join(techniques.select(key).distinct(), key)
+    seen = named.agg(F.countDistinct(key).alias("covered"), F.countDistinct("report").alias("mapped_reports"))
+    total = techniques.agg(F.countDistinct(key).alias("total"))
+    share = F.coalesce(F.floor(F.try_divide(100 * F.col("covered"), F.col("total")) + 0.5), F.lit(0)).cast("int")
+    return total.crossJoin(seen).select("total", "covered", share.alias("share"), "mapped_reports")  # one row each
+
+
+def behaviours(evidence: DataFrame, key: str = "technique") -> DataFrame:
+    """(technique, observed, inferred, mapped, reports, status, first_seen): counts by label, the
+    strongest status, distinct reports and the first sight. evidence: (technique, label, report, seen)."""
+    rank = F.when(F.col("label") == "observed", 3).when(F.col("label") == "inferred", 2).otherwise(1)
+    n = lambda label: F.count_if(F.col("label") == label).alias(label)
+    return evidence.groupBy(key).agg(n("observed"), n("inferred"), n("mapped"), F.countDistinct("report").alias("reports"), F.max_by("label", rank).alias("status"), F.min("seen").alias("first_seen"))
+
+
+def insights(nodes: DataFrame, top: int = 6) -> DataFrame:
+    """(kind, rank, node, score, n): the top nodes of each kind, and how many it has. nodes: (node, kind, score)."""
+    r = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), "node"))
+    n = nodes.groupBy("kind").agg(F.count("*").alias("n"))
+    return nodes.withColumn("rank", r).where(F.col("rank") <= top).join(n, "kind").select("kind", "rank", "node", "score", "n")
+
+
+def gate_pass(rows: DataFrame, reason: Column, version: str, current: int) -> tuple[DataFrame, DataFrame]:
+    """A gate over stale rows only: rows with their new status, and counts by reason."""
+    old = F.col(version).isNull() | (F.col(version) != current)
+    judged = rows.where(old).withColumn("reason", reason)
+    out = judged.withColumn("status", F.when(F.col("reason").isNotNull(), "rejected").otherwise("acquired"))
+    return out, out.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def defensive_quotes(evidence: DataFrame, key: str, text: str, at: str, most: int = 12, shortest: int = 25) -> DataFrame:
+    """Quotes for recommendations: long enough, each wording once with its first place, the first most of each key (a shown list)."""
+    low = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    one = evidence.where(F.length(F.trim(text)) >= shortest).groupBy(key, low.alias("_w")).agg(F.min_by(text, at).alias(text), F.min(at).alias(at))
+    r = F.row_number().over(W.partitionBy(key).orderBy(at, "_w"))
+    return one.withColumn("rank", r).where(F.col("rank") <= most).select(key, "rank", text)
+
+
+def thinnest_queries(queries: DataFrame, counts: DataFrame, slots: int, turn: int) -> DataFrame:
+    """Half the slots to the categories with the fewest documents, one query each, the
+    rest to the others in turn. queries: (category, query); counts: (category, n)."""
+    one = queries.groupBy("category").agg(F.sort_array(F.collect_list("query")).alias("qs"))  # a list of queries is short
+    one = one.join(counts, "category", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    pick = F.element_at("qs", (F.lit(turn) % F.size("qs") + 1).cast("int"))
+    thin = one.orderBy("n", "category").limit(slots // 2).select("category", pick.alias("query"), F.lit("thin").alias("why"))
+    rest = one.join(thin.select("category"), "category", "left_anti").orderBy(F.crc32(F.concat_ws(":", F.lit(turn), "category").cast("binary")), "category").limit(slots - slots // 2)
+    return thin.union(rest.select("category", pick.alias("query"), F.lit("turn").alias("why")))
+
+
+def normal_name(name: Column) -> Column:
+    """An entity's name for comparing: lower case, one kind of quote and dash, single blanks."""
+    c = F.translate(F.lower(F.trim(name)), "’‘“”–—‐‑", "''\"\"----")
+    return F.regexp_replace(c, r"\s+", " ")
+
+
+def tactic_of(value: Column, tactics: dict[str, tuple[str, list[str]]]) -> Column:
+    """A tactic's name from its id or from an alias within the text, the first that fits. tactics: id to (name, aliases)."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    out = F.lit(None).cast("string")
+    for id_, (name, aliases) in reversed(tactics.items()):
+        hit = low.contains(id_.lower())
+        for a in aliases:
+            hit = hit | low.contains(a)
+        out = F.when(hit, name).otherwise(out)
+    return out
+
+
+def technique_of(value: Column) -> Column:
+    """"T1059: name" as struct(id, name); other texts have no id."""
+    id_ = F.regexp_extract(value, r"^\s*(T\d{4}(?:\.\d{3})?)", 1)
+    rest = F.trim(F.regexp_replace(value, r"^\s*T\d{4}(?:\.\d{3})?\s*[:–-]?\s*", ""))
+    return F.struct(F.nullif(id_, F.lit("")).alias("id"), F.nullif(rest, F.lit("")).alias("name"))
+
+
+def backfill(months: Column, now: str, most: int = 36) -> Column:
+    """A bounded plan: struct(since, pages, links) for so many months back."""
+    m = F.greatest(F.lit(1), F.least(months, F.lit(most)))
+    return F.struct(F.add_months(F.lit(now).cast("date"), -m).alias("since"), F.least(5 + 2 * m, F.lit(40)).alias("pages"), F.least(50 * m, F.lit(1000)).alias("links"))

@@ -250,3 +250,92 @@ def extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS url FROM pages""")
 def known_urls(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url")).distinct()
+
+
+@query(f"""WITH {_R}, a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS words, row_number() OVER (ORDER BY lower(source), doc_id) AS name, row_number() OVER (ORDER BY published DESC NULLS LAST, doc_id) AS published FROM r)
+SELECT 'words' AS by, doc_id, words AS place FROM a WHERE words <= 100 UNION ALL SELECT 'name', doc_id, name FROM a WHERE name <= 100 UNION ALL SELECT 'published', doc_id, published FROM a WHERE published <= 100""")
+def library_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The first page of a hundred in three of the orders."""
+    from pyspark.sql import Window as W
+
+    r = _reports(spark, d)
+    columns = {"words": F.col("n_chars"), "name": F.col("source"), "published": F.col("published")}
+    out = None
+    for by in columns:
+        order = lb.list_order(by, columns, "doc_id")
+        top = r.orderBy(*order).limit(100).select(F.lit(by).alias("by"), "doc_id", F.row_number().over(W.orderBy(*order)).alias("place"))
+        out = top if out is None else out.union(top)
+    return out
+
+
+@query("""SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events""")
+def previous_runs(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_type") == "purchase", "completed").otherwise("open").alias("status"))
+    return lb.previous_run(e, "user_id", "event_id", "status").select("event_id", "previous")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN true WHEN o_custkey % 4 = 1 THEN coalesce(d <= DATE '1997-06-30', true) AND coalesce(d + 30 >= DATE '1997-01-01', true) ELSE coalesce(d BETWEEN DATE '1997-01-01' AND DATE '1997-06-30', false) END AS kept
+FROM (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders)""")
+def date_windows(spark: SparkSession, d: str) -> DataFrame:
+    day = F.when(F.col("o_orderkey") % 7 != 0, F.to_date("o_orderdate"))
+    kind = F.when(F.col("o_custkey") % 4 == 0, "group").when(F.col("o_custkey") % 4 == 1, "campaign").otherwise("report")
+    return t(spark, d, "orders").select("o_orderkey", lb.kept_dates(day, kind, F.date_add(day, 30), "1997-01-01", "1997-06-30").alias("kept"))
+
+
+@query("""SELECT regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, count(*) AS n, min(page_id) AS first, max(page_id) AS last FROM pages WHERE len(string_split(url, '/')) > 4 GROUP BY 1 ORDER BY n DESC, host LIMIT 100""")
+def deep_domains(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"), "page_id", (F.size(F.split("url", "/")) - 4).alias("depth"))
+    return lb.depth_profile(p, "host", "depth", "page_id")
+
+
+@query("""SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS total, count(DISTINCT l_partkey) AS covered, CAST(floor(100 * count(DISTINCT l_partkey) / (SELECT CAST(count(DISTINCT p_partkey) AS DOUBLE) FROM part) + 0.5) AS INT) AS share, count(DISTINCT l_orderkey) AS mapped_reports FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'""")
+def matrix_coverage(spark: SparkSession, d: str) -> DataFrame:
+    links = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("technique"), F.col("l_orderkey").alias("report"))
+    return lb.matrix_coverage(t(spark, d, "part").select(F.col("p_partkey").alias("technique")), links)
+
+
+@query("""WITH e AS (SELECT l_partkey AS technique, CASE l_returnflag WHEN 'R' THEN 'observed' WHEN 'A' THEN 'inferred' ELSE 'mapped' END AS label, l_orderkey AS report, CAST(l_shipdate AS DATE) AS seen FROM lineitem)
+SELECT technique, count(*) FILTER (WHERE label = 'observed') AS observed, count(*) FILTER (WHERE label = 'inferred') AS inferred, count(*) FILTER (WHERE label = 'mapped') AS mapped, count(DISTINCT report) AS reports,
+arg_max(label, CASE label WHEN 'observed' THEN 3 WHEN 'inferred' THEN 2 ELSE 1 END) AS status, CAST(min(seen) AS VARCHAR) AS first_seen FROM e GROUP BY 1""")
+def advisory_behaviours(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("l_returnflag") == "R", "observed").when(F.col("l_returnflag") == "A", "inferred").otherwise("mapped").alias("label")
+    e = t(spark, d, "lineitem").select(F.col("l_partkey").alias("technique"), label, F.col("l_orderkey").alias("report"), F.to_date("l_shipdate").alias("seen"))
+    return lb.behaviours(e).withColumn("first_seen", F.col("first_seen").cast("string"))
+
+
+@query("""SELECT kind, rank, node, score, n FROM (SELECT c_custkey AS node, c_mktsegment AS kind, c_acctbal AS score, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rank, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) WHERE rank <= 6""")
+def graph_insights(spark: SparkSession, d: str) -> DataFrame:
+    return lb.insights(t(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("score")))
+
+
+@query("""SELECT CASE WHEN lang = 'es' THEN 'language' WHEN n_chars < 300 THEN 'stub' ELSE 'kept' END AS reason, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1""")
+def gate_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").withColumn("version", F.when(F.col("doc_id") % 3 == 0, 2).when(F.col("doc_id") % 3 == 1, 1))
+    return lb.gate_pass(docs, F.when(F.col("lang") == "es", "language").when(F.col("n_chars") < 300, "stub"), "version", 2)[1]
+
+
+@query("""WITH q AS (SELECT conv_id, lower(trim(regexp_replace(text, '\\\\s+', ' ', 'g'))) AS w, arg_min(text, turn) AS text, min(turn) AS turn FROM conversations WHERE length(trim(text)) >= 25 GROUP BY 1, 2) SELECT conv_id, rank, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, w) AS rank FROM q) WHERE rank <= 3""")
+def defensive_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return lb.defensive_quotes(t(spark, d, "conversations"), "conv_id", "text", "turn", most=3)
+
+
+@query("""WITH c AS (SELECT p_brand AS category, list(DISTINCT p_type ORDER BY p_type) AS qs FROM part GROUP BY 1), n AS (SELECT p_brand AS category, count(*) AS n FROM part WHERE p_size > 20 GROUP BY 1) SELECT category, qs[CAST(3 % len(qs) AS INT) + 1] AS query, 'thin' AS why FROM c LEFT JOIN n USING (category) ORDER BY coalesce(n, 0), category LIMIT 4""")
+def thinnest_categories(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "part")
+    q = lb.thinnest_queries(p.select(F.col("p_brand").alias("category"), F.col("p_type").alias("query")).distinct(), p.where("p_size > 20").groupBy(F.col("p_brand").alias("category")).agg(F.count("*").alias("n")), 8, 3)
+    return q.where("why = 'thin'")
+
+
+@query("""SELECT p_partkey, lower(trim(p_name)) || ' ''x'' - y' AS name, 'T' || (1000 + p_partkey % 9000) AS id, p_name AS technique, CASE WHEN p_partkey % 2 = 0 THEN 'Execution' ELSE 'Impact' END AS tactic FROM part""")
+def parsed_names(spark: SparkSession, d: str) -> DataFrame:
+    tactics = {"TA0002": ("Execution", ["execution"]), "TA0040": ("Impact", ["impact"])}
+    said = lb.technique_of(F.concat(F.lit(" T"), F.col("p_partkey") % 9000 + 1000, F.lit(": "), "p_name"))
+    tactic = lb.tactic_of(F.when(F.col("p_partkey") % 2 == 0, "see ta0002").otherwise("the Impact phase"), tactics)
+    name = lb.normal_name(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  ‘X’ — Y ")))
+    return t(spark, d, "part").select("p_partkey", name.alias("name"), said["id"].alias("id"), said["name"].alias("technique"), tactic.alias("tactic"))
+
+
+@query("""SELECT s_suppkey, CAST(DATE '2024-01-31' - to_months(CAST(greatest(1, least(s_suppkey, 36)) AS INT)) AS DATE)::VARCHAR AS since, least(5 + 2 * greatest(1, least(s_suppkey, 36)), 40) AS pages, least(50 * greatest(1, least(s_suppkey, 36)), 1000) AS links FROM supplier""")
+def backfill_plans(spark: SparkSession, d: str) -> DataFrame:
+    p = lb.backfill(F.col("s_suppkey").cast("int"), "2024-01-31")
+    return t(spark, d, "supplier").select("s_suppkey", p["since"].cast("string").alias("since"), p["pages"].alias("pages"), p["links"].alias("links"))
