@@ -76,7 +76,8 @@ def grams(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at, row = [], []
     for n in range(1, max(GRAMS) + 1):
         shifted = np.zeros(len(buf), np.uint64)
-        shifted[: len(buf) - n + 1] = buf[n - 1 :]
+        if n <= len(buf):
+            shifted[: len(buf) - n + 1] = buf[n - 1 :]
         code = code * np.uint64(257) + shifted + np.uint64(1)
         if n in GRAMS:
             ok = left >= n

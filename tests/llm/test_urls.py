@@ -62,17 +62,13 @@ def test_held_out_hosts_of_the_labelled_table():
 
 
 def test_model_against_sums_gram_by_gram():
-    w = np.random.default_rng(0).normal(size=WEIGHTS + 1)
     host, path = ["a.b", "", "äx"], ["/p?", "", "/"]
     at, row = grams(pa.array(host), pa.array(path))
     for i, (h, p) in enumerate(zip(host, path)):
         raw = f"^{h}|{p}$".encode()
         assert (row == i).sum() == sum(max(len(raw) - n + 1, 0) for n in GRAMS)
-        for n in GRAMS:
-            for j in range(len(raw) - n + 1):
-                one, _ = grams(pa.array([h]), pa.array([p]))
-                assert sorted(at[row == i]) == sorted(one)
-    assert len(w) == WEIGHTS + 1
+        one, _ = grams(pa.array([h]), pa.array([p]))  # alone as beside others
+        assert sorted(at[row == i]) == sorted(one) and (one < WEIGHTS).all()
 
 
 def test_rows_that_repeat_nulls_and_long_urls(spark):
