@@ -75,22 +75,21 @@ def url_slugs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def quotes_grounded(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes found in documents: an equi-join on words that are whole inside a quote
-    (from its second, four at most), then a containment test. Quotes under three
+    """Quotes found in documents: an equi-join on the hash of words that are whole inside a
+    quote (from its second, four at most), then a containment test. Quotes under three
     words have no such word and are sought in every text."""
-    head = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).where("quote is not null")
-    b = b.withColumn("size", F.greatest(F.least(F.size(head(F.col("quote"))) - 2, F.lit(4)), F.lit(0)))
-    b = b.withColumn("k", F.array_join(F.slice(head(F.col("quote")), F.lit(2), F.col("size")), " "))
+    words = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    b = t(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).where("quote is not null").withColumn("w", words(F.col("quote")))
+    b = b.withColumn("size", F.greatest(F.least(F.size("w") - 2, F.lit(4)), F.lit(0)))
+    b = b.withColumn("k", F.xxhash64(F.slice("w", F.lit(2), F.col("size")))).drop("w")
     docs = t(spark, d, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", head(F.col("text")).alias("w"))
     sizes = sorted(r[0] for r in b.select("size").distinct().collect())  # five values at most
 
     def starts(v, n):
-        return F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.xxhash64(F.slice(v, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
-    keys = tx.let(F.col("w"), lambda v: F.concat(*[starts(v, n) for n in sizes if n] or [F.array().cast("array<string>")]))
-    hit = w.select("doc_id", F.explode(F.array_distinct(keys)).alias("k")).join(b.where("size > 0").select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    keys = tx.let(words(F.col("text")), lambda v: F.concat(*[starts(v, n) for n in sizes if n] or [F.array().cast("array<bigint>")]))
+    hit = docs.select("doc_id", F.explode(keys).alias("k")).join(b.where("size > 0").select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
     found = hit.join(docs, "doc_id").join(b, "item_id").where(F.col("text").contains(F.col("quote"))).select("item_id", "doc_id")
     if 0 in sizes:
         found = found.unionByName(docs.join(b.where("size = 0"), F.col("text").contains(F.col("quote"))).select("item_id", "doc_id"))
