@@ -22,6 +22,8 @@ from siftwork.session import forget, stored
 #: Largest error of a margin's share, and the rounds after which raking gives up. Margins may contradict each other:
 #: raking also ends when a round takes less than a fiftieth off the error.
 TOLERANCE, MOST_ROUNDS = 1e-4, 60
+#: Cells that one task rakes, about: there are few, and a round of few tasks is a short job.
+CELLS_A_TASK = 100_000
 
 
 def topic(text: Column) -> Column:
@@ -66,13 +68,14 @@ def _off(now: DataFrame, margins: list[str], targets: dict[str, DataFrame], tota
     return gaps.agg(F.max("gap")).first()[0] or 0.0
 
 
-def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame]) -> tuple[DataFrame, float]:
+def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], tasks: int = 1) -> tuple[DataFrame, float]:
     """cells (margins, tokens) with a weight each, and the largest error left.
 
     ValueError if a target asks for tokens of a value that no cell has tokens of.
     Targets that contradict each other can't be met: a warning names the error.
     """
-    now = stored(cells.withColumn("weight", F.lit(1.0)))
+    kept = stored(cells.withColumn("weight", F.lit(1.0)))
+    now = kept.coalesce(tasks)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return now, 0.0
@@ -88,7 +91,8 @@ def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame]) -
             goal = targets[m].select(F.col("value").alias("v"), "share")
             factor = sums.join(goal, F.col(m).eqNullSafe(F.col("v")), "left").select(F.col(m).alias("k"), F.when(F.col("s") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("s")).otherwise(0.0).alias("f"))
             # Stored each time: it is read twice, and a plan that doubles can't be kept.
-            before, now = now, stored(now.join(factor, F.col(m).eqNullSafe(F.col("k"))).select(*cells.columns, (F.col("weight") * F.col("f")).alias("weight")))
+            before, kept = kept, stored(now.join(factor, F.col(m).eqNullSafe(F.col("k"))).select(*cells.columns, (F.col("weight") * F.col("f")).alias("weight")))
+            now = kept.coalesce(tasks)
             forget(before)
         last, error = error, _off(now, margins, targets, total)
         if error <= TOLERANCE or error > 0.98 * last:  # met, or no round gets nearer any more
@@ -134,8 +138,10 @@ def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: di
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[e.alias(n) for n, e in margins.items()], tokens.cast("bigint").alias("tokens"), draw.alias("draw"), *whole)
     cells = stored(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
-    goals = {m: stored(t) for m, t in ((targets or {}) | {m: t for m, t in tempered(cells, names, power).items() if m not in (targets or {})}).items()}
-    weighed, error = raked(cells, names, goals)
+    tasks = 1 + cells.count() // CELLS_A_TASK
+    cells = cells.coalesce(tasks)
+    goals = {m: stored(t.coalesce(tasks)).coalesce(tasks) for m, t in ((targets or {}) | {m: t for m, t in tempered(cells, names, power).items() if m not in (targets or {})}).items()}
+    weighed, error = raked(cells, names, goals, tasks)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     scale = scale_for(weighed, budget * total)
     p = F.when(F.col("weight") > 0, F.least(F.lit(1.0), F.col("weight") * F.lit(float(min(scale, 1e300))))).otherwise(0.0)
