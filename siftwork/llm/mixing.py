@@ -27,18 +27,18 @@ CELLS_A_TASK = 100_000
 
 
 def topic(text: Column) -> Column:
-    """A plain topic by form: empty, table, symbols (over a third of what is printed
-    is neither letter nor mark of a sentence), capitals (more of them than small letters), short or prose."""
+    """A plain topic by form: empty, table, symbols (over a quarter of the characters
+    are neither letters, blanks nor marks of a sentence), capitals (over a third are), short or prose."""
     t = F.coalesce(text, F.lit(""))
-    solid = F.length(F.regexp_replace(t, r"\s+", ""))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}.,;:!?'\"()-]+", ""))
-    capitals, small = (F.length(F.regexp_replace(t, rf"[^\p{{{kind}}}]+", "")) for kind in ("Lu", "Ll"))
+    size = F.length(t)
+    symbols = F.length(F.regexp_replace(t, r"[\p{L}\s.,;:!?'\"()-]+", ""))
+    capitals = F.length(F.regexp_replace(t, r"[^\p{Lu}]+", ""))
     return (
         F.when(F.trim(t) == "", "empty")
         .when(t.rlike(r"(?m)^[^\n|]*\|[^\n|]*\||\t[^\n\t]*\t"), "table")
-        .when(letters * 3 < solid * 2, "symbols")
-        .when(capitals > small, "capitals")
-        .when(F.length(t) < 400, "short")
+        .when(symbols * 4 > size, "symbols")
+        .when(capitals * 3 > size, "capitals")
+        .when(size < 400, "short")
         .otherwise("prose")
     )
 
@@ -137,6 +137,8 @@ def mix(docs: DataFrame, margins: dict[str, Column], tokens: Column, targets: di
     whole = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep else []
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *[e.alias(n) for n, e in margins.items()], tokens.cast("bigint").alias("tokens"), draw.alias("draw"), *whole)
+    if not keep:
+        rows = stored(rows)  # read twice below: texts are looked at once
     cells = stored(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
     tasks = 1 + cells.count() // CELLS_A_TASK
     cells = cells.coalesce(tasks)
