@@ -210,8 +210,9 @@ def priors(confidence: Column, tier: Column, quality: Column, day: Column, now:
 def diversify(ranked: DataFrame, publisher: str, score: str, key: str, decay: float = 0.85) -> DataFrame:
     """Adds adjusted: score * decay ** (better rows of the same publisher). For
     scores that don't rise this equals picking greedily; blanks pay nothing."""
-    r = F.row_number().over(W.partitionBy(publisher).orderBy(F.desc(score), key)) - 1
     blank = F.coalesce(F.trim(F.col(publisher)), F.lit("")) == ""
+    own = F.when(blank, F.concat(F.lit(chr(0)), F.col(key).cast("string"))).otherwise(F.col(publisher))  # blanks need no window, and shouldn't share one
+    r = F.row_number().over(W.partitionBy(own).orderBy(F.desc(score), key)) - 1
     return ranked.withColumn("adjusted", F.when(blank, F.col(score)).otherwise(F.col(score) * F.pow(F.lit(decay), r)))
 
 
