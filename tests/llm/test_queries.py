@@ -26,4 +26,4 @@ def test_against_sql(spark, name):
 
 def test_names():
     names = [k for k in llm.queries() if k.startswith("op")]
-    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in names] == list(range(1, 14))
