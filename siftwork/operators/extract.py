@@ -201,28 +201,32 @@ def harvest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(key, F.explode(run(text)).alias("i")).select(key, "i.*")
 
 
-_ABBREVIATION = re.compile(r"(?i)\b(?:e\.g|i\.e|etc|mr|ms|dr|vs|inc|ltd|no|fig|st|u\.s|approx)\.$")
-_END = re.compile(r"[.!?]+[\"')\]]*\s+|\n+\s*(?=\S)")
+# What stands before a point that ends no sentence, and list marks before a piece.
+_ABBREVIATION = re.compile(r"(?i)(?:^|[\s(])(?:e\.g|i\.e|etc|vs|inc|ltd|corp|co|no|nos|fig|figs|mr|mrs|ms|dr|st|approx|al|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|u\.s|u\.k|[a-z])$")
+_MARK = re.compile(r"(?:[\s\u00a0]|[•·▪●◦‣■□►▶✓✔]|[-*–—+](?=\s)|\(?\d{1,2}[.)](?=\s)|\(?[a-z][.)](?=\s))+")
+_CUT = re.compile("(?P<stop>[.!?]+[\"'”’)\\]]*)(?=[^\\S\\n\\r]+[\"'“‘(\\[]?[A-Z0-9•])|[^\\S\\n\\r](?=[•▪●◦‣][^\\S\\n\\r])|[\\n\\r]+")
 
 
 def sentences(text: str | None) -> list[dict]:
-    """start, end and sentence, exact slices; abbreviations don't end one, line ends do."""
+    """start, end and sentence, exact slices, and before: what stands between it and
+    the one before (null for the first). Line ends, list marks inside a line, and
+    points before a capital end a sentence; abbreviations don't."""
     text, out, at = text or "", [], 0
-    for m in [*_END.finditer(text), None]:
-        end = m.end() if m else len(text)
-        if m and m[0][0] in ".!?" and _ABBREVIATION.search(text[at : m.start() + 1]):
+    for m in [*_CUT.finditer(text), None]:
+        end = len(text) if m is None else m.end() if m["stop"] else m.start()
+        if m and m["stop"] == "." and _ABBREVIATION.search(text[max(at, m.start() - 12) : m.start()]):
             continue
         piece = text[at:end]
-        s = at + len(piece) - len(piece.lstrip())
-        e = at + len(piece.rstrip())
-        if e > s:
-            out.append({"start": s, "end": e, "sentence": text[s:e]})
+        mark = _MARK.match(piece)
+        s, e = at + (mark.end() if mark else 0), at + len(piece.rstrip())
+        if e - s >= 2 and re.search("[A-Za-z0-9]", text[s:e]):
+            out.append({"start": s, "end": e, "sentence": text[s:e], "before": text[out[-1]["end"] : s] if out else None})
         at = end
     return out
 
 
 def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    @F.pandas_udf("array<struct<start:int,end:int,sentence:string>>")
+    @F.pandas_udf("array<struct<start:int,end:int,sentence:string,before:string>>")
     def run(col: pd.Series) -> pd.Series:
         return col.map(sentences)
 

@@ -311,4 +311,4 @@ def test_sentence_labels(spark):
     assert [r.s for r in got if r.m] == ["Organizations should patch the gateway.", "Rotate the keys of all hosts"]
     labelled = spark.createDataFrame([(1, "banks in France", "hypothetical"), (1, "a bank in France fell", "observed"), (1, "Spain was not hit", "negated"), (2, "block France", "defensive")], "doc_id long, sentence string, label string")
     names = spark.createDataFrame([("France",), ("Spain",)], "name string")
-    assert {tuple(r) for r in evidence.targeting(labelled, names).collect()} == {(1, "France", "observed"), (1, "Spain", "negated")}
+    assert {(r.doc_id, r.name, r.status) for r in evidence.targeting(labelled, names).collect()} == {(1, "France", "at_risk"), (1, "Spain", "mentioned"), (2, "France", "at_risk")}
