@@ -69,10 +69,11 @@ def snippet(text: Column, wanted: list[str], size: int = 260) -> Column:
     return F.trim(F.substr(flat, start, F.lit(size)))
 
 
-def run_search(scored: DataFrame, docs: DataFrame, key: str, kind: Column, publisher: Column, same: Column, prior: Column, facets: dict[str, Column], chosen: dict[str, list[str]], limit: int, offset: int = 0, boost: DataFrame | None = None) -> Found:
+def run_search(scored: DataFrame, docs: DataFrame, key: str, kind: Column, publisher: Column, same: Column, prior: Column, facets: dict[str, Column], chosen: dict[str, list[str]], limit: int, offset: int = 0, boost: DataFrame | None = None, spread: int = SPREAD) -> Found:
     """scored: (key, score, ...), from bm25f(). Text scores and boosts are weighed by
     priors; of equal rows the best stays; facets count what is left before the chosen
-    values filter it; of the first SPREAD rows those of one publisher make way for others."""
+    values filter it; of the first rows (spread) those of one publisher make way for
+    others, and the rest follow in their own order."""
     s = scored.select(key, "score")
     if boost is not None:
         s = s.join(boost.select(key, "boost"), key, "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0))).drop("boost")
@@ -82,8 +83,13 @@ def run_search(scored: DataFrame, docs: DataFrame, key: str, kind: Column, publi
     one = sr.collapse(rows, key, "score", "same")
     counted = fc.facet_set(one, dict(zip(facets, [F.col(n) for n in facet_cols], strict=True)))
     left = fc.facet_filter(one, {n: (F.col(c), chosen.get(n, [])) for n, c in zip(facets, facet_cols, strict=True)})
-    head = left.orderBy(F.desc("score"), key).limit(SPREAD)
-    spread = sr.diversify(head, "publisher", "score", key)
-    rank = F.row_number().over(W.orderBy(F.desc(F.round("adjusted", 6)), key))  # SPREAD rows
-    page = spread.withColumn("rank", rank).where(F.col("rank").between(offset + 1, offset + limit)).select("rank", key, "kind", "publisher", F.round("adjusted", 6).alias("score"), "copies")
+    order = [F.desc("score"), key]
+    shown = ["rank", key, "kind", "publisher", "score", "copies"]
+    first = sr.diversify(left.orderBy(*order).limit(spread), "publisher", "score", key)
+    rank = F.row_number().over(W.orderBy(F.desc(F.round("adjusted", 6)), key))  # spread rows
+    page = first.withColumn("rank", rank).withColumn("score", F.round("adjusted", 6)).where(F.col("rank").between(offset + 1, offset + limit)).select(*shown)
+    if offset + limit > spread:
+        skip = max(offset, spread)
+        rest = left.orderBy(*order).offset(skip).limit(offset + limit - skip)
+        page = page.unionByName(rest.withColumn("rank", skip + F.row_number().over(W.orderBy(*order))).select(*shown))  # limit rows
     return Found(page, counted, left.groupBy("kind").agg(F.count("*").alias("n")))

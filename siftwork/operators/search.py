@@ -219,7 +219,7 @@ def diversify(ranked: DataFrame, publisher: str, score: str, key: str, decay: fl
 def collapse(ranked: DataFrame, key: str, score: str, same: str, shingles: str | None = None, head: int = 400, alike: float = 0.7) -> DataFrame:
     """One row per group of equal `same` values, the best one, with its number of
     copies; among the best head rows also near copies by shingles, taken greedily
-    in order of rank (the head is a fixed number of rows)."""
+    in order of rank (the head is a fixed number of rows; all rows after it stay)."""
     w = W.partitionBy(same).orderBy(F.desc(score), key)
     best = ranked.withColumn("_r", F.row_number().over(w)).withColumn("copies", F.count("*").over(W.partitionBy(same)))
     best = best.where("_r = 1").drop("_r")
@@ -236,7 +236,8 @@ def collapse(ranked: DataFrame, key: str, score: str, same: str, shingles: str |
     for r in sorted((r.a, r.b) for r in pairs.where(F.col("both") >= alike * (F.col("za") + F.col("zb") - F.col("both"))).select("a", "b").collect()):  # head rows' pairs
         if r[0] not in gone:
             gone.add(r[1])
-    return top.where(~F.col("_n").isin(sorted(gone)) if gone else F.lit(True)).drop("_n")
+    tail = best.join(F.broadcast(top.select(key)), key, "left_anti")  # head rows
+    return top.where(~F.col("_n").isin(sorted(gone)) if gone else F.lit(True)).drop("_n").unionByName(tail)
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 100) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as tx
 from siftwork.operators import engine as en
 from siftwork.operators import facets as fc
 from siftwork.operators import search as sr
+from siftwork.operators.textindex import WEIGHTS, TextIndex
 from siftwork.plans.catalog import query
+from siftwork.session import kept_dir
 from siftwork.session import table as t
 
 WANTED = ["thble", "anthe", "eaux", "schung", "tionen"]
@@ -27,11 +29,54 @@ df AS (SELECT term, greatest(0.2, ln(1 + ((SELECT count(*) FROM documents) - cou
 s AS (SELECT doc_id, sum(idf * tfw / (1.4 + tfw)) * (0.5 + 0.5 * count(*) / 5) AS score, count(*) AS n_hits FROM tf JOIN df USING (term) GROUP BY 1)"""
 
 
+FIELDS = {"title": WEIGHTS["title"], "actors": WEIGHTS["actors"], "body": WEIGHTS["body"]}
+
+
+def _columns() -> dict[str, Column]:
+    return {"title": F.col("title"), "actors": F.col("source"), "body": F.col("text")}
+
+
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    """The stored index of documents: made by the first search, read by all others."""
+    index = TextIndex(spark, kept_dir(spark, t(spark, d, "documents"), "textindex"), FIELDS, split=tx.plain_runs)
+    if not index.version():
+        index.add(_docs(spark, d), _columns())
+    return index
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    terms, lengths = sr.postings(docs, {"title": F.col("title"), "body": F.col("text")}, split=tx.plain_runs)
-    fields = {k: sr.FIELDS[k] for k in ("title", "body")}
-    return sr.bm25f(terms, lengths, WANTED, weights=fields)
+    return _index(spark, d).scored(WANTED, {k: sr.FIELDS[k] for k in ("title", "body")})
+
+
+_WEIGHTED = """f AS (SELECT doc_id, regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+') AS a, regexp_extract_all(lower(source), '[a-z0-9]+') AS b, regexp_extract_all(lower(text), '[a-z0-9]+') AS c FROM documents),
+w AS (SELECT doc_id, 10.0 * len(list_filter(a, lambda v: v IN {0})) + 8.0 * len(list_filter(b, lambda v: v IN {0})) + 2.0 * len(list_filter(c, lambda v: v IN {0})) AS score FROM f)"""
+
+
+@query(f"WITH {_WEIGHTED.format("('thble', 'anthe')")} SELECT doc_id, score FROM w WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25")
+def weighted_top25(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of weighted counts, from the stored index alone."""
+    return _index(spark, d).top(["thble", "anthe"], 25).withColumnRenamed("key", "doc_id")
+
+
+@query(f"WITH {_WEIGHTED.format("('thble', 'eaux', 'src1')")} SELECT doc_id, score FROM w WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 25")
+def weighted_top25_merged(spark: SparkSession, d: str) -> DataFrame:
+    """As above, from an index of two batches of which the second replaces documents of the first."""
+    index = TextIndex(spark, kept_dir(spark, t(spark, d, "documents"), "textindex-merged"), FIELDS, split=tx.plain_runs)
+    docs, again = _docs(spark, d), (F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 3 == 0)
+    if index.version() < 1:
+        older = docs.where("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" thble eaux old"))).otherwise(F.col("text")))
+        index.add(older, _columns())
+    if index.version() < 2:
+        index.add(docs.where(again), _columns())
+    return index.top(["thble", "eaux", "src1"], 25).withColumnRenamed("key", "doc_id")
+
+
+@query(f"""WITH {_WEIGHTED.format("('anthe', 'tionen')")}, i AS (SELECT doc_id, 1000.0 AS score, 'exact_id' AS matched_by FROM documents WHERE source = 'src7' ORDER BY doc_id LIMIT 40),
+a AS (SELECT * FROM i UNION ALL SELECT * FROM (SELECT doc_id, score, 'text' FROM w WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 40) WHERE doc_id NOT IN (SELECT doc_id FROM i))
+SELECT doc_id, score, matched_by FROM a ORDER BY matched_by <> 'exact_id', score DESC, doc_id LIMIT 40""")
+def search_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry the asked identifier themselves, then the best by weighted counts."""
+    return _index(spark, d).candidates(["anthe", "tionen"], ["src7"], ["actors"], 40).withColumnRenamed("key", "doc_id")
 
 
 @query(f"WITH {_BM} SELECT s.doc_id, round(score, 6) AS score, n_hits FROM s JOIN documents USING (doc_id) WHERE lang <> 'es' ORDER BY score DESC, doc_id LIMIT 20")
@@ -87,14 +132,14 @@ round((score + CASE WHEN n_chars % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN source =
 c AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY same) AS copies FROM y), o AS (SELECT * FROM c WHERE k = 1), l AS (SELECT * FROM o WHERE lang IN ('en', 'de'))"""
 
 
-def _unified(spark: SparkSession, d: str) -> en.Found:
+def _unified(spark: SparkSession, d: str, limit: int = 20, offset: int = 10, spread: int = en.SPREAD) -> en.Found:
     docs = t(spark, d, "documents")
     n = F.col("n_chars")
     parts = {"intent": F.when(n % 5 == 0, en.BOOSTS["intent"]).otherwise(0.0), "tactic": F.when(F.col("source") == "src1", en.BOOSTS["tactic"]).otherwise(0.0)}
     prior = sr.priors(F.lit(None).cast("double"), (n % 4).cast("int"), F.lit(0.5), F.lit(None).cast("date"), "2024-01-01")
     kind = F.when(F.col("lang") == "de", "knowledge").otherwise("report")
     return en.run_search(
-        _scored(spark, d), docs, "doc_id", kind, F.col("source"), F.md5("text"), prior, {"lang": F.array("lang"), "source": F.array("source")}, {"lang": ["EN", "de"]}, 20, 10, en.boosts(docs, "doc_id", parts)
+        _scored(spark, d), docs, "doc_id", kind, F.col("source"), F.md5("text"), prior, {"lang": F.array("lang"), "source": F.array("source")}, {"lang": ["EN", "de"]}, limit, offset, en.boosts(docs, "doc_id", parts), spread
     )
 
 
@@ -104,6 +149,13 @@ def search_unified(spark: SparkSession, d: str) -> DataFrame:
     return _unified(spark, d).page
 
 
+@query(f"""WITH {_UNI}, n AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS k0 FROM l), g AS (SELECT *, CASE WHEN k0 <= 15 THEN score * pow(0.85, row_number() OVER (PARTITION BY source, k0 <= 15 ORDER BY score DESC, doc_id) - 1) ELSE score END AS adjusted FROM n),
+r AS (SELECT row_number() OVER (ORDER BY k0 > 15, round(adjusted, 6) DESC, doc_id) AS rank, doc_id, kind, source AS publisher, round(adjusted, 6) AS score, copies FROM g) SELECT * FROM r WHERE rank BETWEEN 11 AND 50""")
+def search_unified_tail(spark: SparkSession, d: str) -> DataFrame:
+    """A page that begins among the rows whose publishers are spread and goes on in the tail."""
+    return _unified(spark, d, 40, 10, 15).page
+
+
 @query(f"""WITH {_UNI} SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM o GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM o GROUP BY 2""")
 def search_unified_facets(spark: SparkSession, d: str) -> DataFrame:
     return _unified(spark, d).facets
@@ -116,7 +168,7 @@ def search_unified_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_BM} SELECT doc_id, string_agg(term, ',' ORDER BY term) AS terms, CAST(sum(CASE WHEN in_title THEN 2 ELSE 1 END) AS BIGINT) AS n_fields FROM (SELECT x.doc_id, q.term, bool_or(field = 'title') AS in_title FROM x, q WHERE list_contains(x.terms, q.term) GROUP BY 1, 2) GROUP BY 1""")
 def search_why(spark: SparkSession, d: str) -> DataFrame:
-    terms, _ = sr.postings(_docs(spark, d), {"title": F.col("title"), "body": F.col("text")}, split=tx.plain_runs)
+    terms = _index(spark, d).matched(WANTED).where("field <> 'actors'")
     w = en.why(terms, WANTED, "doc_id")
     n = F.aggregate("matched", F.lit(0), lambda a, m: a + F.size(m["fields"]))
     return w.select("doc_id", F.array_join(F.transform("matched", lambda m: m["term"]), ",").alias("terms"), n.cast("bigint").alias("n_fields"))

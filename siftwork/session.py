@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -56,6 +57,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/siftwork-{uuid.uuid4().hex}"
 
 
+def kept_dir(spark: SparkSession, df: DataFrame, what: str) -> str:
+    """A path in the shared folder for what is derived from df's input files: the
+    same for the same files, sizes and times, so it is made once and read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    seen = [what]
+    for name in sorted(df.inputFiles()):
+        p = jvm.org.apache.hadoop.fs.Path(name)
+        at = p.getFileSystem(conf).getFileStatus(p)
+        seen.append(f"{name} {at.getLen()} {at.getModificationTime()}")
+    return f"{shared_dir(spark).rsplit('/', 1)[0]}/siftwork-{what}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:32]}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage
     ends here, and a lost executor costs a reread at most."""
