@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from siftwork.session import forget, stored
 
-#: Largest error of a margin's share, and the rounds after which raking gives up. Margins may contradict each other:
-#: raking also ends when a round takes less than a fiftieth off the error.
-TOLERANCE, MOST_ROUNDS = 1e-4, 60
+#: Largest error of a margin's share. Margins may contradict each other: then some cells fall towards nothing and
+#: all others settle, so raking ends once no cell's weight gains more than STILL in a round. An error that stays the
+#: same says nothing: where cells are nearly separate, small ones grow for many rounds before they tell.
+#: MOST_ROUNDS is for margins that are met ever more slowly; the error left is reported.
+TOLERANCE, STILL, MOST_ROUNDS = 1e-4, 1e-6, 500
 #: Cells that one task rakes, about: there are few, and a round of few tasks is a short job.
 CELLS_A_TASK = 100_000
 
@@ -72,7 +74,8 @@ def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], t
     """cells (margins, tokens) with a weight each, and the largest error left.
 
     ValueError if a target asks for tokens of a value that no cell has tokens of.
-    Targets that contradict each other can't be met: a warning names the error.
+    Targets that contradict each other can't be met: a warning names the error left
+    once no weight grows any more.
     """
     kept = stored(cells.withColumn("weight", F.lit(1.0)))
     now = kept.coalesce(tasks)
@@ -84,22 +87,25 @@ def raked(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], t
         lost = targets[m].where("share > 0").join(some, F.col("value").eqNullSafe(F.col(m)), "left_anti").select("value").limit(5).collect()
         if lost:
             raise ValueError(f"no tokens for targets of {m}: {[r[0] for r in lost]}")
-    error = math.inf
     for rounds in range(1, MOST_ROUNDS + 1):
+        now = now.withColumn("was", F.col("weight"))
         for m in margins:
             sums = now.groupBy(m).agg(F.sum(F.col("tokens") * F.col("weight")).alias("s"))
             goal = targets[m].select(F.col("value").alias("v"), "share")
             factor = sums.join(goal, F.col(m).eqNullSafe(F.col("v")), "left").select(F.col(m).alias("k"), F.when(F.col("s") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("s")).otherwise(0.0).alias("f"))
             # Stored each time: it is read twice, and a plan that doubles can't be kept.
-            before, kept = kept, stored(now.join(factor, F.col(m).eqNullSafe(F.col("k"))).select(*cells.columns, (F.col("weight") * F.col("f")).alias("weight")))
+            before, kept = kept, stored(now.join(factor, F.col(m).eqNullSafe(F.col("k"))).select(*cells.columns, "was", (F.col("weight") * F.col("f")).alias("weight")))
             now = kept.coalesce(tasks)
             forget(before)
-        last, error = error, _off(now, margins, targets, total)
-        if error <= TOLERANCE or error > 0.98 * last:  # met, or no round gets nearer any more
+        error = _off(now, margins, targets, total)
+        if error <= TOLERANCE:
+            break
+        gain = now.where("tokens > 0 and was > 0").agg(F.max(F.col("weight") / F.col("was"))).first()[0] or 0.0
+        if gain < 1 + STILL:  # no cell is on its way up: the margins contradict each other
             break
     if error > TOLERANCE:
         warnings.warn(f"after {rounds} rounds of raking a share is off by {error:.2g}", stacklevel=2)
-    return now, error
+    return now.drop("was"), error
 
 
 def scale_for(cells: DataFrame, budget: float) -> float:

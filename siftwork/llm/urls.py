@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.llm import urllabels
 from siftwork.llm.textbatch import mix, unpack
 from siftwork.session import ship
 
@@ -23,26 +24,6 @@ from siftwork.session import ship
 WEIGHTS, GRAMS, MOST_LABELLED = 1 << 14, (3, 4, 5), 20_000
 #: (verdict, host and path) of the registered query; fixed values.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-#: Labelled examples: 1 is to be blocked. Hosts made of two common words of either sort, not taken from
-#: any crawl, under names that can't exist; to be replaced by a team's own table.
-_BLOCK = (
-    "casino slots poker jackpot roulette betting bets pharmacy pills viagra meds loans cash replica xxx adult porn escort webcam singles "
-    "warez cracks torrents spam popunder ads tracker clicks lottery prize doubler keylogger cheap bonus win free"
-).split()
-_ALLOW = (
-    "library museum university docs kernel school weather history science math garden recipes radio news gazette river maps birds "
-    "astronomy language poetry health travel chess music philosophy translation thesaurus books encyclopedia weaving the north other house earth"
-).split()
-_PATHS = ["en/1", "fr/205.html", "es/77?page=2", "de/88/"]
-
-
-def _hosts(words: list[str]) -> list[str]:
-    """Two hosts for each word, with two others behind it."""
-    return [f"{w}-{words[(i * 7 + k) % len(words)]}" for i, w in enumerate(words) for k in (3, 11)]
-
-
-#: Every host with and without a prefix, and with every path alike, so that only its name tells.
-LABELLED = [(f"https://{pre}{h}.{d}/{p}", y) for y, words in ((1, _BLOCK), (0, _ALLOW)) for h in _hosts(words) for pre, d, p in zip(["", "www.", "blog.", "m."], ["test", "invalid", "test", "invalid"], _PATHS, strict=True)]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -126,7 +107,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, labelled
     spark = pages.sparkSession
     ship(spark)
     if labelled is None:
-        labelled = spark.createDataFrame(LABELLED, "url string, label int")
+        labelled = spark.createDataFrame(urllabels.labelled(), "url string, label int")
     rows = labelled.select("url", "label").dropna().orderBy(F.xxhash64("url"), "url", "label").limit(MOST_LABELLED)
     known = rows.select(*[c.alias(n) for c, n in zip(parts(F.col("url")), ("host", "path"), strict=True)], "label").toArrow()
     w = fit(known.column("host").combine_chunks(), known.column("path").combine_chunks(), known.column("label").to_numpy().astype(float))

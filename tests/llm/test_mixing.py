@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftwork.llm.mixing import document_mix, mix, sampled, scale_for, topic, words
+from siftwork.llm.mixing import document_mix, mix, raked, sampled, scale_for, topic, words
 
 
 def make(spark):
@@ -83,3 +83,33 @@ def test_scale_and_given_targets(spark):
     with pytest.raises(ValueError, match="xx"):
         mix(df, {"lang": F.col("lang")}, words(F.col("text")), {"lang": spark.createDataFrame([("xx", 0.5), ("en", 0.5)], "value string, share double")})
     assert {r[0] for r in df.select(topic(F.col("text"))).distinct().collect()} >= {"empty", "table", "capitals", "symbols", "short"}
+
+
+def rake(spark, cells, first, second):
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in cells.items()], "a string, b string, tokens long").coalesce(1)
+    goal = lambda g: spark.createDataFrame(list(g.items()), "value string, share double").coalesce(1)
+    return raked(df, ["a", "b"], {"a": goal(first), "b": goal(second)})
+
+
+@pytest.mark.parametrize(
+    "cells,first,second",
+    [
+        ({("x", "u"): 1, ("x", "v"): 100_000, ("y", "u"): 100_000, ("y", "v"): 1}, {"x": 0.7, "y": 0.3}, {"u": 0.7, "v": 0.3}),
+        ({("wiki", "en"): 9000, ("wiki", "de"): 10, ("blog", "en"): 20, ("blog", "de"): 5000}, {"wiki": 0.5, "blog": 0.5}, {"en": 0.7, "de": 0.3}),
+    ],
+)
+def test_nearly_separate_cells_are_raked_to_the_end(spark, cells, first, second):
+    """The error stands still for rounds while small cells grow."""
+    got, error = rake(spark, cells, first, second)
+    assert error <= 1e-4
+    plain, total = raked_plainly(cells, [first, second], 400), sum(cells.values())
+    for r in got.collect():
+        assert r.tokens * r.weight / total == pytest.approx(cells[r.a, r.b] * plain[r.a, r.b] / total, abs=3e-4)
+    assert got.columns == ["a", "b", "tokens", "weight"]
+
+
+def test_contradicting_margins_end_with_a_warning(spark):
+    cells = {("x", "u"): 100, ("y", "v"): 100}
+    with pytest.warns(UserWarning, match="off by"):
+        _, error = rake(spark, cells, {"x": 0.7, "y": 0.3}, {"u": 0.4, "v": 0.6})
+    assert error == pytest.approx(0.3, abs=1e-3)
