@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,20 +127,33 @@ def relevance(title: Column, summary: Column, url: Column, wanted: list[str], un
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
 
 
+#: Patterns of a taxonomy that make up one expression.
+MOST_SIGNALS = 2000
+
+
 def taxonomy(docs: DataFrame, signals: DataFrame, key: str = "doc_id", title: str = "title", text: str = "text", most: int = 4, share: float = 0.3) -> DataFrame:
     """(key, category, score, rank): signals (category, pattern, weight, cap, threshold)
     counted in the text up to cap, thrice in the title; categories over their
-    threshold and share of the best one's ratio. signals: a short table, broadcast below its bound."""
-    n = signals.count()
-    if n > 10_000:
-        raise ValueError("a taxonomy of over 10,000 patterns is matched by words, not one by one")
-    j = docs.select(key, F.lower(title).alias("_t"), F.lower(text).alias("_x")).crossJoin(F.broadcast(signals))
-    hits = F.least(F.regexp_count("_x", F.col("pattern")), F.col("cap")) + 3 * F.regexp_count("_t", F.col("pattern"))
-    s = j.groupBy(key, "category").agg(F.sum(F.col("weight") * hits).alias("score"), F.max("threshold").alias("threshold")).where("score >= threshold")
-    w = W.partitionBy(key)
-    ratio = F.col("score") / F.col("threshold")
-    ranked = s.withColumn("_r", ratio).withColumn("_best", F.max("_r").over(w)).where(F.col("_r") >= share * F.col("_best"))
-    return ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("_r"), "category"))).where(F.col("rank") <= most).select(key, "category", "score", "rank")
+    threshold and share of the best one's ratio. signals: a short table, whose patterns
+    become one expression: texts are looked at where they lie, nothing is joined or shuffled."""
+    listed: dict[str, list] = {}
+    rows = signals.orderBy("category", "pattern").limit(MOST_SIGNALS + 1).collect()
+    if len(rows) > MOST_SIGNALS:
+        raise ValueError(f"a taxonomy of over {MOST_SIGNALS} patterns is matched by phrases.find()")
+    for r in rows:
+        listed.setdefault(r.category, []).append(r)
+    t, x = F.lower(F.coalesce(F.col(title), F.lit(""))), F.lower(F.coalesce(F.col(text), F.lit("")))
+    each = []
+    for category, signs in listed.items():
+        hits = [F.lit(float(s.weight)) * (F.least(F.regexp_count(x, F.lit(s.pattern)), F.lit(s.cap)) + 3 * F.regexp_count(t, F.lit(s.pattern))) for s in signs]
+        score = reduce(lambda a, b: a + b, hits)
+        threshold = float(max(s.threshold for s in signs))
+        each.append(F.struct((-score / threshold).alias("_r"), F.lit(category).alias("category"), score.alias("score"), F.lit(threshold).alias("_t")))
+    none = "array<struct<_r:double,category:string,score:double,_t:double>>"
+    kept = F.array_sort(F.filter(F.array(*each).cast(none), lambda c: c["score"] >= c["_t"]))
+    one = docs.select(key, kept.alias("c")).select(key, F.filter("c", lambda c: -c["_r"] >= -share * F.col("c")[0]["_r"]).alias("c"))
+    out = one.select(key, F.posexplode(F.slice("c", 1, most)).alias("p", "c"))
+    return out.select(key, "c.category", "c.score", (F.col("p") + 1).alias("rank"))
 
 
 def protected_tokens(text: Column) -> Column:
