@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
+from siftwork.operators.versions import Versions
 
 #: What a hit in a field counts; fixed values.
 WEIGHTS = {"title": 10.0, "actors": 8.0, "malware": 8.0, "cves": 8.0, "techniques": 7.0, "summary": 6.0, "body": 2.0}
@@ -46,32 +47,20 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str, fields: dict[str, float], key: str = "doc_id", split: Callable[[Column], Column] = T.tokens, buckets: int = BUCKETS):
         self.spark, self.path, self.fields, self.key, self.split, self.buckets = spark, path.rstrip("/"), fields, key, split, buckets
+        self.versions = Versions(spark, f"{self.path}/versions")
 
     # -- Files -----------------------------------------------------------------
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def version(self) -> int:
         """The newest version, 0 for an index without one."""
-        fs, p = self._fs(f"{self.path}/versions")
-        if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        return self.versions.newest()
 
     def segments(self) -> list[str]:
         v = self.version()
-        return [r.name for r in self.spark.read.parquet(f"{self.path}/versions/{v}").orderBy("at").collect()] if v else []  # a row a segment
+        return [r.name for r in self.versions.read(v).orderBy("at").collect()] if v else []  # a row a segment
 
     def _publish(self, names: list[str], after: int) -> None:
-        aside = f"{self.path}/versions/_{uuid.uuid4().hex}"
-        self.spark.createDataFrame(list(enumerate(names)), "at int, name string").coalesce(1).write.parquet(aside)
-        fs, p = self._fs(aside)
-        _, to = self._fs(f"{self.path}/versions/{after + 1}")
-        if fs.exists(to) or not fs.rename(p, to):
-            raise RuntimeError(f"version {after + 1} of {self.path} was made by another writer")
+        self.versions.publish(self.spark.createDataFrame(list(enumerate(names)), "at int, name string"), after)
 
     def _read(self, name: str, what: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/segments/{name}/{what}")
@@ -144,15 +133,11 @@ class TextIndex:
 
     def clean(self) -> None:
         """Delete segments and versions that the newest version doesn't name."""
-        v, names = self.version(), set(self.segments())
-        fs, p = self._fs(f"{self.path}/segments")
-        for s in fs.listStatus(p):
-            if s.getPath().getName() not in names:
-                fs.delete(s.getPath(), True)
-        fs, p = self._fs(f"{self.path}/versions")
-        for s in fs.listStatus(p):
-            if s.getPath().getName() != str(v):
-                fs.delete(s.getPath(), True)
+        v, names = self.version(), self.segments()
+        for n in self.versions.children(f"{self.path}/segments"):
+            if n not in names:
+                self.versions.delete(f"{self.path}/segments/{n}")
+        self.versions.keep_only(v)
 
     # -- Reading ---------------------------------------------------------------
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.operators import state as st
+from siftwork.operators.keyed import KeyedTable
 from siftwork.plans.catalog import query
+from siftwork.session import shared_dir
 from siftwork.session import table as t
 
 
@@ -85,3 +87,14 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Extension: sessions with a gap of six hours."""
     g = _events(spark, d).groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
     return g.select("user_id", (F.unix_micros("w.start") / 1e6).alias("start"), "n")
+
+
+@query("""WITH a AS (SELECT doc_id, n_chars, source FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, lang FROM documents WHERE doc_id % 4 <> 1)
+SELECT doc_id, n_chars, CASE WHEN a.doc_id IS NULL THEN 'new' ELSE source END AS source, lang FROM a FULL JOIN b USING (doc_id) WHERE doc_id % 7 <> 0""")
+def keyed_merges(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table after three batches: whole rows, columns set with a default for new rows, keys that go."""
+    docs, held = t(spark, d, "documents"), KeyedTable(spark, shared_dir(spark), ["doc_id"], 16)
+    held.merge(docs.where("doc_id % 3 <> 0").select("doc_id", "n_chars", "source"))
+    held.merge(docs.where("doc_id % 4 <> 1").select("doc_id", "lang"), partial=True, defaults={"source": F.lit("new")})
+    held.delete(docs.where("doc_id % 7 = 0").select("doc_id"))
+    return held.read().select("doc_id", "n_chars", "source", "lang")

@@ -74,17 +74,11 @@ def run_health(runs: DataFrame) -> DataFrame:
 
 
 def upsert_latest(stream: DataFrame, path: str, key: list[str], order: list[str], checkpoint: str):
-    """A query that keeps the latest row a key: each batch is merged with the last
-    version and written as the next; a batch that is run again writes its own version anew."""
-    from siftwork.operators.state import latest
+    """A query that keeps the latest row a key in the KeyedTable at path: a batch
+    rewrites the buckets that it touches, and one that is run again changes nothing."""
+    from siftwork.operators.keyed import KeyedTable
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = f"{path}/v={number - 1}"
-        rows = batch
-        p = spark._jvm.org.apache.hadoop.fs.Path(old)
-        if number and p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            rows = spark.read.schema(batch.schema).parquet(old).unionByName(batch)
-        latest(rows, key, order).select(batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        KeyedTable(batch.sparkSession, path, key).merge(batch, order, number=number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
