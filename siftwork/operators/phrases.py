@@ -8,7 +8,7 @@ of words of the lengths that occur in it. Both give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,11 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[-/]", " "), r"\s+", " "))
 
 
+def bounded(c: Column) -> Column:
+    """Words of letters, digits, _ and -, in their own case: what a name in a text is bounded by."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}_-]+", " "))
+
+
 def stems(c: Column) -> Column:
     """Distinct stems of the words of a phrase that say something."""
     words = F.filter(F.split(normal(c), " "), lambda w: (w != "") & ~w.isin(STOP))
@@ -68,7 +73,7 @@ def _scan(batches: Iterator[pa.RecordBatch], sent, key: str) -> Iterator[pa.Reco
             for end, phrase in trie.iter(padded):
                 seen.setdefault(phrase, []).append(end - len(phrase))
             if seen:
-                gaps = np.flatnonzero(np.frombuffer(padded.encode(), np.uint8) == 0x20)  # normal() leaves ASCII only
+                gaps = np.flatnonzero(np.frombuffer(padded.encode("utf-32-le"), np.uint32) == 0x20)
                 for phrase, places in seen.items():
                     at.append(i)
                     phrases.append(phrase)
@@ -99,13 +104,13 @@ def by_join(rows: DataFrame, dictionary: DataFrame, key: str) -> DataFrame:
     return each.join(phrases, "phrase").groupBy(key, "phrase").agg(F.count("*").alias("n"), F.min("at").cast("bigint").alias("first"))
 
 
-def find(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+def find(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST, form: Callable[[Column], Column] = normal) -> DataFrame:
     """(key, id, phrase, n, first): how often each phrase of dictionary (phrase, id)
     occurs in a text, in whole words and overlapping others, and the number of the
     word (from 0) that it first begins with. Rows without text have none. Keys
-    are distinct."""
-    said = dictionary.select(normal(F.col("phrase")).alias("phrase"), "id").where("phrase <> ''").distinct()
-    rows = docs.select(key, normal(F.col(text)).alias("words")).where("words <> ''")
+    are distinct. form: what texts and phrases are compared by."""
+    said = dictionary.select(form(F.col("phrase")).alias("phrase"), "id").where("phrase <> ''").distinct()
+    rows = docs.select(key, form(F.col(text)).alias("words")).where("words <> ''")
     few = said.select("phrase").distinct().limit(most + 1).count() <= most
     hits = (by_automaton if few else by_join)(rows, said, key)
     return hits.join(said, "phrase").select(key, "id", "phrase", "n", "first")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.operators import evidence as ev
 from siftwork.operators import phrases as ph
+from siftwork.operators import searchdocs as sd
 from siftwork.plans.catalog import query
 from siftwork.session import table as t
 
@@ -72,3 +73,21 @@ def conversation_targets(spark: SparkSession, d: str) -> DataFrame:
     said = c.where("text IS NOT NULL").select("conv_id", F.col("turn").alias("n"), F.col("text").alias("sentence"), label.alias("label"))
     names = spark.createDataFrame([("sector", "of the"), ("objective", "and"), ("platform", "in")], "kind string, name string")
     return ev.targeting(said, names, "conv_id").select("conv_id", "kind", "name", "status", "mentions")
+
+
+_ALIASES = [("group", "G1", "thble"), ("group", "G1", "anthe"), ("software", "S1", "eaux"), ("group", "G2", "schung"), ("group", "G2", "tionen"), ("group", "G3", "src1")]
+
+
+@query(f"""WITH a(kind, eid, alias) AS (VALUES {", ".join(map(str, _ALIASES))}), d AS (SELECT doc_id, source, regexp_extract_all(string_split(text, chr(10))[1] || chr(10) || text, '[\\p{{L}}\\p{{N}}_-]+') AS w FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, kind, eid, alias, len(list_filter(w, lambda x: CASE WHEN alias = 'src1' THEN lower(x) ELSE x END = alias)) AS n, 0 AS later FROM d, a UNION ALL SELECT doc_id, kind, eid, alias, 1, 1 FROM documents JOIN a ON alias = source)
+SELECT CAST(doc_id AS VARCHAR) AS id, kind, eid, arg_min(alias, (later, -n, alias)) AS via, sum(n) AS count FROM c WHERE n > 0 GROUP BY ALL""")
+def document_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Search documents of all documents, their sources as stored actors: the entities of each."""
+    docs = t(spark, d, "documents")
+    aliases = spark.createDataFrame(_ALIASES, "kind string, id string, alias string")
+    entities = aliases.groupBy("kind", "id").agg(F.min("alias").alias("name"))
+    reports = docs.select(F.col("doc_id").alias("id"), F.split("text", "\n")[0].alias("title"), "text")
+    stated = docs.select(F.col("doc_id").alias("report"), F.lit("group").alias("kind"), F.col("source").alias("value"))
+    none = spark.createDataFrame([], "id string, tactics array<string>")
+    found = sd.report_docs(reports, stated, entities, aliases, none)
+    return found.select("id", F.explode("entities").alias("e")).select("id", "e.kind", F.col("e.id").alias("eid"), "e.via", "e.count")
