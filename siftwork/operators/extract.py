@@ -201,6 +201,23 @@ def harvest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(key, F.explode(run(text)).alias("i")).select(key, "i.*")
 
 
+_LINK = r"\[([^\]]*)\]\((?:[^()\s]|\([^()\s]*\))+\)"
+
+
+def article_prose(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, prose): a text's lines without those that are links only and without
+    repeats (in any case); links in other lines show their words. Lines are rows,
+    put in order again by their numbers: nothing loops over a text. Keys are distinct."""
+    rows = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("n", "line"))
+    rows = rows.select(key, "n", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("line")).where("line <> ''")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", _LINK, ""), r"^(?:[-*•]|\d{1,3}[.)])\s*", ""), r"[\s|·,;:•–—-]+", "")
+    rows = rows.where(~(F.col("line").rlike(_LINK) & (F.length(bare) <= 3)))
+    shown = rows.select(key, "n", F.regexp_replace("line", _LINK, "$1").alias("line")).withColumn("low", F.xxhash64(F.lower("line")))
+    first = shown.groupBy(key, "low").agg(F.min_by("line", "n").alias("line"), F.min("n").alias("n"))
+    kept = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("prose"))
+    return docs.select(key).join(kept, key, "left").select(key, F.coalesce("prose", F.lit("")).alias("prose"))
+
+
 # What stands before a point that ends no sentence, and list marks before a piece.
 _ABBREVIATION = re.compile(r"(?i)(?:^|[\s(])(?:e\.g|i\.e|etc|vs|inc|ltd|corp|co|no|nos|fig|figs|mr|mrs|ms|dr|st|approx|al|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|u\.s|u\.k|[a-z])$")
 _MARK = re.compile(r"(?:[\s\u00a0]|[•·▪●◦‣■□►▶✓✔]|[-*–—+](?=\s)|\(?\d{1,2}[.)](?=\s)|\(?[a-z][.)](?=\s))+")

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.operators import context as cx
 from siftwork.operators import evidence as ev
+from siftwork.operators import extract as ex
+from siftwork.operators import graph as g
+from siftwork.operators import grounding as gd
 from siftwork.operators import phrases as ph
 from siftwork.operators import searchdocs as sd
 from siftwork.plans.catalog import query
+from siftwork.plans.graph import _EDGES, _LINKS, facts
+from siftwork.session import stored
 from siftwork.session import table as t
 
 _NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[‘’`´]', '''', 'g'), '[^a-z0-9.''/ -]+', ' ', 'g'), '[-/]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -91,3 +97,65 @@ def document_entities(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "id string, tactics array<string>")
     found = sd.report_docs(reports, stated, entities, aliases, none)
     return found.select("id", F.explode("entities").alias("e")).select("id", "e.kind", F.col("e.id").alias("eid"), "e.via", "e.count")
+
+
+_LINKED = "CASE i % 4 WHEN 0 THEN '[' || l || '](http://x/(a)b)' WHEN 1 THEN '- [go](http://y) | [on](z)' WHEN 2 THEN lower(l) ELSE 'see [this](u) ' || l END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents), b AS (SELECT doc_id, i, trim({_LINKED}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS l FROM l),
+k AS (SELECT * FROM b WHERE l <> '' AND NOT (regexp_matches(l, '\\[([^\\]]*)\\]\\((?:[^()\\s]|\\([^()\\s]*\\))+\\)') AND length(regexp_replace(regexp_replace(regexp_replace(l, '\\[([^\\]]*)\\]\\((?:[^()\\s]|\\([^()\\s]*\\))+\\)', '', 'g'), '^(?:[-*•]|\\d{{1,3}}[.)])\\s*', ''), '[\\s|·,;:•–—-]+', '', 'g')) <= 3)),
+v AS (SELECT doc_id, i, regexp_replace(l, '\\[([^\\]]*)\\]\\((?:[^()\\s]|\\([^()\\s]*\\))+\\)', '\\1', 'g') AS l FROM k), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(l) ORDER BY i) AS r FROM v)
+SELECT d.doc_id, coalesce(string_agg(l, chr(10) ORDER BY i), '') AS prose FROM documents d LEFT JOIN (SELECT * FROM f WHERE r = 1) f USING (doc_id) GROUP BY 1""")
+def prose_of_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents turned into links, lists of links, small letters and lines with a link."""
+    rows = t(spark, d, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda l, i: F.when(i % 4 == 0, F.concat(F.lit("["), l, F.lit("](http://x/(a)b)"))).when(i % 4 == 1, F.lit("- [go](http://y) | [on](z)")).when(i % 4 == 2, F.lower(l)).otherwise(F.concat(F.lit("see [this](u) "), l))).alias("ls"))
+    return ex.article_prose(rows.select("doc_id", F.array_join("ls", "\n").alias("text")))
+
+
+@query("""SELECT doc_id, 0 AS n, substr(text, 11, 60) AS found, 10 AS start, 70 AS "end" FROM documents WHERE length(text) >= 80 AND regexp_matches(substr(text, 11, 60), '^[a-z][a-z ,]*[a-z]$') AND NOT contains(substr(text, 11, 60), '  ') AND strpos(lower(text), lower(substr(text, 11, 60))) = 11""")
+def quotes_placed(spark: SparkSession, d: str) -> DataFrame:
+    """A stretch of every document, written in capitals and with marks, is found at its place.
+    Stretches that stand earlier in their text too are left to the tests."""
+    docs = t(spark, d, "documents").where("length(text) >= 80")
+    own = F.substring("text", 11, 60)
+    plain = docs.where(own.rlike("^[a-z][a-z ,]*[a-z]$") & ~own.contains("  ") & F.expr("instr(lower(text), lower(substring(text, 11, 60))) = 11"))
+    quotes = plain.select("doc_id", F.lit(0).alias("n"), F.concat(F.lit("“"), F.replace(F.upper(own), F.lit(" "), F.lit(" **")), F.lit("”")).alias("quote"))
+    hit = gd.ground_quotes(docs.select("doc_id", "text"), quotes).join(plain.select("doc_id", own.alias("own")), "doc_id")
+    return hit.select("doc_id", F.col("n").cast("int").alias("n"), F.col("own").alias("found"), "start", "end")
+
+
+def _kinds(e: DataFrame) -> DataFrame:
+    ends = e.select(F.col("source").alias("node"), F.lit("supplier").alias("type")).union(e.select(F.col("target").alias("node"), F.lit("part").alias("type")))
+    return ends.distinct()
+
+
+@query(f"""WITH {_EDGES}, dbl AS (SELECT source AS node, target AS peer, s FROM es UNION ALL SELECT target, source, s FROM es),
+first AS (SELECT node AS seed, peer AS mid, s AS s1 FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY s DESC, peer) AS r FROM dbl WHERE node LIKE 's%') WHERE r <= 60), deg AS (SELECT node AS mid, 1 / log2(2 + count(*)) AS damp FROM dbl GROUP BY 1),
+far AS (SELECT seed, a.peer, sum(s1 * a.s * damp) AS x FROM first JOIN deg USING (mid) JOIN dbl a ON a.node = first.mid WHERE a.peer <> seed GROUP BY 1, 2),
+z AS (SELECT *, max(x) OVER (PARTITION BY seed) AS top, row_number() OVER (PARTITION BY seed ORDER BY round(x, 9) DESC, peer) AS rank FROM far)
+SELECT seed, rank, peer, floor(round(x / top * 100, 6) + 0.5) / 100 AS score FROM z WHERE rank <= 10""")
+def entity_related(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most related suppliers of every supplier, in one job."""
+    e = stored(g.edges(facts(spark, d)))
+    seeds = e.select(F.col("source").alias("seed")).distinct()
+    return cx.related(e, _kinds(e), seeds).select("seed", "rank", "peer", "score")
+
+
+@query(f"""WITH {_LINKS}, p AS (SELECT a.node AS seed, b.node, count(*) AS shared, sum(a.w) AS w FROM lw a JOIN lw b ON a.feature = b.feature WHERE a.node <> b.node GROUP BY 1, 2 HAVING count(*) >= 2),
+s AS (SELECT seed, p.node, shared, floor(round(w / (ta.t + tb.t - w) * 100, 6) + 0.5) / 100 AS score FROM p JOIN tot ta ON ta.node = seed JOIN tot tb ON tb.node = p.node WHERE w / (ta.t + tb.t - w) >= 0.01),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, shared DESC, node) AS rank FROM s) SELECT seed, rank, node, shared, score FROM r WHERE rank <= 6""")
+def entity_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The six most similar suppliers of every supplier, in one job."""
+    pairs = stored(facts(spark, d).select(F.col("source").alias("node"), F.col("target").alias("feature")).distinct())
+    return cx.similar(pairs, pairs.select(F.col("node").alias("seed")), least_score=0.01)
+
+
+@query(f"""WITH {_EDGES}, dbl AS (SELECT source AS seed, 'part' AS type, target AS peer, s, stated, weight FROM es UNION ALL SELECT target, 'supplier', source, s, stated, weight FROM es),
+x AS (SELECT *, row_number() OVER (PARTITION BY seed, type ORDER BY s DESC, peer) AS r FROM dbl), n AS (SELECT seed, type, count(*) AS total FROM dbl GROUP BY 1, 2)
+SELECT seed, type, total, string_agg(peer, ',' ORDER BY r) AS peers FROM x JOIN n USING (seed, type) WHERE r <= 8 GROUP BY 1, 2, 3""")
+def entity_links(spark: SparkSession, d: str) -> DataFrame:
+    """The eight strongest links of every node."""
+    e = stored(g.edges(facts(spark, d)))
+    nodes = _kinds(e)
+    found = cx.links(e, nodes, nodes.select(F.col("node").alias("seed")))
+    return found.select("seed", "type", "total", F.array_join(F.transform("items", lambda x: x["peer"]), ",").alias("peers"))
