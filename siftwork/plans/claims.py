@@ -11,6 +11,7 @@ from siftwork.operators import extract as ex
 from siftwork.operators import graph as g
 from siftwork.operators import grounding as gd
 from siftwork.operators import phrases as ph
+from siftwork.operators import qualify as qy
 from siftwork.operators import searchdocs as sd
 from siftwork.plans.catalog import query
 from siftwork.plans.graph import _EDGES, _LINKS, facts
@@ -159,3 +160,57 @@ def entity_links(spark: SparkSession, d: str) -> DataFrame:
     nodes = _kinds(e)
     found = cx.links(e, nodes, nodes.select(F.col("node").alias("seed")))
     return found.select("seed", "type", "total", F.array_join(F.transform("items", lambda x: x["peer"]), ",").alias("peers"))
+
+
+_LEADS = [
+    "",
+    "powershell -enc aGk0 now; \ncmd.exe /c whoami all\nschtasks /create x y\ncertutil -urlcache z\n",
+    "Event ID 4688 in C:\\Windows\\Temp\\abcd.txt and HKLM\\Software\\Runs. kill chain; byovd\n",
+    "CVE-2024-1234 by a threat actor, APT29, with a payload, a dropper, ransomware and exploit\n",
+    "Request a demo or start your free trial. Contact sales\n",
+    "T1059.001 and 10.1.2.3 were named: initial access, persistence, exfiltration\n",
+    "malware analysis of a loader, a beacon and an infostealer\n",
+]
+_LEAD = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN {' || chr(10) || '.join(chr(39) + x + chr(39) for x in lead.split(chr(10)))}" for i, lead in enumerate(_LEADS)) + " END"
+
+
+def _points(rows: list[tuple], columns: dict[str, str]) -> str:
+    """SQL of the points of a table of rules: of rows of one fact the first that holds."""
+    by: dict[str, list] = {}
+    for fact, least, add, _ in rows:
+        by.setdefault(fact, []).append(f"WHEN {columns[fact]} >= {least} THEN {add}")
+    return " + ".join(f"CASE {' '.join(w)} ELSE 0 END" for w in by.values())
+
+
+def _many(kind: str) -> str:
+    found = f"list_transform(regexp_extract_all(prose, '{qy.EVIDENCE[kind]}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)))"
+    if kind == "commands":
+        found = f"list_filter(list_transform({found}, lambda x: regexp_replace(x, '^[`''\"]+|[`''\"]+$', '', 'g')), lambda x: length(x) > 8 AND NOT contains(x, '<') AND NOT contains(x, '>'))"
+    return f"least({qy.LISTED[kind]}, len(list_distinct({found})))"
+
+
+_FACTS = {"commands": "nc", "registry": "nr", "paths": "np", "events": "ne", "artifacts": "nr + np", "phases": "CAST(phases AS INT)", "emerging": "CASE WHEN emerging IS NULL THEN 0 ELSE 1 END", "words": "words", "terms": "terms", "technique": "CAST(tech AS INT)", "cve": "CAST(cve AS INT)", "indicator": "CAST(ioc AS INT)", "replay": "round(simulation * 100)"}
+_TERM = " + ".join("CAST(regexp_matches(low, '(?:^|[^a-z0-9])" + t.replace(".", "\\.").replace("&", "\\&").replace("-", "\\-") + ("" if t.endswith("-") else "(?:[^a-z0-9]|$)") + "') AS INT)" for t in qy.TERMS)
+_NEW = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in qy.EMERGING.items()) + " END"
+_NOISE = " + ".join(f"CAST(regexp_matches(both_, '{p}') AS INT)" for p in qy.MARKETING)
+_CLASS = "CASE " + " ".join(f"WHEN regexp_matches(low, '{p}')" + (f" OR {_FACTS[enough[0]]} >= {enough[1]}" if enough else "") + f" THEN '{n}:{k}'" for n, k, p, enough, _ in qy.CLASSES) + f" ELSE '{':'.join(qy.OTHERWISE)}' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_LEAD} || coalesce(text, '') AS text FROM documents), l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS raw FROM d),
+t AS (SELECT doc_id, i, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM l), u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY i) AS r FROM t WHERE line <> ''),
+p AS (SELECT d.doc_id, text, chr(10) || text AS both_, coalesce(prose, '') AS prose, lower(coalesce(prose, '')) AS low FROM d LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS prose FROM u WHERE r = 1 GROUP BY 1) USING (doc_id)),
+f AS (SELECT doc_id, low, {_many("commands")} AS nc, {_many("registry")} AS nr, {_many("paths")} AS np, {_many("events")} AS ne, regexp_matches(prose, '{qy.FLAGS["cve"]}') AS cve, regexp_matches(prose, '{qy.FLAGS["technique"]}') AS tech, regexp_matches(prose, '{qy.FLAGS["indicator"]}') AS ioc,
+{_NEW} AS emerging, {_NOISE} AS noise, regexp_matches(both_, '{qy.CONFERENCE}') AS paper, regexp_matches(low, '{qy.PHASES}') AS phases, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS words, {_TERM} AS terms FROM p),
+s AS (SELECT *, {_CLASS} AS class, floor(round(least(1, CASE WHEN noise > 0 THEN greatest(0.1, {qy.BASE_SIMULATION} + {_points(qy.SIMULATION, _FACTS)} - 0.05) ELSE {qy.BASE_SIMULATION} + {_points(qy.SIMULATION, _FACTS)} END) * 100, 6) + 0.5) / 100 AS simulation FROM f),
+g AS (SELECT *, floor(round(least(1, {qy.BASE} + {_points(qy.QUALITY, _FACTS)}) * 100, 6) + 0.5) / 100 AS score, nc + nr + np + ne AS total, nc > 0 OR nr > 0 OR ne > 0 OR cve OR ioc AS sub FROM s),
+o AS (SELECT *, CASE WHEN words < 200 AND NOT sub THEN 1 WHEN noise >= 2 AND NOT paper AND total = 0 THEN 2 WHEN NOT (sub OR tech OR (terms >= 3 AND words >= 350)) THEN 3 ELSE 0 END AS gone FROM g)
+SELECT doc_id, gone = 0 AND (score >= 0.3 OR simulation >= 0.4 OR sub) AS permissive, gone = 0 AND (score >= 0.4 OR simulation >= 0.5) AND (sub OR terms >= 2) AS balanced, gone = 0 AND (score >= 0.65 OR simulation >= 0.6) AND (total >= 1 OR terms >= 3) AS strict,
+CASE gone WHEN 1 THEN 0.15 WHEN 2 THEN 0.18 WHEN 3 THEN least(score, 0.3) ELSE score END AS score, CASE gone WHEN 0 THEN simulation WHEN 3 THEN 0.1 ELSE 0.05 END AS simulation, CASE gone WHEN 0 THEN class WHEN 1 THEN 'OTHER:VULNERABILITY_ADVISORY' ELSE 'GENERIC_NEWS:CAMPAIGN_INTEL' END AS class, noise, emerging FROM o""")
+def qualified_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, most with evidence, phases, noise or terms put before its text, at three levels."""
+    lead = F.lit("")
+    for i, x in enumerate(_LEADS):
+        lead = F.when(F.col("doc_id") % 7 == i, x).otherwise(lead)
+    docs = t(spark, d, "documents").select("doc_id", F.concat(lead, F.coalesce("text", F.lit(""))).alias("text"), F.lit("").alias("title"))
+    found = qy.qualify(docs)
+    return found.select("doc_id", "qualified.*", "score", "simulation", F.concat("classification", F.lit(":"), "kind").alias("class"), "noise", "emerging")
