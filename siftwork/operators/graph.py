@@ -128,11 +128,13 @@ def related_through(e: DataFrame, node: object, first_hops: int = 60, limit: int
     """Nodes two steps away and not one: (peer, score, through). Each path adds
     the product of its strengths over log2(2 + the middle's degree); scores are
     relative to the best one."""
-    adj = both_ways(e.withColumn("s", strength(F.col("weight"), F.col("confidence"), F.col("stated")))).groupBy("node", "peer").agg(F.max("s").alias("s"))
-    near = adj.where(F.col("node") == node).select(F.col("peer").alias("mid"), F.col("s").alias("s1"))
+    ends = both_ways(e.withColumn("s", strength(F.col("weight"), F.col("confidence"), F.col("stated")))).select("node", "peer", "s")
+    near = ends.where(F.col("node") == node).groupBy(F.col("peer").alias("mid")).agg(F.max("s").alias("s1"))
     first = near.orderBy(F.desc("s1"), "mid").limit(first_hops)
-    degree = adj.groupBy("node").agg(F.count("*").alias("deg")).withColumnRenamed("node", "mid")
-    far = first.join(degree, "mid").join(adj.withColumnRenamed("node", "mid"), "mid").where(F.col("peer") != node)
+    # Only the middles' edges are looked at further: first_hops rows to join them by.
+    of_mid = ends.withColumnRenamed("node", "mid").join(F.broadcast(first), "mid").groupBy("mid", "s1", "peer").agg(F.max("s").alias("s"))
+    degree = of_mid.groupBy("mid").agg(F.count("*").alias("deg"))
+    far = of_mid.join(F.broadcast(degree), "mid").where(F.col("peer") != node)  # a row a middle
     far = far.join(near.select(F.col("mid").alias("peer")), "peer", "left_anti")
     sums = far.groupBy("peer").agg(F.sum(F.col("s1") * F.col("s") / F.log2(2 + F.col("deg"))).alias("x"), F.count("*").alias("through"))
     top = sums.agg(F.max("x").alias("top"))

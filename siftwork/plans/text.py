@@ -40,8 +40,11 @@ def token_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM x GROUP BY 1 ORDER BY df DESC, term LIMIT 100""")
 def document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    per = t(spark, d, "documents").select("doc_id", F.explode(tx.plain_runs(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("k"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("k").alias("tf")).orderBy(F.desc("df"), "term").limit(100)
+    """One shuffle, by term: each row gives its terms to count, and its distinct ones to count documents."""
+    one = lambda tf, df, terms: F.struct(F.lit(tf).alias("tf"), F.lit(df).alias("df"), terms.alias("terms"))
+    both = tx.let(tx.plain_runs(F.col("text")), lambda r: F.array(one(1, 0, r), one(0, 1, F.array_distinct(r))))
+    each = t(spark, d, "documents").select(F.explode(both).alias("x")).select("x.tf", "x.df", F.explode("x.terms").alias("term"))
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).orderBy(F.desc("df"), "term").limit(100)
 
 
 @query("""SELECT doc_id, ip FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}'))) AS ip FROM documents)
