@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from siftwork.plans import claims, graph, library, lists, relational, search, state, text, views  # noqa: F401
+    from siftwork.plans import claims, formats, graph, library, lists, relational, search, state, text, views  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,12 @@ def feed_links(html: str | None) -> list[str]:
     return list(dict.fromkeys(x[2] for x in sorted(out)))
 
 
+def discover_feeds(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, n, url): the feeds that pages declare, best first."""
+    parse = _table("array<string>", feed_links)
+    return pages.select(key, F.posexplode(parse(html)).alias("n", "url"))
+
+
 def page_urls(pattern: Column, first: Column, last: Column) -> Column:
     """Addresses of a numbered series: {page} in the pattern runs from first to last."""
     return F.transform(F.sequence(first, last), lambda i: F.replace(pattern, F.lit("{page}"), i.cast("string")))
