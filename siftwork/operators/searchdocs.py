@@ -8,14 +8,18 @@ the documents and need not be handed in.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.functions import text as T
 from siftwork.operators import engine as en
+from siftwork.operators import listing as ls
 from siftwork.operators import phrases as ph
+from siftwork.operators import search as sr
 
 #: kind, id, name, via (the name that the document uses most), count, rel (self, mention or uses).
 ENTITY = "struct<kind:string,id:string,name:string,via:string,count:bigint,rel:string>"
@@ -260,22 +264,127 @@ def _of(kind: str, i: str) -> Column:
     return F.filter("entities", lambda e: (e["kind"] == kind) & (e["id"] == i))
 
 
-def meant_boosts(docs: DataFrame, m: Meaning) -> DataFrame:
-    """(id, boost, parts) of search documents by what a query means, from their own lists."""
+def relation(techniques: Column, t: str) -> Column:
+    """exact, sub or parent: how a document's techniques have one; null if they don't."""
+    kin = F.exists(techniques, lambda x: x == t.split(".")[0]) if "." in t else F.exists(techniques, lambda x: x.startswith(t + "."))
+    return F.when(F.array_contains(techniques, t), "exact").when(kin, "parent" if "." in t else "sub")
+
+
+#: Points for a technique that a document of a kind names itself, or a relative of; fixed values.
+TECHNIQUE_POINTS = {"technique": (8.0, 2.0), "report": (3.0, 1.5), "other": (0.6, 0.3)}
+#: Points for an entity that a card uses; fixed value.
+USES = 0.8
+
+
+def meant_boosts(docs: DataFrame, m: Meaning, intent: list[str] | None = None) -> DataFrame:
+    """(id, boost, parts) of search documents by what a query means, from their own lists.
+    intent: document types that its words ask for."""
     parts: dict[str, Column] = {}
     for kind, i in m.entities:
         mine = _of(kind, i)
-        own = F.exists(mine, lambda e: e["rel"] == "self")
         count = F.aggregate(mine, F.lit(0).cast("bigint"), lambda a, e: a + e["count"])
-        titled = F.exists(mine, lambda e: F.lower("title").contains(F.lower(e["via"])))
-        parts[f"{kind} {i}"] = F.when(own, en.BOOSTS["entity_self"]).otherwise(en.mention_boost(count, titled & (count > 0)))
+        titled = F.exists(mine, lambda e: F.lower("title").contains(F.lower(e["via"])) | F.lower("title").contains(F.lower(e["name"])))
+        own, used = _has_rel(mine, "self"), _has_rel(mine, "uses")
+        parts[f"{kind} {i}"] = F.when(own, en.BOOSTS["entity_self"]).when(used, USES).otherwise(en.mention_boost(count, titled & (count > 0)))
     for t in m.techniques:
-        own = F.when(F.col("technique_rel") == "self", F.get("techniques", F.lit(0)))
-        parts[t] = en.technique_boost(F.col("techniques"), t, own)
+        how = relation(F.col("techniques"), t)
+        points = F.lit(0.0)
+        for kind, (exact, near) in TECHNIQUE_POINTS.items():
+            mine = ~F.col("kind").isin("technique", "report") if kind == "other" else F.col("kind") == kind
+            points = F.when(mine & (how == "exact"), exact).when(mine & how.isNotNull(), near).otherwise(points)
+        parts[t] = points
     for t in m.tactics:
-        parts[t] = F.when(F.array_contains("tactics", t), en.BOOSTS["tactic"]).otherwise(0.0)
+        parts[t] = F.when(_lowered("tactics", t), en.BOOSTS["tactic"]).otherwise(0.0)
     for c in m.cves:
         parts[c] = F.when(F.array_contains("cves", c), en.BOOSTS["cve"]).otherwise(0.0)
+    if intent:
+        parts["document type"] = F.when(F.arrays_overlap("doc_types", F.array(*map(F.lit, intent))), en.BOOSTS["intent"]).otherwise(0.0)
     if not parts:
         return docs.select("id", F.lit(0.0).alias("boost"), F.array().cast("array<struct<part:string,add:double>>").alias("parts"))
     return en.boosts(docs, "id", parts)
+
+
+def _has_rel(entities: Column, rel: str) -> Column:
+    return F.exists(entities, lambda e: e["rel"] == rel)
+
+
+def _lowered(column: str, value: str) -> Column:
+    return F.exists(column, lambda x: F.lower(x) == value.lower())
+
+
+#: Fields of a query that name an entity, and the kinds that they look among.
+ENTITY_FIELDS = {"actor": ("group", "campaign"), "malware": ("software",), "campaign": ("campaign",)}
+FLAGS = {"iocs": "has_iocs", "emulation": "has_emulation", "evidence": "has_evidence"}
+
+
+def hard_filter(q: sr.Query, aliases: DataFrame, techniques: DataFrame, synonyms: DataFrame, tactics: list[str]) -> tuple[Column, list[str]]:
+    """Whether a search document passes all of a query's conditions, and what of them
+    was not understood. Entities, techniques and tactics are looked up by
+    name; an entity that no table knows is sought in the text. Reports need a day for a
+    date window, cards pass it."""
+    spark, warnings, f = aliases.sparkSession, list(q.warnings), q.filters
+    flat = T.flatten_text(F.concat_ws(" ", "title", "aliases", "summary", "body"))
+    ok = F.lit(True)
+
+    def both(hit: Column, negated: bool) -> None:
+        nonlocal ok
+        ok &= ~F.coalesce(hit, F.lit(False)) if negated else F.coalesce(hit, F.lit(False))
+
+    named = [(kind, v, no) for kind in ENTITY_FIELDS for v, no in f.get(kind, [])]
+    known: dict[tuple[str, str], str] = {}
+    if named:
+        rows = aliases.where(F.lower("alias").isin([v.lower() for _, v, _ in named])).groupBy("kind", F.lower("alias").alias("low")).agg(F.min("id").alias("id"))
+        known = {(r.kind, r.low): r.id for r in rows.collect()}  # a query's names
+    for name, v, no in named:
+        hit = next(((k, known[k, v.lower()]) for k in ENTITY_FIELDS[name] if (k, v.lower()) in known), None)
+        both(F.size(_of(*hit)) > 0 if hit else flat.contains(v.lower()), no)
+    said = [v for v, _ in f.get("technique", []) if not re.fullmatch(r"(?i)t\d{4}(?:\.\d{3})?", v)]
+    ids = {}
+    if said:
+        asked = spark.createDataFrame([(v,) for v in said], "phrase string")
+        ids = {r.phrase: r.id for r in ph.match_phrases(asked, techniques, synonyms).groupBy("phrase").agg(F.min("id").alias("id")).collect()}  # a query's names
+    for v, no in f.get("technique", []):
+        t = v.upper() if v not in said else ids.get(v)
+        if t:
+            both(relation(F.col("techniques"), t).isNotNull(), no)
+        else:
+            warnings.append(f"technique:{v} is not known")
+    if f.get("tactic"):
+        words = {v: v.replace("-", " ").replace("_", " ") for v, _ in f["tactic"]}
+        asked = spark.createDataFrame([(w,) for w in words.values()], "phrase string")
+        stage = {r.phrase: r.tactic for r in ph.match_tactics(asked, tactics).collect()}  # a query's names
+        for v, no in f["tactic"]:
+            if words[v] in stage:
+                both(_lowered("tactics", stage[words[v]]), no)
+            else:
+                warnings.append(f"tactic:{v} is not known")
+    for v, no in f.get("cve", []):
+        c = f"CVE-{v}" if re.fullmatch(r"\d{4}-\d{4,7}", v) else v.upper()
+        if re.fullmatch(r"CVE-\d{4}-\d{4,7}", c):
+            both(F.array_contains("cves", c), no)
+        else:
+            warnings.append(f"cve:{v} is no identifier")
+    for name, of in (("type", ls.doc_types), ("tier", lambda v: [int(v)] if v in ("1", "2", "3", "4") else [])):
+        wanted, denied = [], []
+        for v, no in f.get(name, []):
+            (denied if no else wanted).extend(of(v))
+            if not of(v):
+                warnings.append(f"{name}:{v} is not known")
+        for values, no in ((wanted, False), (denied, True)):
+            if values:
+                both(F.arrays_overlap("doc_types", F.array(*map(F.lit, values))) if name == "type" else F.col("tier").isin(values), no)
+    low = F.lower("publisher")
+    for no in (False, True):
+        values = [v.lower() for name in ("publisher", "source") for v, n in f.get(name, []) if n == no]
+        if values:
+            both(functools.reduce(lambda a, v: a | low.contains(v), values, F.lit(False)), no)
+    for v, no in f.get("has", []):
+        if v.lower() in FLAGS:
+            both(F.col(FLAGS[v.lower()]), no)
+        else:
+            warnings.append(f"has:{v} is not known")
+    if q.since or q.until:
+        day = F.col("published_at").cast("string")
+        ok &= (F.col("kind") != "report") | F.coalesce(day.between(q.since or "0000", q.until or "9999"), F.lit(False))
+    bare = sr.Query(q.clauses, phrases=q.phrases, excluded=q.excluded)
+    return ok & sr.passes(bare, {}, flat), warnings

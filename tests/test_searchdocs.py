@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.operators import search as sr
 from siftwork.operators import searchdocs as sd
 
 TECHNIQUES = [("T1003", "OS Credential Dumping", ["Credential Access"], ["Windows"], ["Process"]), ("T1003.001", "OS Credential Dumping: LSASS Memory", ["Credential Access"], [], []), ("T1566", "Phishing", ["Initial Access"], None, None)]
@@ -73,5 +74,34 @@ def test_what_a_query_means(spark, t):
     got = {r.id: (round(r.boost, 3), sorted(p.part for p in r.parts)) for r in sd.meant_boosts(docs, m).collect()}
     # Four mentions and the title; both techniques; the identifier.
     assert got["1"] == (round(4 * (1 + min(1, 2.321928 / 3)) + 1 + 3 + 3 + 5, 3), ["CVE-2024-2222", "T1003.001", "T1566", "group G1"])
-    assert got["G1"] == (8.0 + 3 + 3, ["T1003.001", "T1566", "group G1"]) and got["T1566"][0] == 8.0 and got["T1003"] == (1.5, ["T1003.001"]) and got["3"] == (0.0, [])
+    assert got["G1"] == (8.0 + 0.6 + 0.6, ["T1003.001", "T1566", "group G1"]) and got["S1"] == (0.8 + 0.3, ["T1003.001", "group G1"]) and got["T1566"][0] == 8.0 and got["T1003"] == (2.0, ["T1003.001"]) and got["3"] == (0.0, [])
     assert sd.meant_boosts(docs, sd.Meaning()).where("boost <> 0").count() == 0
+
+
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ('actor:"Octo Fox"', {"1", "G1", "C1", "S1"}),
+        ("actor:unc1 -malware:ldr-x", {"C1"}),
+        ("actor:slept", {"1"}),
+        ("technique:T1003", {"1", "G1", "S1", "T1003", "T1003.001"}),
+        ("technique:T1003.001", {"1", "G1", "S1", "T1003", "T1003.001"}),
+        ("technique:phishing", {"1", "G1", "T1566"}),
+        ("tactic:initial-access type:report", {"1"}),
+        ("cve:2024-2222", {"1"}),
+        ("type:group", {"G1", "G2"}),
+        ("-type:group -type:technique -type:report", {"2", "3", "S1", "C1"}),
+        ("tier:1 type:software,mitre-campaign", {"S1"}),
+        ("publisher:attack has:iocs", set()),
+        ("since:2024-01 until:2024 -type:group", {"1", "S1", "C1", "T1003", "T1003.001", "T1566"}),
+        ('"the bear slept"', {"1"}),
+        ("type:report -octo", set()),
+    ],
+)
+def test_filters(spark, t, raw, want):
+    none = spark.createDataFrame([], "phrase string, id string")
+    q = sr.interpret(raw)
+    docs = reports(t).withColumn("doc_types", F.when(F.col("id") == "1", F.array(F.lit("THREAT_REPORT"))).otherwise(F.col("doc_types"))).unionByName(sd.knowledge_docs(t["cards"], t["links"], t["techniques"]))
+    keep, warnings = sd.hard_filter(q, t["aliases"], t["techniques"], none, ["Initial Access"])
+    assert {r.id for r in docs.where(keep).select("id").collect()} == want
+    assert bool(warnings) == ("mitre-campaign" in raw)
