@@ -9,8 +9,8 @@
    a bucket, pairs inside one component can't change the result any more. The
    members outside a bucket's main component are compared with all others in
    cells of bounded size: a first pass on minima finds the members that need
-   it, a second one intersects their full sets. Only links leave a cell, never
-   pairs. A pair that shares several buckets is looked at in the first one. So
+   it, a second one intersects their full sets. Only links that join components
+   leave a cell, never pairs. A pair that shares several buckets is looked at in the first one. So
    no link between different texts is lost, but for pairs that share no band:
    below 1e-8 at a similarity of 0.85.
 
@@ -170,21 +170,33 @@ def _needed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _linked(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links across components among the members of one cell, on full sets."""
-    ids, label = pdf["rep"].to_numpy(), pdf["label"].to_numpy()
+    """Links on full sets that join the components met in one cell: every member
+    that asks is compared with all that are asked, but components that links of
+    this cell have joined already are one, and two are joined by one link. So a
+    cell gives fewer links than it has components, and the same components."""
+    ids = pdf["rep"].to_numpy()
+    part, found = pd.factorize(pdf["label"])
+    part = part.astype(np.int64)
     size = pdf["set"].map(len).to_numpy()
     codes, distinct = pd.factorize(np.concatenate(pdf["set"].to_numpy()))
     off = np.concatenate([[0], np.cumsum(size)])
     there = pdf["asked"].to_numpy()
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b = [], []
     for i in np.flatnonzero(pdf["asks"].to_numpy()):
+        if len(a) == len(found) - 1:
+            break  # all are one
+        others = there & (part != part[i])
+        if not others.any():
+            continue
         mark = np.zeros(len(distinct), np.int32)
         mark[codes[off[i] : off[i + 1]]] = 1
         both = np.add.reduceat(mark[codes], off[:-1])  # sets of representatives are never empty
-        hits = np.flatnonzero(there & (label != label[i]) & (100 * both >= percent * (size + size[i] - both)))
-        a.append(np.minimum(ids[i], ids[hits]))
-        b.append(np.maximum(ids[i], ids[hits]))
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        hits = np.flatnonzero(others & (100 * both >= percent * (size + size[i] - both)))
+        for j in hits[np.unique(part[hits], return_index=True)[1]]:
+            a.append(min(ids[i], ids[j]))
+            b.append(max(ids[i], ids[j]))
+            part[part == part[j]] = part[i]
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85) -> DataFrame:

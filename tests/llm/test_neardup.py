@@ -66,3 +66,24 @@ def test_empty_and_repeated_rows(spark):
 def test_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
     assert {r.root for r in components(edges).collect()} == {0}
+
+
+def test_a_cell_gives_fewer_links_than_components():
+    """Sixty sets that are all alike and in components of their own: 59 links, whatever the pairs."""
+    import pandas as pd
+
+    from siftwork.llm.neardup import _linked
+
+    n = 60
+    pdf = pd.DataFrame({"rep": range(n), "label": range(n), "asks": True, "asked": True, "set": [list(range(100)) + [1000 + i] for i in range(n)]})
+    got = _linked(pdf, 85)
+    assert len(got) == n - 1 and (got["a"] < got["b"]).all()
+    root = list(range(n))
+    for a, b in got.itertuples(index=False):
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root)) == 1
+    pdf["set"] = [[i, i + n] for i in range(n)]
+    assert _linked(pdf, 85).empty
+    pdf["label"] = 5
+    pdf["set"] = [list(range(100))] * n
+    assert _linked(pdf, 85).empty
