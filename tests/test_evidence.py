@@ -175,3 +175,14 @@ def test_targeting(spark):
         (2, "platform", "Windows", "at_risk", 0.5, 1),
     ]
     assert ev.targeting(labelled, names.limit(0)).collect() == []
+
+
+def test_targeting_by_blocks_of_names_and_with_a_null_key(spark, monkeypatch):
+    monkeypatch.setattr(ev, "NAMES", 2)
+    said = [(None, 0, "Alpha and beta gamma. " * 50, "observed"), (None, 1, "Beta  gamma were hit", "observed"), (7, 0, "delta, epsilon; beta", "observed")]
+    labelled = spark.createDataFrame(said, "doc_id long, n int, sentence string, label string")
+    names = spark.createDataFrame([("x", n) for n in ("alpha", "beta gamma", "delta", "epsilon", "zeta")], "kind string, name string")
+    out = ev.targeting(labelled, names)
+    assert sorted((str(r.doc_id), r.name, r.mentions) for r in out.collect()) == [("7", "delta", 1), ("7", "epsilon", 1), ("None", "alpha", 1), ("None", "beta gamma", 2)]
+    shuffled = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert shuffled and not any("hashpartitioning(run#" in x for x in shuffled)  # sentences are not shuffled by their runs
