@@ -15,10 +15,10 @@ another of their run don't count; windows equal word for word always do.
 An item with fewer words is one window of all its words. Windows in which
 fewer than half the words are literal match word for word only, those without
 a literal word never. Items with fewer than LEAST_WORDS words are too short to
-be told apart inside a text: they match a text that has just their words. A
-window that over FRAME items share, such as a phrase that all questions begin
-with, doesn't bring a document and an item together, unless it is the item's
-rarest; it counts once another window has. A capital at an item's start is taken as a name
+be told apart inside a text: they match a text that has just their words. A document and an item are brought together by the item's rarest windows only:
+so many that no leak can do without one, and places that VERBATIM words in a row
+can't step over. Phrases that all questions begin with then join little, no leak
+is lost, and all windows count. A capital at an item's start is taken as a name
 or not, as the document has it; a stop word there has to be the same word.
 Null and empty texts match nothing.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from siftwork.functions.text import STOPWORDS, let
 from siftwork.session import stored
 
-WINDOW, LEAST_WORDS, FRAME = 8, 4, 16
+WINDOW, LEAST_WORDS = 8, 4
 #: Share of an item's windows that a document must hold to be taken as leaked.
 COVERED = 0.5
 #: Or so many of an item's words in a row, word for word.
@@ -146,10 +146,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             # Within the BLOCK bound. The words stay a reference until a window has met its like.
             found = found.unionByName(each.join(F.broadcast(own), ["size", "hash"]).select("doc_id", at.alias("pos"), "size", "hash", F.slice("words", at, F.col("size")).alias("words")))
     found = stored(found)
-    # Pairs by windows that few items share, or else by an item's rarest.
+    # A leak holds COVERED of an item's windows, or of those with a template: it can miss
+    # one of the rarest only if it has another of them. The rest may hold VERBATIM words
+    # in a row: of so many windows one is at a multiple.
     rarity = items.join(keys, ["size", "hash"])
-    least = rarity.groupBy("item_id").agg(F.min("same").alias("least"))
-    telling = rarity.join(least, "item_id").where((F.col("same") <= FRAME) | (F.col("same") == F.col("least"))).select("item_id", "size", "hash").distinct()
+    spots = rarity.groupBy("item_id", "at").agg(F.max("same").alias("same"), F.max("typed").alias("typed"))
+    rarest = W.partitionBy("item_id").orderBy("same", "at")
+    rarest_typed = W.partitionBy("item_id", "typed").orderBy("same", "at")
+    spots = spots.withColumn("r", F.row_number().over(rarest)).withColumn("of", F.count("*").over(W.partitionBy("item_id")))
+    spots = spots.withColumn("rt", F.row_number().over(rarest_typed)).withColumn("oft", F.count("*").over(W.partitionBy("item_id", "typed")))
+    enough = lambda r, of: F.col(r) <= F.col(of) - F.ceil(F.col(of) * COVERED) + 1
+    row = VERBATIM - WINDOW + 1
+    spots = spots.where(enough("r", "of") | (F.col("typed") & enough("rt", "oft")) | ((F.ceil(F.col("of") * COVERED) > row) & (F.col("at") % row == 0)))
+    telling = rarity.join(spots.select("item_id", "at"), ["item_id", "at"]).select("item_id", "size", "hash").distinct()
     paired = found.select("doc_id", "size", "hash").distinct().join(telling, ["size", "hash"]).select("doc_id", "item_id").distinct()
     theirs = found.withColumnRenamed("doc_id", "of")
     own = paired.join(items, "item_id")

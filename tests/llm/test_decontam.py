@@ -102,3 +102,15 @@ def test_recall_on_questions_asked_again(spark):
     docs = [(i, f"{filler(rng.randrange(3000))} {ask(i, ('Zoe', 'Max'), (7, 95), 'mi')} {filler(20)}") for i in range(40)]
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(i, i) for i in range(40)} <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_phrases_of_many_items_that_are_most_of_an_item_or_long(spark):
+    """No leak is lost where all that a document holds of an item stands in many items."""
+    word = lambda a, i: f"{a}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}"
+    most = " ".join(word("m", k) for k in range(14))  # 7 of 13 windows
+    long = " ".join(word("l", k) for k in range(20))  # 20 words in a row, 13 of 93 windows
+    items = [(i, most + " " + " ".join(word("n" + chr(97 + i), k) for k in range(6))) for i in range(20)]
+    items += [(100 + i, " ".join(word("p" + chr(97 + i), k) for k in range(3 * i)) + " " + long + " " + " ".join(word("q" + chr(97 + i), k) for k in range(80 - 3 * i))) for i in range(20)]
+    docs = [(1, "so " + most + " it was"), (2, "so " + long + " it was"), (3, "so " + most[: most.rindex(" ")] + " it was"), (4, long[: long.rindex(" ")])]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(1, i) for i in range(20)} | {(2, 100 + i) for i in range(20)}
