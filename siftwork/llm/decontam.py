@@ -15,8 +15,9 @@ another of their run don't count; windows equal word for word always do.
 An item with fewer words is one window of all its words. Windows in which
 fewer than half the words are literal match word for word only, those without
 a literal word never. Items with fewer than LEAST_WORDS words are too short to
-be told apart inside a text: they match a text that has just their words. A document and an item are brought together by the item's rarest windows only:
-so many that no leak can do without one, and places that VERBATIM words in a row
+be told apart inside a text: they match a text that has just their words. A
+document and an item are brought together by the item's rarest windows only: so
+many that no leak can do without one, and places that VERBATIM words in a row
 can't step over. Phrases that all questions begin with then join little, no leak
 is lost, and all windows count. A capital at an item's start is taken as a name
 or not, as the document has it; a stop word there has to be the same word.

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import text as T
 from siftwork.operators.versions import Versions
+from siftwork.session import forget, pieces, stored
 
 #: What a hit in a field counts; fixed values.
 WEIGHTS = {"title": 10.0, "actors": 8.0, "malware": 8.0, "cves": 8.0, "techniques": 7.0, "summary": 6.0, "body": 2.0}
@@ -70,35 +71,49 @@ class TextIndex:
 
     # -- Writing ---------------------------------------------------------------
 
-    def _postings(self, docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
-        lists = F.array(*[self.split(F.coalesce(columns[f].cast("string"), F.lit(""))) if f in columns else F.array().cast("array<string>") for f in self.fields])
-        rows = docs.select(F.col(self.key).alias("key"), lists.alias("lists")).withColumn("len", F.transform("lists", F.size))
-        each = rows.select("key", "len", F.posexplode("lists").alias("f", "terms")).select("key", "len", "f", F.explode("terms").alias("term"))
-        counts = [F.count_if(F.col("f") == i).cast("int") for i in range(len(self.fields))]
-        tf = each.groupBy("key", "term").agg(F.first("len").alias("len"), F.array(*counts).alias("tf"))
-        impact = reduce(lambda a, x: a + x, [F.col("tf")[i] * w for i, w in enumerate(self.fields.values())])
-        return tf.select("term", impact.alias("impact"), "key", "tf", "len"), rows
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", (F.crc32(F.col("term")) % self.buckets).cast("int"))
-
-    def _write_postings(self, name: str, postings: DataFrame) -> None:
-        """By ranges of (bucket, term, impact): a frequent term takes many tasks."""
-        by = [F.col("bucket"), F.col("term"), F.desc("impact"), F.col("key")]
-        out = self._bucketed(postings).repartitionByRange(*by).sortWithinPartitions(*by)
-        out.write.partitionBy("bucket").parquet(self._where(name, "postings"))
+    def _counted(self, docs: DataFrame, columns: dict[str, Column], parts: int) -> DataFrame:
+        """(key, term, n0, n1, ...): a field's length and count of the term
+        in one number each. Texts are dealt by key, so that a document's terms are counted
+        where it is: a shuffle of the texts instead of their terms. Each document has one
+        more row, without a term. Aggregates of plain numbers are hashed, not sorted."""
+        of = [columns[f].cast("string") if f in columns else F.lit(None).cast("string") for f in self.fields]
+        texts = docs.select(F.col(self.key).alias("key"), *[c.alias(f"f{i}") for i, c in enumerate(of)]).repartition(parts, "key")
+        rows = texts.select("key", F.array(*[self.split(F.coalesce(f"f{i}", F.lit(""))) for i in range(len(of))]).alias("lists"))
+        each = rows.select("key", *[F.size(F.col("lists")[i]).alias(f"l{i}") for i in range(len(of))], F.posexplode("lists").alias("f", "terms"))
+        terms = F.when(F.col("f") == 0, F.concat("terms", F.array(F.lit(None).cast("string")))).otherwise(F.col("terms"))
+        each = each.select("key", *[f"l{i}" for i in range(len(of))], "f", F.explode(terms).alias("term"))
+        n = [F.shiftleft(F.first(f"l{i}").cast("bigint"), 32) + F.count_if((F.col("f") == i) & F.col("term").isNotNull()) for i in range(len(of))]
+        return each.groupBy("key", "term").agg(*[c.alias(f"n{i}") for i, c in enumerate(n)])
+
+    def _packed(self, tf: Column, length: Column) -> list[Column]:
+        return [(F.shiftleft(length[i].cast("bigint"), 32) + tf[i]).alias(f"n{i}") for i in range(len(self.fields))]
+
+    def _bucket(self) -> Column:
+        return (F.crc32(F.col("term")) % self.buckets).cast("int")
+
+    def _write_postings(self, name: str, postings: DataFrame, parts: int) -> None:
+        """By ranges of (bucket, term, impact): a frequent term takes many tasks. What
+        follows from a row's term and counts is left out of the shuffle."""
+        ns = [F.col(f"n{i}") for i in range(len(self.fields))]
+        tf, length = [x.cast("int") for x in (n.bitwiseAND(F.lit((1 << 32) - 1)) for n in ns)], [F.shiftright(n, 32).cast("int") for n in ns]
+        impact = reduce(lambda a, x: a + x, [c * w for c, w in zip(tf, self.fields.values(), strict=True)])
+        dealt = postings.select("term", "key", *ns).repartitionByRange(parts, self._bucket(), F.col("term"), F.desc(impact), F.col("key"))
+        out = dealt.select("term", impact.alias("impact"), "key", F.array(*tf).alias("tf"), F.array(*length).alias("len"), self._bucket().alias("bucket"))
+        out.sortWithinPartitions("bucket", "term", F.desc("impact"), "key").write.partitionBy("bucket").parquet(self._where(name, "postings"))
 
     def _write_terms(self, name: str, terms: DataFrame) -> None:
-        out = self._bucketed(terms)
+        out = terms.withColumn("bucket", self._bucket())
         out.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(self._where(name, "terms"))
 
     def add(self, docs: DataFrame, columns: dict[str, Column]) -> None:
         """Index a batch; documents whose key is indexed already are replaced. Keys
         are distinct within a batch and not null."""
         v, names, new = self.version(), self.segments(), f"s{uuid.uuid4().hex}"
-        postings, rows = self._postings(docs, columns)
-        self._write_postings(new, postings)
-        rows.select("key", "len").write.parquet(self._where(new, "docs"))
+        parts = pieces(docs)
+        staged = stored(self._counted(docs, columns, parts))
+        self._write_postings(new, staged.where("term IS NOT NULL"), parts)
+        staged.where("term IS NULL").select("key", F.array(*[F.shiftright(f"n{i}", 32).cast("int") for i in range(len(self.fields))]).alias("len")).coalesce(parts).write.parquet(self._where(new, "docs"))
+        forget(staged)
         held, keys = self._read(new, "postings"), self._read(new, "docs")
         old = self._live(names, "docs") if names else None
         gone = (old.select("key") if old is not None else keys.select("key").limit(0)).join(keys, "key", "left_semi")
@@ -124,7 +139,8 @@ class TextIndex:
         v, names, new = self.version(), self.segments(), f"s{uuid.uuid4().hex}"
         if len(names) < 2:
             return
-        self._write_postings(new, self._live(names, "postings").drop("bucket"))
+        live = self._live(names, "postings")
+        self._write_postings(new, live.select("term", "key", *self._packed(F.col("tf"), F.col("len"))), pieces(live))
         self._live(names, "docs").write.parquet(self._where(new, "docs"))
         self._read(new, "docs").select("key").limit(0).write.parquet(self._where(new, "gone"))
         self._write_terms(new, self._read(new, "postings").groupBy("term").agg(F.count("*").alias("docs"), F.max("impact").alias("top")))

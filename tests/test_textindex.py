@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import text as tx
 from siftwork.operators import search as sr
 from siftwork.operators.textindex import TextIndex
-from siftwork.session import shared_dir
+from siftwork.session import pieces, shared_dir
 
 WORDS = ["alpha", "beta", "gamma", "delta", "loader", "beacon", "cve-2024-1234", "t1059.001", "host", "rare"]
 FIELDS = {"title": 10.0, "cves": 8.0, "body": 2.0}
@@ -111,3 +111,13 @@ def test_two_writers(spark, index):
     add(spark, index, texts(range(5), 8))
     with pytest.raises(RuntimeError):
         index._publish(["x"], 0)
+
+
+def test_texts_are_shuffled_instead_of_their_terms(spark, tmp_path):
+    """Terms of a document are counted by a hash where its texts are; parts follow the input."""
+    spark.createDataFrame(texts(range(50), 3), "doc_id long, title string, cves string, body string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert pieces(df, 1) > 1000 and pieces(df) == spark.sparkContext.defaultParallelism
+    index = TextIndex(spark, shared_dir(spark), FIELDS, split=tx.plain_runs)
+    text = index._counted(df, {"body": F.col("body")}, 5)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "hashpartitioning(key" in text and "SortAggregate" not in text
