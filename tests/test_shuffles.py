@@ -1,9 +1,12 @@
 """Rows that queries shuffle: in step with their input, not with the pairs that they look at."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork.operators import context as cx
+from siftwork.operators import graph as g
 
 
 @pytest.fixture
@@ -34,3 +37,31 @@ def test_related_shuffles_lists_of_far_ends(joins):
     got, rows = shuffled(joins, lambda: cx.related(edges, nodes, edges.select(F.col("source").alias("seed"))))
     assert len(got) == n * 10
     assert rows < 25 * n * n  # paths of two steps: n * n * n
+
+
+def test_similar_shuffles_lists_of_nodes(joins):
+    """Lines and points of a plane: any two lines meet in one point or none."""
+    p = 31
+    x = F.col("id") % p
+    m, c = F.floor(F.col("id") / p) % p, F.floor(F.col("id") / p**2)
+    links = joins.range(p**3).select(F.concat(m, F.lit("_"), c).alias("node"), (x * p + (m * x + c) % p).alias("feature"))
+    got, rows = shuffled(joins, lambda: g.similar(links, 1, 0.0))
+    assert len(got) == p**3 * (p - 1) // 2 and {r.shared for r in got} == {1}
+    assert rows - 2 * len(got) < 10 * p**3  # pairs found are told their nodes' weights: two shuffles
+
+
+def test_long_lists_meet_by_blocks(spark, monkeypatch):
+    """Features of more nodes than a list holds, for all nodes and for some."""
+    monkeypatch.setattr(g, "BLOCK", 3)
+    links = spark.createDataFrame([(f"n{i}", f) for i in range(10) for f in range(5) if (i + f) % (f + 1) == 0 or i % 3 == f % 3], "node string, feature int")
+    has = {}
+    for r in links.collect():
+        has.setdefault(r.node, set()).add(r.feature)
+    df = {f: sum(f in v for v in has.values()) for f in range(5)}
+    w = lambda fs: sum(math.log(1 + len(has) / df[f]) for f in fs)
+    want = {(a, b): (len(has[a] & has[b]), math.floor(w(has[a] & has[b]) / w(has[a] | has[b]) * 100 + 0.5) / 100) for a in has for b in has if a < b and len(has[a] & has[b]) >= 2}
+    got = {(r.a, r.b): (r.shared, r.score) for r in g.similar(links, 2, 0.0).collect()}
+    assert got == want and max(df.values()) > 6
+    seeds = spark.createDataFrame([("n4",), ("n1",), ("n9",)], "seed string")
+    some = {(r.seed, r.node): r.shared for r in cx.similar(links, seeds, 99, 2, 0.0).collect()}
+    assert some == {p: v[0] for (a, b), v in want.items() for p in ((a, b), (b, a)) if p[0] in ("n1", "n4", "n9")}
