@@ -65,3 +65,27 @@ def test_long_lists_meet_by_blocks(spark, monkeypatch):
     seeds = spark.createDataFrame([("n4",), ("n1",), ("n9",)], "seed string")
     some = {(r.seed, r.node): r.shared for r in cx.similar(links, seeds, 99, 2, 0.0).collect()}
     assert some == {p: v[0] for (a, b), v in want.items() for p in ((a, b), (b, a)) if p[0] in ("n1", "n4", "n9")}
+
+
+def test_facts_of_reports_shuffle_once(joins):
+    """Each report names eight actors and eight tools of its own: its facts go to their edges, and nowhere before."""
+    reports, k = 200, 8
+    rows = joins.range(reports * k).select(F.floor(F.col("id") / k).alias("report"), F.col("id"))
+    named = rows.select("report", F.concat(F.lit("a"), "id").alias("node"), F.lit("actor").alias("kind"), F.lit(0.8).alias("confidence")).union(rows.select("report", F.concat(F.lit("t"), "id"), F.lit("tool"), F.lit(0.5)))
+    stated = joins.createDataFrame([("a0", "uses", "t1", 0, 0.2), ("x", "uses", "y", 999, 0.7)], "source string, predicate string, target string, report long, confidence double")
+    f = g.co_reported(named, stated, {("actor", "tool"): ("uses", 0.6)}).withColumn("seen", F.lit(None).cast("date"))
+    got, rows = shuffled(joins, lambda: g.edges(f))
+    assert len(got) == reports * k * k + 1
+    found = {(r.source, r.target): (r.confidence, r.weight, r.stated) for r in got}
+    assert (found["a0", "t1"], found["a0", "t2"], found["x", "y"]) == ((0.5, 1, 1), (0.3, 1, 0), (0.7, 1, 1))
+    assert rows < 1.5 * len(got)
+
+
+def test_links_shuffle_by_type_and_node(joins):
+    n = 30
+    edges = joins.range(n * n).select(F.concat(F.lit("s"), F.floor(F.col("id") / n)).alias("source"), F.concat(F.lit("p"), F.col("id") % n).alias("target"), F.lit("x").alias("predicate"), F.lit(0.5).alias("confidence"), (F.col("id") % 7 + 1).alias("weight"), F.lit(0).alias("stated"))
+    nodes = edges.select(F.col("source").alias("node"), F.lit("actor").alias("type")).union(edges.select("target", F.lit("tool"))).distinct().persist()
+    nodes.count()
+    got, rows = shuffled(joins, lambda: cx.links(edges, nodes, nodes.select(F.col("node").alias("seed"))))
+    assert len(got) == 2 * n and {(r.total, len(r["items"])) for r in got} == {(n, 8)}
+    assert rows < 7 * n * n  # both ends of an edge, by peer and by node
