@@ -53,3 +53,11 @@ def test_earlier_checks_and_settings(spark):
 def test_terms_are_whole_words(spark):
     df = spark.createDataFrame([("adapts beacons",), ("apt, (beacon) cve-2024-1",), ("ntdsxdit ntds.dit",), ("",)], "t string")
     assert [r[0] for r in df.select(q.term_count(F.col("t"))).collect()] == [0, 3, 1, 0]
+
+
+def test_terms_are_looked_for_plainly_first(spark):
+    """A regular expression is run only where a text has the term's letters; whole words count as before."""
+    df = spark.createDataFrame([("an apt, cve-1 and mitre att&ck.",), ("adapt xcve-1 ntdsxdit",), ("ntds.dit",), ("",)], "low string")
+    counted = df.select(q.term_count(F.col("low")).alias("n"))
+    assert [r.n for r in counted.collect()] == [3, 0, 1, 0]
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Contains(low") >= len(q.TERMS)
