@@ -7,14 +7,21 @@ ordinary DataFrames, and what is counted or matched is joined and grouped.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from siftwork.functions.batches import pieces
 
 # Query parameters that don't change a page.
 TRACKING = frozenset("fbclid gclid gclsrc dclid msclkid mc_cid mc_eid igshid ref ref_src ref_url source cmpid spm share print amp output".split())
@@ -221,14 +228,12 @@ def article_prose(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 # What stands before a point that ends no sentence, and list marks before a piece.
 _ABBREVIATION = re.compile(r"(?i)(?:^|[\s(])(?:e\.g|i\.e|etc|vs|inc|ltd|corp|co|no|nos|fig|figs|mr|mrs|ms|dr|st|approx|al|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec|u\.s|u\.k|[a-z])$")
 _MARK = re.compile(r"(?:[\s\u00a0]|[•·▪●◦‣■□►▶✓✔]|[-*–—+](?=\s)|\(?\d{1,2}[.)](?=\s)|\(?[a-z][.)](?=\s))+")
+_SOLID = re.compile("[A-Za-z0-9]")
 _CUT = re.compile("(?P<stop>[.!?]+[\"'”’)\\]]*)(?=[^\\S\\n\\r]+[\"'“‘(\\[]?[A-Z0-9•])|[^\\S\\n\\r](?=[•▪●◦‣][^\\S\\n\\r])|[\\n\\r]+")
 
 
-def sentences(text: str | None) -> list[dict]:
-    """start, end and sentence, exact slices, and before: what stands between it and
-    the one before (null for the first). Line ends, list marks inside a line, and
-    points before a capital end a sentence; abbreviations don't."""
-    text, out, at = text or "", [], 0
+def _spans(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
     for m in [*_CUT.finditer(text), None]:
         end = len(text) if m is None else m.end() if m["stop"] else m.start()
         if m and m["stop"] == "." and _ABBREVIATION.search(text[max(at, m.start() - 12) : m.start()]):
@@ -236,18 +241,50 @@ def sentences(text: str | None) -> list[dict]:
         piece = text[at:end]
         mark = _MARK.match(piece)
         s, e = at + (mark.end() if mark else 0), at + len(piece.rstrip())
-        if e - s >= 2 and re.search("[A-Za-z0-9]", text[s:e]):
-            out.append({"start": s, "end": e, "sentence": text[s:e], "before": text[out[-1]["end"] : s] if out else None})
+        if e - s >= 2 and _SOLID.search(text, s, e):
+            yield s, e
         at = end
+
+
+def sentences(text: str | None) -> list[dict]:
+    """start, end and sentence, exact slices, and before: what stands between it and
+    the one before (null for the first). Line ends, list marks inside a line, and
+    points before a capital end a sentence; abbreviations don't."""
+    text, out = text or "", []
+    for s, e in _spans(text):
+        out.append({"start": s, "end": e, "sentence": text[s:e], "before": text[out[-1]["end"] : s] if out else None})
     return out
 
 
+def _said(texts: pa.Array) -> tuple[pa.Array, list[pa.Array]]:
+    """Of every sentence of texts: the row it comes from, then its number among the row's, and what sentences() tells."""
+    of, n, start, end, said, before = array("i"), array("i"), array("i"), array("i"), [], []
+    for i, text in enumerate(texts.to_pylist()):
+        last = None
+        for k, (s, e) in enumerate(_spans(text or "")):
+            of.append(i)
+            n.append(k)
+            start.append(s)
+            end.append(e)
+            said.append(text[s:e])
+            before.append(None if last is None else text[last:s])
+            last = e
+    ints = [pa.array(np.frombuffer(x, np.int32)) if len(x) else pa.array([], pa.int32()) for x in (of, n, start, end)]
+    return ints[0], [*ints[1:], pa.array(said, pa.string()), pa.array(before, pa.string())]
+
+
 def split_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    @F.pandas_udf("array<struct<start:int,end:int,sentence:string,before:string>>")
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(sentences)
+    """(key, n, start, end, sentence, before): a row a sentence, as sentences() tells them."""
+    rows = docs.select(key, text)
+    schema = StructType([rows.schema[0]]).add("n", "integer").add("start", "integer").add("end", "integer").add("sentence", "string").add("before", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, to in pieces(b.column(1)):
+                of, told = _said(b.column(1)[at:to])
+                yield pa.RecordBatch.from_arrays([b.column(0)[at:to].take(of), *told], schema.names)
 
-    return docs.select(key, F.posexplode(run(text)).alias("n", "s")).select(key, "n", "s.*")
+    return rows.mapInArrow(run, schema)
 
 
 def technique_evidence(labelled: DataFrame, key: str = "doc_id") -> DataFrame:

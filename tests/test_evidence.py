@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,33 @@ def test_targeting_by_blocks_of_names_and_with_a_null_key(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.name, r.mentions) for r in out.collect()) == [("7", "delta", 1), ("7", "epsilon", 1), ("None", "alpha", 1), ("None", "beta gamma", 2)]
     shuffled = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
     assert shuffled and not any("hashpartitioning(run#" in x for x in shuffled)  # sentences are not shuffled by their runs
+
+
+def test_looks_before_patterns_change_no_label(spark, monkeypatch):
+    """Sentences of pieces, whole matches and other words: as told by every pattern on every sentence."""
+    rng = random.Random(4)
+    whole = "no evidence|did not|couldn’t find|cannot confirm|was not seen|has not been observed|is a sub-technique|adversaries may|if an attacker|for instance|can be abused|can  use|it is important to|is recommended|Microsoft Defender for Endpoint detects|APT 29 group also ran|Volt Typhoon uses|we have found|defense evasion|evade the detection|avoids detection|T1059.001 Shell | no evidence|level: high|title =|$a = \"x\"|x|contains|has_any|SecurityEvent|DeviceFileEvents|alert tcp|rule x {|MITRE ATT&CK defines|used by attackers|abused by adversaries".split("|")
+    pieces = [x for xs in ev.NEEDS.values() for x in xs] + whole * 3 + "the a threat actor operators have could was been to of on İ ſ x_ T105 user-must".split() * 4
+    said = [None, ""] + [rng.choice(["", " ", "- "]) + "".join(rng.choice([x, x, x.upper(), x.title()]) + rng.choice([" ", " ", " ", "-", ". ", ""]) for x in rng.choices(pieces, k=rng.choice([1, 2, 4]))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, s, rng.choice([None, None, None, "Mitigations", "Overview"])) for i, s in enumerate(said)], "i int, s string, h string").cache()
+    label = lambda: [tuple(r) for r in df.select("i", "s", ev.sentence_label(F.col("s"), F.col("h")), ev.is_rule(F.col("s"))).orderBy("i").collect()]
+    plain = "The loader was placed on the first of these hosts by them."
+    told = [*ev.RULE_SYNTAX, ev.MAPPING_ROW, *ev.NEGATION, *ev.REFERENCE, *ev.CONDITIONAL, *ev.ADVICE_START, *ev.ADDRESSED, ev.DEFENSIVE_WORDS, ev.MODAL]
+    assert not df.select(ev.hinted(F.lit(plain), told, F.lower(F.lit(plain)))).first()[0]
+    got = label()
+    monkeypatch.setattr(ev, "NEEDS", {})
+    assert got == label()
+
+
+def test_sentences_come_piece_by_piece(spark, monkeypatch):
+    """A row a sentence under a key of any type, with pieces of a few bytes as with one of all."""
+    rows = [((i, "k"), t) for i, t in enumerate([None, "", "One ran. Then two!\n- three", "Über é ran. So é did. " * 30, " \n", "x" * 50])]
+    df = spark.createDataFrame(rows, "k struct<a: long, b: string>, text string").coalesce(1)
+    want = [(k, n, s["start"], s["end"], s["sentence"], s["before"]) for k, t in rows for n, s in enumerate(ex.sentences(t))]
+    got = [(tuple(r[0]), *r[1:]) for r in ex.split_sentences(df, "k").orderBy("k.a", "n").collect()]
+    assert got == want
+    from siftwork.functions.batches import pieces
+
+    texts = pa.array([t for _, t in rows])
+    cut = list(pieces(texts, 20))
+    assert [a for a, _ in cut] + [len(rows)] == [0] + [b for _, b in cut] and all(b == a + 1 or sum(len((t or "").encode()) for _, t in rows[a:b]) <= 20 for a, b in cut)
