@@ -6,10 +6,13 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwork.functions.batches import pieces
+
 #: Bits of the hash's four bands: two hashes within 3 bits share one band whole.
 BANDS, NEAR, LEAST_TOKENS = 4, 3, 80
 #: Rows over which a class is dealt when its members look for their representative.
@@ -19,15 +22,17 @@ SALTS = 32
 def normalized(text: Column) -> Column:
     """Unicode compatibility form without marks, list and heading marks, lower case, one blank between words."""
 
-    @F.pandas_udf("string")
-    def fold(col: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str:
-            t = unicodedata.normalize("NFKD", t or "")
-            return "".join(c for c in t if not unicodedata.combining(c)) if not t.isascii() else t
+    @F.arrow_udf("string")
+    def fold(col: pa.Array) -> pa.Array:
+        def one(t: str | None) -> str | None:
+            return t and "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
-        return col.map(one)
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(map(one, col[at:to].to_pylist()), pa.string()) for at, to in pieces(col))])
 
-    out = F.regexp_replace(fold(text), r"(?m)^\s*(?:[-*+#>]+|\d+[.)])\s+", " ")
+    # An ASCII text is its own form and stays where it is.
+    odd = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    folded = F.coalesce(fold(odd), text, F.lit(""))
+    out = F.regexp_replace(folded, r"(?m)^\s*(?:[-*+#>]+|\d+[.)])\s+", " ")
     out = F.regexp_replace(F.lower(out), r"[^\p{L}\p{N}.]+|\.(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\.", " ")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
@@ -55,14 +60,14 @@ def title_publisher_hash(title: Column, publisher: Column) -> Column:
 def simhash64(text: Column) -> Column:
     """64 sign votes of words (by count) and runs of three words (one each)."""
 
-    @F.pandas_udf("long")
-    def votes(col: pd.Series) -> pd.Series:
-        out = np.zeros(len(col), np.int64)
+    @F.arrow_udf("long")
+    def votes(col: pa.Array) -> pa.Array:
         shift = np.arange(64, dtype=np.uint64)
-        for i, t in enumerate(col):
+
+        def one(t: str | None) -> int:
             words = (t or "").split()
             if not words:
-                continue
+                return 0
             code, uniq = pd.factorize(np.array(words, object))
             h = pd.util.hash_array(np.asarray(uniq, object), categorize=False)
             weight = np.bincount(code).astype(np.float64)
@@ -71,11 +76,12 @@ def simhash64(text: Column) -> Column:
                 tri = np.unique((w[:-2] * np.uint64(31) + w[1:-1]) * np.uint64(1_000_003) + w[2:] * np.uint64(0x9E3779B97F4A7C15))
                 h, weight = np.concatenate([h, tri]), np.concatenate([weight, np.ones(len(tri))])
             total = np.zeros(64)
-            for at in range(0, len(h), 8192):  # bounded memory for long texts
-                bits = (h[at : at + 8192, None] >> shift) & np.uint64(1)
-                total += (weight[at : at + 8192, None] * (bits.astype(np.float64) * 2 - 1)).sum(axis=0)
-            out[i] = np.bitwise_or.reduce((total > 0).astype(np.uint64) << shift).astype(np.int64)
-        return pd.Series(out)
+            for at in range(0, len(h), 2048):  # bounded memory for long texts
+                bits = (h[at : at + 2048, None] >> shift) & np.uint64(1)
+                total += (weight[at : at + 2048, None] * (bits.astype(np.float64) * 2 - 1)).sum(axis=0)
+            return int(np.bitwise_or.reduce((total > 0).astype(np.uint64) << shift).astype(np.int64))
+
+        return pa.array([one(t) for at, to in pieces(col) for t in col[at:to].to_pylist()], pa.int64())
 
     return votes(text)
 
