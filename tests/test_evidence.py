@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.functions.batches import pieces
 from siftwork.operators import evidence as ev
 from siftwork.operators import extract as ex
 
@@ -210,10 +211,10 @@ def test_sentences_come_piece_by_piece(spark, monkeypatch):
     rows = [((i, "k"), t) for i, t in enumerate([None, "", "One ran. Then two!\n- three", "Über é ran. So é did. " * 30, " \n", "x" * 50])]
     df = spark.createDataFrame(rows, "k struct<a: long, b: string>, text string").coalesce(1)
     want = [(k, n, s["start"], s["end"], s["sentence"], s["before"]) for k, t in rows for n, s in enumerate(ex.sentences(t))]
-    got = [(tuple(r[0]), *r[1:]) for r in ex.split_sentences(df, "k").orderBy("k.a", "n").collect()]
-    assert got == want
-    from siftwork.functions.batches import pieces
-
+    got = lambda: [(tuple(r[0]), *r[1:]) for r in ex.split_sentences(df, "k").orderBy("k.a", "n").collect()]
+    assert got() == want
+    monkeypatch.setattr(ex, "pieces", lambda col: pieces(col, 20))
+    assert got() == want
     texts = pa.array([t for _, t in rows])
     cut = list(pieces(texts, 20))
     assert [a for a, _ in cut] + [len(rows)] == [0] + [b for _, b in cut] and all(b == a + 1 or sum(len((t or "").encode()) for _, t in rows[a:b]) <= 20 for a, b in cut)
