@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.subwords import DEFAULT, encoding, vocabulary, word_memo
+from siftwork.llm.subwords import DEFAULT, encoding, vocabulary, word_ids
 from siftwork.llm.textbatch import Block, blocks
 from siftwork.session import ship, stored
 
@@ -60,11 +60,11 @@ def _encoded(part: pa.RecordBatch, ranks: bytes):
     b = Block(part.column("text"))
     b.words()
     h = b.hashes(b.starts, b.ends)
-    codes, ids = word_memo(ranks)(b, h, b.starts, b.ends)
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), np.int32)
-    distinct = np.zeros(len(ids), np.uint64)
-    distinct[codes] = h
+    codes, distinct = pd.factorize(h)
+    first = np.empty(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    raw = b.buf.tobytes()
+    flat, size = word_ids(ranks, [raw[i:j] for i, j in zip(b.starts[first].tolist(), b.ends[first].tolist())])
     return b, codes, distinct, flat, size
 
 
@@ -115,15 +115,18 @@ def _gather(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
             n = np.bincount(codes, minlength=len(distinct))
             words.append(pd.Series(n, distinct.view(np.int64)))
             pending += len(n)
-            seq, off = _spread(codes, flat, size, b.first, end)
             bytes_of = np.repeat(np.arange(n_docs), np.diff(b.off))
             seen = np.bincount(bytes_of * 256 + b.buf, minlength=256 * n_docs).reshape(n_docs, 256).astype(np.float32)
             p = seen @ _project / np.maximum(seen.sum(axis=1, keepdims=True), 1)
-            doc = np.repeat(np.arange(n_docs), np.diff(off))
-            many += np.bincount(seq, minlength=end + 1)
-            many[end] -= n_docs  # of two end marks, the first only starts the text
+            # A subword stands where its word stands: sums by word, then by the words' subwords. Each text has an end.
+            word = np.repeat(np.arange(len(distinct)), size)
+            many += np.bincount(flat, n[word], end + 1).astype(np.int64)
+            many[end] += n_docs
+            doc = np.repeat(np.arange(n_docs), np.diff(b.first))
             for k in range(PROFILE):
-                profile[:, k] += np.bincount(seq, weights=p[doc, k], minlength=end + 1)
+                of_word = np.bincount(codes, p[doc, k], len(distinct))
+                profile[:, k] += np.bincount(flat, of_word[word], end + 1)
+            profile[end] += 2 * p.sum(0, dtype=np.float64)  # a mark before the text, too
             if pending > 500_000:
                 x = sums()
                 yield _rows(0, x.index, x)
@@ -250,49 +253,60 @@ class Model:
         m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         back = np.arange(SPAN)[:, None] - np.arange(SPAN)
         gap, root = INPUTS + CLASSES, np.float32(1 / np.sqrt(DIM))
-        ones = np.ones(CLASSES, np.float32)
+        ones, each = np.ones(CLASSES, np.float32), np.arange(BATCH * SPAN)
+        # What is as wide as the classes is written in place: two of these are what a step's memory is.
+        wide = np.empty((2, BATCH * SPAN, CLASSES), np.float32)
         order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-steps * BATCH // len(windows)))])
         for t in range(1, steps + 1):
             w = windows[order[(t - 1) * BATCH : t * BATCH]]
-            ids = np.where(w >= 0, self.inputs[np.maximum(w, 0)], gap)[:, :SPAN]
-            asked = np.flatnonzero(w[:, 1:].ravel() >= 0)
-            if not len(asked):
+            real = w >= 0
+            ids = np.where(real, self.inputs[np.maximum(w, 0)], gap)[:, :SPAN]
+            goal = w[:, 1:].ravel()
+            asked = (goal >= 0).astype(np.float32)
+            n_asked, n = np.float32(asked.sum()), len(goal)
+            if not n_asked:
                 continue
             # Each place of a window is a query that sees the window's places up to its own.
-            x = p["E"][ids]
-            flat = x.reshape(-1, DIM)
+            flat = p["E"].take(ids.ravel(), 0)
+            x = flat.reshape(len(w), SPAN, DIM)
             q, key, val = ((flat @ p[k]).reshape(x.shape) for k in "QKV")
-            s = q @ key.transpose(0, 2, 1)
-            s *= root
-            a = np.exp(np.clip(s, -30, 30, out=s), out=s)
+            q *= root
+            a = q @ key.transpose(0, 2, 1)
+            np.exp(np.clip(a, -30, 30, out=a), out=a)
             a *= np.where(back >= 0, np.exp(np.clip(p["r"], -20, 20))[np.maximum(back, 0)], 0).astype(np.float32)
-            a *= (ids < gap)[:, None, :]
-            a /= a.sum(2, keepdims=True) + np.float32(1e-9)
-            h = (x + a @ val).reshape(-1, DIM)[asked]
-            z = h @ p["O"]
-            z += p["b"]
-            z += self.after.take(ids.ravel()[asked], 0)
-            z -= z.max()
+            if (real[:, 1:] & ~real[:, :-1]).any():  # gaps at a window's end are ahead of all that asks
+                a *= real[:, None, :SPAN]
+            a *= (1 / (a.reshape(-1, SPAN) @ ones[:SPAN] + np.float32(1e-9))).reshape(len(w), SPAN, 1)
+            seen = (a @ val).reshape(-1, DIM)
+            h = flat + seen
+            z = np.matmul(h, p["O"], out=wide[0, :n])
+            z += (self.after + p["b"]).take(ids.ravel(), 0, out=wide[1, :n], mode="clip")
+            top = z.max()
+            if abs(top) > 60:
+                z -= top
             np.exp(z, out=z)
-            z *= (1 / ((z @ ones + np.float32(1e-30)) * len(asked)))[:, None]
-            z[np.arange(len(asked)), self.cls[w[:, 1:].ravel()[asked]]] -= np.float32(1 / len(asked))
-            g = {"O": h.T @ z, "b": np.ones(len(asked), np.float32) @ z}
-            dh = np.zeros_like(flat)
-            dh[asked] = z @ p["O"].T
-            dh = dh.reshape(x.shape)
+            z *= (asked / ((z @ ones + np.float32(1e-30)) * n_asked))[:, None]
+            z[each[:n], self.cls[np.maximum(goal, 0)]] -= asked / n_asked
+            g = {"O": h.T @ z, "b": np.ones(n, np.float32) @ z}
+            dflat = z @ p["O"].T
+            dh = dflat.reshape(x.shape)
             da, dv = dh @ val.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-            da -= (a * da).sum(2, keepdims=True)
+            da -= (dflat * seen).sum(1).reshape(len(w), SPAN, 1)
             da *= a
-            g["r"] = np.bincount(np.maximum(back, 0).ravel(), np.where(back >= 0, da.sum(0), 0).ravel(), SPAN).astype(np.float32)
-            da *= root
+            of_place = (np.ones(len(w), np.float32) @ da.reshape(len(w), -1)).reshape(SPAN, SPAN)
+            g["r"] = np.bincount(np.maximum(back, 0).ravel(), np.where(back >= 0, of_place, 0).ravel(), SPAN).astype(np.float32)
             dq, dk, dv = (d.reshape(-1, DIM) for d in (da @ key, da.transpose(0, 2, 1) @ q, dv))
+            dq *= root
             g["Q"], g["K"], g["V"] = flat.T @ dq, flat.T @ dk, flat.T @ dv
-            dx = dh.reshape(-1, DIM) + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+            dx = dflat + dq @ p["Q"].T
+            dx += dk @ p["K"].T
+            dx += dv @ p["V"].T
             g["E"] = np.zeros_like(p["E"])
-            by_id = np.argsort(ids.ravel(), kind="stable")
-            own = ids.ravel()[by_id]
+            short = ids.ravel().astype(np.int16)
+            by_id = np.argsort(short, kind="stable")
+            own = short[by_id]
             first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            g["E"][own[first]] = np.add.reduceat(dx[by_id], first)
+            g["E"][own[first]] = np.add.reduceat(dx.take(by_id, 0), first)
             rate = RATE * min(1, t / 10) * (1 - 0.9 * t / steps)
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]

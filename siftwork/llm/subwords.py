@@ -8,7 +8,7 @@ space, then what stands up to the next white space) put together.
 from __future__ import annotations
 
 import base64
-from array import array
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -67,10 +67,36 @@ class Memo:
 
 
 @lru_cache(2)
-def word_memo(ranks: bytes) -> Memo:
-    """Subword ids (4 bytes each) of a word with a blank before it."""
+def leads(ranks: bytes) -> np.ndarray:
+    """Of each subword: whether it begins with a blank."""
+    out = np.zeros(encoding(ranks).n_vocab, bool)
+    for a, b in map(bytes.split, ranks.splitlines()):
+        out[int(b)] = base64.b64decode(a).startswith(b" ")
+    return out
+
+
+def word_ids(ranks: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of the words, each with a blank before it, end to end, and how many
+    each has. A word holds no blank, so in their joint encoding a subword that begins
+    with one begins a word. Words with wide white space, which could draw the next
+    word's blank to itself, are encoded alone."""
     enc = encoding(ranks)
-    return Memo(lambda w: array("i", enc.encode_ordinary(" " + w.decode("utf-8", "replace"))).tobytes())
+    odd = np.zeros(len(words), bool)
+    text = b" ".join([b"", *words]).decode("utf-8", "replace")
+    if not text.isascii() and re.search(WIDE_SPACE, text):
+        odd[:] = [re.search(WIDE_SPACE, w.decode("utf-8", "replace")) is not None for w in words]
+        text = b" ".join([b"", *(w for w, x in zip(words, odd) if not x)]).decode("utf-8", "replace")
+    ids = np.array(enc.encode_to_numpy(text, disallowed_special=()), np.int32)
+    size = np.zeros(len(words), np.int64)
+    size[~odd] = np.diff(np.append(np.flatnonzero(leads(ranks)[ids]), len(ids)))
+    if odd.any():
+        alone = [enc.encode_ordinary(" " + words[i].decode("utf-8", "replace")) for i in np.flatnonzero(odd)]
+        size[odd] = [len(x) for x in alone]
+        own = np.repeat(odd, size)
+        ids, joint = np.empty(len(own), np.int32), ids
+        ids[~own] = joint
+        ids[own] = [i for x in alone for i in x]
+    return ids, size
 
 
 @lru_cache(2)

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from siftwork.llm import lm
+from siftwork.llm import lm, subwords
 from siftwork.llm.lm import Model, score_texts
 from siftwork.llm.subwords import DEFAULT, encoding
 
@@ -108,5 +108,64 @@ def test_every_subword_is_a_goal_once():
     assert goals.tolist() == want
 
 
+def test_words_are_encoded_in_one_call(monkeypatch):
+    """Ids as of each word alone, with wide white space and bytes that are no UTF-8; one call for words without these."""
+    with open(DEFAULT, "rb") as f:
+        ranks = f.read()
+    enc, calls = encoding(ranks), []
+
+    class Counted:
+        n_vocab = enc.n_vocab
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return enc.encode_ordinary(text)
+
+        def encode_to_numpy(self, text, **more):
+            calls.append(text)
+            return enc.encode_to_numpy(text, **more)
+
+    monkeypatch.setattr(subwords, "encoding", lambda ranks: Counted())
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("abeé.,'1\u4e2d", k=rng.choice([1, 2, 5, 30]))).encode() for _ in range(500)]
+    wide = [b"a\xc2\xa0", b"\xe3\x80\x80b", b"\xc2\x85", b"\xc2\xa0\xc2\xa0", b"x\xe2\x80", b"\xff", b"'s"]
+    for words, most in ((plain, 1), (plain + wide + plain, 1 + 4), (wide, 1 + 4), (wide[4:], 1), ([], 1)):
+        calls.clear()
+        ids, size = subwords.word_ids(ranks, words)
+        assert len(calls) <= most
+        each = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+        assert ids.tolist() == [i for x in each for i in x] and size.tolist() == [len(x) for x in each]
+
+
+def test_a_step_with_gaps_follows_the_loss():
+    """The parameters after one step move against the difference quotient of the loss, gaps inside a window included."""
+    rng = np.random.default_rng(5)
+    many = rng.integers(1, 50, 501)
+    m = Model(many, rng.normal(size=(501, lm.PROFILE)) * many[:, None])
+    m.follow(rng.integers(0, 9, (lm.INPUTS + lm.CLASSES, lm.CLASSES)).astype(float), np.zeros((lm.INPUTS, lm.INPUTS)))
+    w = np.where(rng.random((40, lm.SPAN + 1)) < 0.2, -1, rng.integers(0, 500, (40, lm.SPAN + 1)))
+
+    def loss(p):
+        ids = np.where(w >= 0, m.inputs[np.maximum(w, 0)], lm.INPUTS + lm.CLASSES)[:, : lm.SPAN]
+        x = p["E"].astype(float)[ids]
+        back = np.arange(lm.SPAN)[:, None] - np.arange(lm.SPAN)
+        a = np.exp((x @ p["Q"]) @ (x @ p["K"]).transpose(0, 2, 1) / math.sqrt(lm.DIM) + p["r"][np.maximum(back, 0)]) * (back >= 0) * (w[:, None, : lm.SPAN] >= 0)
+        z = (x + a @ (x @ p["V"]) / (a.sum(2, keepdims=True) + 1e-9)) @ p["O"] + p["b"] + m.after[ids]
+        own = np.take_along_axis(z, m.cls[np.maximum(w[:, 1:], 0)][..., None], 2)[..., 0]
+        return (np.log(np.exp(z).sum(2)) - own)[w[:, 1:] >= 0].mean()
+
+    before = {k: x.astype(float) for k, x in m.p.items()}
+    m.train(w, 1, 0)
+    for k, x in m.p.items():
+        moved = (x - before[k]).ravel()
+        for i in np.argsort(-np.abs(moved))[[0, 1, 2]]:
+            up = {n: y.copy() for n, y in before.items()}
+            down = {n: y.copy() for n, y in before.items()}
+            up[k].flat[i] += 1e-4
+            down[k].flat[i] -= 1e-4
+            g = (loss(up) - loss(down)) / 2e-4
+            assert g * moved[i] < 0 or abs(g) < 1e-6, (k, i)
+
+
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
