@@ -122,7 +122,7 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     for i, x in enumerate(said, 1):
         lead = F.when(F.col("doc_id") % 6 == i, x).otherwise(lead)
     docs = t(spark, d, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
-    return docs.select("doc_id", ql.word_count(F.col("text")).alias("word_count"), ql.quality_score(F.col("text"), F.lit("")).alias("score"))
+    return docs.select("doc_id", ql.assessed(F.col("text"), F.lit("")).alias("q")).select("doc_id", "q.word_count", "q.score")
 
 
 @query(None)

@@ -327,3 +327,19 @@ def test_passages_are_read_once(spark):
     pieces = docs.select("doc_id", F.lit(0).alias("start"), F.length("text").alias("end"), seen("text").alias("passage"))
     got = search.select_passages(pieces, ["word", "nothing"]).collect()
     assert got and all("word" in r.passage for r in got) and read.value == 6
+
+
+def test_quality_patterns_run_only_behind_their_pieces(spark):
+    """Each pattern is tried only where a text has a piece of it, and what it says is as the pattern alone says."""
+    texts = [
+        "reg add HKLM\\Software\\Run", "a region and a regent ran on", "REG: none at all", "NET\tUser add someone", "network of users here", "PSexec to every host", "hkcu\\abcd", "hkcu\\ab", "Event  ID4688", "events 4688", "Sysmon 10",
+        "cve-2024-1", "CVE-24", "Stage3 came", "lateral movement and exfil", "lateral movement\nexfil", "a kill chain", "chains", "T1059", "t1059", "T10599", "Att&Ck", "BYOVD", "xlotcx", "lotc", None, "", "\u212arypt \u0130 amsi bypass",
+    ]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    both = df.select(*[F.struct(F.coalesce(quality._found(k, F.col("text"), low), F.lit(False)), F.coalesce(F.col("text").rlike(p), F.lit(False))).alias(k) for k, (p, _) in quality.EVIDENCE.items()]).collect()
+    assert all(x[0] == x[1] for r in both for x in r) and all(any(r[k][0] for r in both) for k in quality.EVIDENCE)
+    got = df.select("id", quality.assessed(F.col("text"), F.lit("")).alias("q"))
+    assert [r.q.word_count for r in got.orderBy("id").collect()] == [len((x or "").split()) for x in texts]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("lower(") == 1 and plan.count("[^\\r\\n]{5,100}") == 1
