@@ -218,3 +218,11 @@ def test_sentences_come_piece_by_piece(spark, monkeypatch):
     texts = pa.array([t for _, t in rows])
     cut = list(pieces(texts, 20))
     assert [a for a, _ in cut] + [len(rows)] == [0] + [b for _, b in cut] and all(b == a + 1 or sum(len((t or "").encode()) for _, t in rows[a:b]) <= 20 for a, b in cut)
+
+
+def test_sentences_bring_their_code_along(spark, monkeypatch):
+    """Workers need not have the package installed."""
+    sent = []
+    monkeypatch.setattr(ex, "ship", sent.append, raising=False)
+    df = spark.createDataFrame([(1, "One. Two.")], "k long, text string")
+    assert ex.split_sentences(df, "k").count() == 2 and len(sent) == 1
